@@ -10,6 +10,7 @@ import zipfile
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import functions as F
 
 #: White space of the contracts: \x20 and \x09-\x0D, as bytes.split() has it.
 SPACE = np.zeros(256, dtype=bool)
@@ -201,3 +202,37 @@ def one_permutation(sets: list[np.ndarray], bins: int, order: np.ndarray) -> tup
 
 def column(values, kind: pa.DataType) -> pa.Array:
     return pa.array(values, type=kind)
+
+
+#: Bits of an id filter: a broadcast of at most 4 MB whatever the number of ids. A fuller filter passes more rows that a later join drops.
+FILTER_BITS = 25
+
+
+def _slots(ids: np.ndarray) -> np.ndarray:
+    return (mix(ids.astype(np.uint64)) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+
+
+def id_filter(ids):
+    """A bitmap of the hashed ids of a one-column DataFrame of longs, for may_hold(); nulls are left out."""
+
+    def run(batches):
+        held: dict[int, int] = {}
+        for b in batches:
+            at = _slots(b.column(0).drop_null().to_numpy(zero_copy_only=False))
+            for w, bit in zip((at >> 5).tolist(), (at & 31).tolist(), strict=True):
+                held[w] = held.get(w, 0) | 1 << bit
+        items = sorted(held.items())
+        for i in range(0, len(items), 100_000):
+            w, v = zip(*items[i : i + 100_000], strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(w, pa.int64()), pa.array(v, pa.int64())], names=["w", "v"])
+
+    got = ids.mapInArrow(run, "w long, v long").groupBy("w").agg(F.bit_or("v").alias("v")).toArrow()
+    bits = np.zeros(1 << (FILTER_BITS - 5), dtype=np.uint32)
+    bits[got["w"].to_numpy()] = got["v"].to_numpy()
+    return ids.sparkSession.sparkContext.broadcast(bits)
+
+
+def may_hold(bits: np.ndarray, ids: pa.Array) -> pa.Array:
+    """Whether each id may be in the filter; null ids are not."""
+    at = _slots(ids.cast(pa.int64()).fill_null(0).to_numpy(zero_copy_only=False))
+    return pc.and_(pa.array((bits[at >> 5] >> (at & 31).astype(np.uint32) & 1).astype(bool)), ids.is_valid())

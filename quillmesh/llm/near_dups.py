@@ -4,12 +4,14 @@
    and MANTISSA bits (empty buckets are densified). Texts with equal sets form a class, kept as its smallest doc_id.
 2. Bands of four registers are keys. Each key's smallest class is its hub; every class is paired with the hub that it resembles most by the
    corrected estimate, and the pair is confirmed on full sets. Confirmed links form components.
-3. A key whose classes are all in one component is done. In the others, classes of different components are paired (the rarer ones with
-   the rest; keys of over REFINE such classes are split by a second band first), estimated, and confirmed likewise. So a group of
-   near copies costs one pair a member, and no link between different components of a key is left out.
+3. A key whose classes are all in one component is done. In the others the classes outside the key's commonest component are compared with
+   all, in blocks of BLOCK classes, on the LOW smallest 32-bit hashes of each (the whole set, if it is no larger); only pairs that join
+   two components of a block leave the task, and are confirmed on full sets. So a group of near copies costs one pair a member, no task
+   holds a whole group, and no link between different components of a key is left out.
 4. Components of the links of 2 and 3 (large-star, small-star), each with its smallest doc_id.
 
-A pair at similarity 0.8 shares none of the 32 bands with probability 5e-8; estimates below SLACK under the threshold (seven standard deviations) are not confirmed.
+A pair at similarity 0.8 shares none of the 32 bands with probability 5e-8; estimates below SLACK under the threshold (seven standard deviations; LOW_SLACK, five and a half, where a set has over LOW elements) are not confirmed.
+Comparing the classes of an open key costs time with the product of their numbers; they are texts that share all of a band, so they resemble each other.
 
 Null and empty texts, and texts without words, have an empty set and are linked with nothing. A null doc_id is linked with nothing and
 kept. Repeated rows share a set and so a component; rows that repeat a doc_id with other texts may share a component. Other columns are ignored by
@@ -23,11 +25,13 @@ from math import log2
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
 
-from .common import blobs, drop, keep, one_permutation, permutations, pieces, shared_dir, shingles, table
+from .common import blobs, drop, id_filter, keep, may_hold, mix, one_permutation, permutations, pieces, shared_dir, shingles, table
 
-REGISTERS, MANTISSA, BAND, SLACK, REFINE = 128, 10, 4, 0.25, 1000
+REGISTERS, MANTISSA, SLACK = 128, 10, 0.25
+BLOCK, LOW, LOW_SLACK = 512, 512, 0.1
 _ORDER = permutations(REGISTERS, 23)
 _WIDE = 64 - (REGISTERS.bit_length() - 1)
 
@@ -77,18 +81,123 @@ def sketch(docs, k: int):
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, digest binary, sig array<long>")
 
 
-def full_sets(docs, k: int):
-    """(id, set): the hashed shingles of each row."""
+def full_sets(docs, k: int, bits):
+    """(id, set): the hashed shingles of each row whose id the filter may hold."""
 
     def run(batches):
         for whole in batches:
-            for batch in pieces(whole):
+            for batch in pieces(whole.filter(may_hold(bits.value, whole.column(0)))):
                 sets = [s.view(np.int64) for s in shingles(blobs(batch), k)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["id", "set"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "id long, set array<long>")
 
 
+def low_hashes(docs, k: int, bits):
+    """(id, n, low): set size and the LOW smallest of the shingles' 32-bit hashes of each row whose id the filter may hold."""
+
+    def run(batches):
+        for whole in batches:
+            for batch in pieces(whole.filter(may_hold(bits.value, whole.column(0)))):
+                sets = shingles(blobs(batch), k)
+                low = [np.unique((mix(s) >> np.uint64(32)).astype("<u4"))[:LOW].tobytes() for s in sets]
+                yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(low, pa.binary())], names=["id", "n", "low"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "id long, n long, low binary")
+
+
+def links_of_block(ids: np.ndarray, comps: np.ndarray, left: np.ndarray, n: np.ndarray, low: list[np.ndarray], threshold: float) -> list[tuple[int, int]]:
+    """Pairs of a left row with any row that seem to reach the threshold and join components that earlier pairs haven't joined.
+
+    Whole sets are compared exactly, but for 32-bit hashes that collide; only pairs sure by that thin out others.
+    """
+    rows = np.flatnonzero(left)
+    size = np.array([len(x) for x in low])
+    which = np.repeat(np.arange(len(low)), size)
+    values, at = np.unique(np.concatenate(low), return_inverse=True)
+    often = np.bincount(at) > 1
+    place = np.cumsum(often) - 1
+    keep_ = often[at]
+    which, at = which[keep_], place[at[keep_]]
+    order = np.argsort(at, kind="stable")
+    which, at = which[order], at[order]
+    common = np.zeros((len(rows), len(low)), dtype=np.float32)
+    for first in range(0, int(often.sum()), 8192):
+        lo, hi = np.searchsorted(at, [first, first + 8192])
+        x = np.zeros((len(low), 8192), dtype=np.float32)
+        x[which[lo:hi], at[lo:hi] - first] = 1
+        common += x[rows] @ x.T
+    least = np.minimum(size[rows][:, None], size[None, :])
+    fits = (np.minimum(n[rows][:, None], n[None, :]) >= threshold * np.maximum(n[rows][:, None], n[None, :]) - 1e-9) & (comps[rows][:, None] != comps[None, :])
+    near = []
+    for i, j in zip(*np.nonzero(fits & (common >= (threshold - LOW_SLACK - 0.02) * least)), strict=True):
+        r, c = rows[i], common[i, j]
+        if n[r] <= LOW and n[j] <= LOW:
+            sim, whole = c / (n[r] + n[j] - c), True
+        else:
+            end = min(low[r][-1], low[j][-1])
+            sim, whole = c / (np.searchsorted(low[r], end, "right") + np.searchsorted(low[j], end, "right") - c), False
+        if sim >= threshold - (0.01 if whole else LOW_SLACK):
+            near.append((not (whole and sim >= threshold), -sim, int(r), int(j)))
+    top: dict[int, int] = {}
+
+    def find(c: int) -> int:
+        while top.get(c, c) != c:
+            c = top[c]
+        return c
+
+    out = set()
+    for unsure, _, r, j in sorted(near):
+        a, b = find(int(comps[r])), find(int(comps[j]))
+        if a != b:
+            out.add((min(int(ids[r]), int(ids[j])), max(int(ids[r]), int(ids[j]))))
+            if not unsure:
+                top[max(a, b)] = min(a, b)
+    return sorted(out)
+
+
+def _across(left, docs, k: int, threshold: float):
+    """Pairs (a, b) of classes of different components of a key that are to be confirmed; left(key, rep, comp, minor, minors, majors)."""
+    low = low_hashes(docs, k, id_filter(left.select("rep")))
+    count = lambda c: F.greatest(F.lit(1), F.ceil(F.col(c) / BLOCK)).cast("int")
+    mine = left.withColumns({"few": count("minors"), "many": count("majors")}).withColumn("at", F.pmod(F.xxhash64("rep"), F.when(F.col("minor"), F.col("few")).otherwise(F.col("many"))).cast("int"))
+    upto = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
+    at = F.col("at")
+    meet = F.when(F.col("minor"), F.concat(
+        F.transform(upto("many"), lambda j: F.struct(F.lit(0).alias("what"), at.alias("i"), j.alias("j"))),
+        F.transform(upto("few"), lambda j: F.struct(F.lit(1).alias("what"), F.least(at, j).alias("i"), F.greatest(at, j).alias("j"))),
+    )).otherwise(F.transform(upto("few"), lambda i: F.struct(F.lit(0).alias("what"), i.alias("i"), at.alias("j"))))
+    rows = (
+        mine.join(low, mine.rep == low.id).select("key", F.explode(meet).alias("m"), "rep", "comp", "minor", "n", "low")
+        .select("key", "m.what", "m.i", "m.j", "rep", "comp", "minor", "n", "low")
+        .repartition("key", "what", "i", "j").sortWithinPartitions("key", "what", "i", "j")
+    )
+
+    def run(batches):
+        held, rows = None, []
+
+        def done():
+            if held is None or not any(r[2] for r in rows) or len(rows) < 2:
+                return []
+            ids, comps, minor, n, low = zip(*rows, strict=True)
+            return links_of_block(np.array(ids), np.array(comps), np.array(minor), np.array(n), [np.frombuffer(x, dtype="<u4") for x in low], threshold)
+
+        def batch(found):
+            a, b = zip(*found, strict=True) if found else ((), ())
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+        for b in batches:
+            for row in zip(*(b.column(i).to_pylist() for i in range(9)), strict=True):
+                if row[:4] != held:
+                    if found := done():
+                        yield batch(found)
+                    held, rows = row[:4], []
+                rows.append(row[4:])
+        yield batch(done())
+
+    return rows.mapInArrow(run, "a long, b long").distinct()
+
+
 def _alike(pairs, sigs, threshold: float):
     """pairs(a, b) whose sizes and registers allow the similarity, with the estimate; sigs(rep, n, sig)."""
     x = sigs.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("sig").alias("sa"))
@@ -106,8 +215,7 @@ def _alike(pairs, sigs, threshold: float):
 
 def _confirm(pairs, docs, k: int, percent: int):
     """Of pairs(a, b) those with 100 * intersection >= percent * union, on the texts' full sets."""
-    need = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    sets = full_sets(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(need, "doc_id", "left_semi"), k)
+    sets = full_sets(docs, k, id_filter(pairs.select(F.explode(F.array("a", "b")).alias("id"))))
     common = F.size(F.array_intersect("sa", "sb"))
     return (
         pairs.select("a", "b")
@@ -159,21 +267,11 @@ def near_groups(docs, k: int = 5, percent: int = 80):
 
     of = live.join(roots, live.rep == roots.v, "left").select("key", "rep", F.coalesce("root", "rep").alias("comp"))
 
-    def open_rows(of):
-        """Rows of keys with more than one component, and whether theirs is the commonest."""
-        sums = of.groupBy("key", "comp").agg(F.count("*").alias("c"))
-        open_ = sums.groupBy("key").agg(F.max_by("comp", F.struct("c", -F.col("comp"))).alias("major"), F.count("*").alias("parts"), (F.sum("c") - F.max("c")).alias("minors")).where("parts > 1")
-        return of.join(open_, "key").select("key", "rep", "comp", (F.col("comp") != F.col("major")).alias("minor"), "minors")
-
-    left = keep(open_rows(of), f"{top}/open")
-    huge = left.where(F.col("minors") > REFINE).select("key", "rep", "comp")
-    again = huge.join(live.select("rep", F.col("key").alias("other")), "rep").where("key <> other").select(F.xxhash64(F.least("key", "other"), F.greatest("key", "other")).alias("key"), "rep", "comp").distinct()
-    rest = left.where(F.col("minors") <= REFINE).select("key", "rep", "comp", "minor")
-    if not huge.isEmpty():
-        rest = rest.unionByName(open_rows(again).select("key", "rep", "comp", "minor"))
-    x, y = rest.where("minor").select("key", F.col("rep").alias("a"), F.col("comp").alias("ca")), rest.select("key", F.col("rep").alias("b"), F.col("comp").alias("cb"), "minor")
-    across = x.join(y, "key").where("ca <> cb and (not minor or a < b)").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    across = keep(_alike(across, reps, threshold), f"{top}/across")
+    sums = of.groupBy("key", "comp").agg(F.count("*").alias("c"))
+    open_ = sums.groupBy("key").agg(F.max_by("comp", F.struct("c", -F.col("comp"))).alias("major"), F.count("*").alias("parts"), (F.sum("c") - F.max("c")).alias("minors"), F.max("c").alias("majors")).where("parts > 1")
+    left = of.join(open_, "key").select("key", "rep", "comp", (F.col("comp") != F.col("major")).alias("minor"), "minors", "majors")
+    left = keep(left, f"{top}/open")
+    across = keep(_across(left, docs, k, threshold), f"{top}/across")
     more = _confirm(across, docs, k, percent)
     root_of = lambda c: roots.select(F.col("v").alias(c), F.col("root").alias(f"r{c}"))
     joined = more.join(root_of("a"), "a", "left").join(root_of("b"), "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
@@ -187,9 +285,24 @@ def near_groups(docs, k: int = 5, percent: int = 80):
 
 
 def one_of_each(docs, k: int = 5, percent: int = 80):
-    """The rows, with all their columns, of one document of each group: that of the least doc_id; of rows that repeat it one. Rows with a null doc_id stay."""
-    gone = near_groups(docs, k, percent).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """The rows, with all their columns, of one document of each group: that of the least doc_id; of rows that repeat its id and text one. Rows with a null doc_id stay."""
+    spark = docs.sparkSession
+    groups = keep(near_groups(docs, k, percent).select("doc_id", "kept"), f"{shared_dir(spark)}/groups")
+    gone = groups.where("not kept").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    again = groups.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).count().where("count > 1").select("doc_id")
+    bits = id_filter(gone.unionByName(again))
+    at = docs.columns.index("doc_id")
+
+    def rows(held: bool):
+        def run(batches):
+            for b in batches:
+                mask = may_hold(bits.value, b.column(at))
+                yield b.filter(mask if held else pc.invert(mask))
+
+        return docs.mapInArrow(run, docs.schema)
+
+    # only rows that the filter holds go through a shuffle
+    return rows(False).unionByName(rows(True).join(gone, "doc_id", "left_anti").select(docs.columns).dropDuplicates(["doc_id", "text"]))
 
 
 def op7_near_dups(spark, sf_dir):
