@@ -16,7 +16,7 @@ import heapq
 import re
 import unicodedata
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -111,10 +111,13 @@ class PieceCache:
         found = list(map(split, texts))
         if len(self.code) > CACHE_PIECES:
             self.empty()
-        if new := list(set(chain.from_iterable(found)).difference(self.code.keys())):
-            self.learn(new)
+        flat = list(chain.from_iterable(found))
         sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
-        codes = np.fromiter(map(self.code.__getitem__, chain.from_iterable(found)), dtype=np.int64, count=int(sizes.sum()))
+        codes = np.fromiter(map(self.code.get, flat, repeat(-1)), dtype=np.int64, count=len(flat))
+        if len(gaps := np.flatnonzero(codes < 0)):
+            missing = [flat[i] for i in gaps.tolist()]
+            self.learn(list(dict.fromkeys(missing)))
+            codes[gaps] = np.fromiter(map(self.code.__getitem__, missing), dtype=np.int64, count=len(missing))
         first, n = self.start[codes], self.start[codes + 1] - self.start[codes]
         ends = np.cumsum(n)
         ids = self.flat[np.repeat(first - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)]

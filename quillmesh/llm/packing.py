@@ -1,7 +1,7 @@
 """Packing along a space-filling curve.
 
-A document's words, hashed to random signs, project it to three dimensions; the Hilbert key of that place, then a hash of doc_id, then
-doc_id itself order the documents. They are dealt by range to partitions (bounds from a sample of at most BOUND_ROWS rows on average: they
+A document's tokens, hashed to random signs, project it to three dimensions; the Hilbert key of that place, then a hash of doc_id, then
+doc_id itself order the documents. They are dealt by range to partitions (bounds from a sample of about BOUND_ROWS rows a partition: they
 only balance the partitions and never change the order), sorted, and laid end to end; every multiple of the sequence length cuts. So all
 sequences but the last are full, and neighbours on the curve share sequences.
 
@@ -20,9 +20,9 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from .bpe import _PLAIN, PieceCache
-from .common import blobs, keep, mix, parts, pieces, shared_dir, strings, table, words
+from .common import keep, mix, parts, pieces, shared_dir, strings, table
 
-BOUND_ROWS, DIMS, BITS = 20_000, 3, 10
+BOUND_ROWS, DIMS, BITS = 40, 3, 10
 
 
 class HfPieces(PieceCache):
@@ -91,20 +91,23 @@ def hilbert(x: np.ndarray, bits: int) -> np.ndarray:
     return key
 
 
-def curve_keys(texts: list[bytes], doc_ids: np.ndarray) -> np.ndarray:
-    """63-bit sort keys: the Hilbert key of the document's projected word vector, then a hash of doc_id that spreads equal texts."""
-    h, n = words(texts, lower=True)
-    place = np.zeros((len(texts), DIMS), dtype=np.float64)
-    full = np.flatnonzero(n)
-    if len(h):
-        first = (np.cumsum(n) - n)[full]
-        for d in range(DIMS):
-            sign = 1.0 - 2.0 * (h >> np.uint64(7 + d) & np.uint64(1)).astype(np.float64)
-            place[full, d] = np.add.reduceat(sign, first) / n[full]
-    grid = np.clip((np.tanh(place * 3) + 1) / 2 * (1 << BITS), 0, (1 << BITS) - 1).astype(np.int64)
+def curve_keys(ids: list[np.ndarray], doc_ids: np.ndarray) -> np.ndarray:
+    """63-bit sort keys: the Hilbert key of the document's projected token vector, then a hash of doc_id that spreads equal texts. No list is empty."""
+    n = np.array([len(x) for x in ids])
+    flat = np.concatenate(ids).astype(np.int64)
+    first, grid = np.cumsum(n) - n, np.zeros((len(ids), DIMS), dtype=np.int64)
+    for d in range(DIMS):
+        mean = np.add.reduceat(_signs(d)[flat & 0xFFFFF], first, dtype=np.float64) / n
+        grid[:, d] = np.clip((np.tanh(mean * 3) + 1) / 2 * (1 << BITS), 0, (1 << BITS) - 1)
     return hilbert(grid, BITS) << 32 | (mix(doc_ids.astype(np.uint64)) >> np.uint64(32)).astype(np.int64)
 
 
+@lru_cache(DIMS)
+def _signs(d: int) -> np.ndarray:
+    """The hashed sign of every token in dimension d."""
+    return 1 - 2 * (mix(np.arange(1 << 20, dtype=np.uint64) + np.uint64(1 << 40)) >> np.uint64(7 + d) & np.uint64(1)).astype(np.int8)
+
+
 def _ids(batch) -> np.ndarray:
     return batch.column(0).cast(pa.int64()).fill_null(-1).to_numpy(zero_copy_only=False)
 
@@ -116,12 +119,17 @@ def pack(docs, path: str, length: int = 2048, end_id: int = 1):
     buckets = parts(spark)
     rows = docs.count()
 
+    def ids_of(tok, batch):
+        return [np.append(x, end_id) for x in tok.encode_all(strings(batch))]
+
     def sample_keys(batches):
+        tok = worker_pieces(path)
         for whole in batches:
-            for batch in pieces(whole):
-                yield pa.RecordBatch.from_arrays([pa.array(curve_keys(blobs(batch), _ids(batch)), pa.int64())], names=["key"])
+            for batch in pieces(whole, size=2 << 20):
+                yield pa.RecordBatch.from_arrays([pa.array(curve_keys(ids_of(tok, batch), _ids(batch)), pa.int64())], names=["key"])
 
-    sample = docs if rows <= BOUND_ROWS else docs.sample(BOUND_ROWS / rows, seed=7)
+    wanted = BOUND_ROWS * buckets
+    sample = docs if rows <= wanted else docs.sample(wanted / rows, seed=7)
     keys = np.sort(np.array([r.key for r in sample.mapInArrow(sample_keys, "key long").collect()], dtype=np.int64))
     bounds = np.unique(keys[np.linspace(0, len(keys), buckets + 1).astype(int)[1:-1]]) if len(keys) else keys
 
@@ -129,8 +137,9 @@ def pack(docs, path: str, length: int = 2048, end_id: int = 1):
         tok = worker_pieces(path)
         for whole in batches:
             for batch in pieces(whole, size=2 << 20):
-                ids = [np.append(x, end_id).astype("<u2" if tok.library.get_vocab_size() <= 65536 else "<u4") for x in tok.encode_all(strings(batch))]
-                key = curve_keys(blobs(batch), _ids(batch))
+                ids = ids_of(tok, batch)
+                key = curve_keys(ids, _ids(batch))
+                ids = [x.astype("<u2" if tok.library.get_vocab_size() <= 65536 else "<u4") for x in ids]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.searchsorted(bounds, key, side="right"), pa.int32()), pa.array(key, pa.int64()), batch.column(0).cast(pa.int64()),
