@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from .bpe import _PLAIN, PieceCache
+from .bpe import _PLAIN, PieceCache, fast_pattern
 from .common import keep, mix, parts, pieces, shared_dir, strings, table
 
 BOUND_ROWS, DIMS, BITS = 40, 3, 10
@@ -55,7 +55,7 @@ class HfPieces(PieceCache):
 
     def encode_all(self, texts: list[str]) -> list[np.ndarray]:
         plain = [not _PLAIN.search(t) for t in texts]
-        ids = iter(self.encode([t for t, p in zip(texts, plain, strict=True) if p]))
+        ids = iter(self.encode([t for t, p in zip(texts, plain, strict=True) if p], fast_pattern().findall))
         return [next(ids) if p else np.array(self.library.encode(t, add_special_tokens=False).ids, dtype=np.int32) for t, p in zip(texts, plain, strict=True)]
 
 
