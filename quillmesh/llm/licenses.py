@@ -11,6 +11,7 @@ Null text is empty; empty texts have no words, no spans and score 0. Repeated ro
 from __future__ import annotations
 
 import re
+from bisect import bisect
 
 import numpy as np
 import pyarrow as pa
@@ -162,16 +163,23 @@ def spans(auto: Automaton, ws: list[bytes], min_match: int = 4, min_cover: float
         best: list[tuple[int, int, int]] = []  # covered words, first word of the chain, words that the chain spans
         for k, (d, q, n) in enumerate(ms):
             covered, first = n, d
-            for (d2, q2, n2), (c2, f2, _) in zip(ms[max(0, k - 64) : k], best[max(0, k - 64) : k], strict=True):
-                gap = d - (d2 + n2)
-                over = max(0, -gap, q2 + n2 - q)
-                if q2 < q and d2 < d and gap <= slack and n > over and c2 + n - over > covered:
+            for i in range(k - 1, -1, -1):
+                d2, q2, n2 = ms[i]
+                if d - d2 > slack + size:  # no match is longer than its template: all before end too early
+                    break
+                c2, f2, _ = best[i]
+                over = max(0, d2 + n2 - d, q2 + n2 - q)
+                if q2 < q and d2 < d <= d2 + n2 + slack and n > over and c2 + n - over > covered:
                     covered, first = c2 + n - over, f2
             best.append((covered, first, d + n))
         found += [(covered / size, covered, label, first, end) for covered, first, end in best if covered >= min_cover * size]
     out: list[tuple[str, int, int, float]] = []
+    taken: dict[str, list[tuple[int, int]]] = {}  # each label's spans, in order and disjoint
     for share, _, label, first, end in sorted(found, key=lambda x: (-x[1], -x[0], x[3], x[2])):
-        if not any(o[0] == label and o[1] < end and first < o[2] for o in out):
+        held = taken.setdefault(label, [])
+        i = bisect(held, (first, end))
+        if (not i or held[i - 1][1] <= first) and (i == len(held) or end <= held[i][0]):
+            held.insert(i, (first, end))
             out.append((label, first, end, min(1.0, share)))
     return out
 
