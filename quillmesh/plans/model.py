@@ -1 +1,408 @@
-def operator_name(c): return c
+"""Records to the seventeen kinds of entities: native projections, keys, last-wins dedupe and lookup joins, all keyed by file.
+
+Lookups by name need no join where the id is built from the name (the constructed id is the one that a lookup would find); only lookups by
+number, by base table, and "only if it exists" join. Every join is an equi-join on (file, key), so one large file spreads over its keys.
+"pos" is an entity's place (its first record's); "ord" and "idx" are those of the record whose values won.
+"""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from ..functions import tree as T
+from ..functions.scalars import filled, indexed, is_true, not_off, strip
+from ..operators.relational import last_wins, union_all
+from ..sources.store import Store
+
+#: Comparison codes of join predicates.
+OPERATORS = {"0": "=", "1": "!=", "2": "<", "3": "<=", "4": ">", "5": ">=", "6": "cartesian"}
+#: Kind of entity: its section in the model.
+SECTIONS = {
+    "table": "tables", "field": "fields", "tableOccurrence": "tableOccurrences", "relationship": "relationships", "layout": "layouts", "layoutObject": "layoutObjects", "script": "scripts",
+    "scriptStep": "scriptSteps", "customFunction": "customFunctions", "valueList": "valueLists", "privilegeSet": "privilegeSets", "account": "accounts", "extPriv": "extendedPrivileges",
+    "customMenu": "customMenus", "customMenuSet": "customMenuSets", "theme": "themes", "fileRef": "fileReferences",
+}
+
+
+@dataclass
+class Model:
+    """The tables of a normalized design. files: one row a file; entities: by kind; early: warnings of reading and normalizing. All are tables of the store."""
+
+    files: DataFrame
+    entities: dict[str, DataFrame]
+    early: DataFrame
+    store: Store
+    references: DataFrame | None = None
+    warnings: DataFrame | None = None
+
+
+def operator_name(code: Column) -> Column:
+    names = F.create_map(*[F.lit(x) for kv in OPERATORS.items() for x in kv])
+    return F.coalesce(F.try_element_at(names, code), F.lower(code))
+
+
+def _id(kind: str, *parts) -> Column:
+    return F.concat(F.lit(f"{kind}:"), *parts)
+
+
+def _field_id(table: Column, name: Column) -> Column:
+    return F.concat(F.lit("field:"), table, F.lit("::"), name)
+
+
+E = T.element()
+ID, NAME, XPATH = T.attr(E, "id", "ID"), strip(T.attr(E, "name", "Name")), E["xpath"]
+UUID = F.coalesce(filled(T.attr(E, "uuid", "UUID")), filled(T.text(T.at("UUID"))))
+BASE = [ID.alias("fmpId"), XPATH.alias("xpath")]
+
+
+def _of(records: DataFrame, kind: str) -> DataFrame:
+    return records.where(F.col("kind") == kind)
+
+
+def _raw(records: DataFrame, kind: str, *columns: Column, idx: Column | None = None) -> DataFrame:
+    return _of(records, kind).select("file", "ord", (F.lit(0) if idx is None else idx).cast("int").alias("idx"), *columns)
+
+
+def _entities(raw: DataFrame) -> DataFrame:
+    """Last record's values at the first record's place, nameless ones left out."""
+    return last_wins(raw.where("docId is not null"), ["file", "docId"], ["ord", "idx"])
+
+
+def _named(kind: str, name: Column) -> Column:
+    return F.when(name != "", _id(kind, name)).alias("docId")
+
+
+def warning(code: str, message: Column, entity: Column | None = None, detail: Column | None = None) -> list[Column]:
+    none = F.lit(None).cast("string")
+    return [F.lit(code).alias("code"), message.alias("message"), (none if entity is None else entity).alias("entityDocId"), (none if detail is None else detail).alias("detail")]
+
+
+def files(records: DataFrame) -> DataFrame:
+    """One row a file: its version, solution and what went wrong."""
+    root, get = T.element(), lambda e, *n: F.coalesce(*[filled(e["attrs"][x]) for x in n])
+    of = lambda tag: F.get(F.filter("above", lambda x: x["tag"] == tag), F.lit(0))
+    version, build = get(of("Product"), "Version", "version"), get(of("Product"), "Build", "build")
+    v2 = (root["tag"] == "FMSaveAsXML") & (get(root, "File", "file").isNotNull() | F.startswith(F.coalesce(get(root, "version", "Version"), F.lit("")), F.lit("2.")))
+    base = F.element_at(F.split("file", "/"), -1)
+    stem = F.regexp_replace(base, r"(?<=.)\.[^.]*$", "")
+    known = F.when(v2, F.coalesce(get(root, "Source"), root["attrs"]["version"], F.lit("unknown")))
+    v1 = F.when(version.isNull(), "unknown").when(build.isNull(), version).otherwise(F.concat(version, F.lit(" (build "), build, F.lit(")")))
+    solution = F.when(v2, F.coalesce(filled(F.regexp_replace(F.coalesce(root["attrs"]["File"], F.lit("")), r"\.fmp12|\.fmp7", "")), stem)).otherwise(
+        F.coalesce(get(of("File"), "name", "Name", "fileName"), F.when(of("Database").isNotNull(), F.coalesce(get(of("Database"), "name", "Name", "fileName"), stem)))
+    )
+    return _of(records, "file").select("file", "modified", base.alias("fileName"), F.coalesce(known, F.when(root.isNotNull(), v1), F.lit("unknown")).alias("version"), F.coalesce(solution, base).alias("solution"), "warning")
+
+
+def fields(records: DataFrame) -> DataFrame:
+    """Raw fields, valid or not: docId is null where a name is missing."""
+    owner = F.get("above", F.lit(0))
+    table = strip(T.attr(owner, "name", "Name"))
+    auto, check, store = T.at("AutoEnter"), T.at("Validation"), T.at("Storage")
+    constant, calc = filled(T.attr(auto, "constant", "Constant")), T.calculation("AutoEnter/Calculation")
+    serial, lookup = is_true(T.attr(auto, "serial", "Serial")), is_true(T.attr(auto, "lookup", "Lookup"))
+    kind = F.when(calc.isNotNull(), "calculation").when(serial, "serial").when(lookup, "lookup").when(constant.isNotNull(), "data")
+    value = F.when(~serial & ~lookup, constant)
+    auto_enter = F.when(kind.isNotNull(), F.struct(kind.alias("type"), value.alias("value"), calc.alias("calculation"), (T.attr(auto, "allowEditing", "AllowEditing") == "False").alias("no_modify_auto_enter")))
+
+    def rule(tag: str, inline: str) -> Column:
+        e = T.at(f"Validation/{tag}")
+        return F.when(e.isNotNull(), is_true(T.attr(e, "value", "Value"))).otherwise(F.lower(T.attr(check, inline)) == "true")
+
+    most = F.nullif(filled(T.attr(T.at("Validation/MaximumCharacters"), "value", "Value")).try_cast("int"), F.lit(0))
+    required, not_empty, unique = rule("Required", "required"), rule("NotEmpty", "notEmpty"), rule("Unique", "unique")
+    validation = F.when(
+        check.isNotNull() & (required | not_empty | unique | most.isNotNull()),
+        F.struct(required.alias("required"), not_empty.alias("not_empty"), unique.alias("unique"), most.alias("max_characters"), filled(T.attr(check, "message", "Message")).alias("message")),
+    )
+    repeat = F.coalesce(T.attr(store, "maxRepeat", "MaxRepeat", "maxRepetitions", default=None).try_cast("int"), F.lit(1))
+    storage = F.struct(is_true(T.attr(store, "global", "Global")).alias("global"), indexed(T.attr(store, "index", "Index", "autoIndex", "AutoIndex")).alias("indexed"), repeat.alias("maxRepeat"))
+    return _raw(
+        records, "field", F.when((NAME != "") & (table != ""), _field_id(table, NAME)).alias("docId"), NAME.alias("name"), table.alias("table"),
+        F.concat(table, F.lit("::"), NAME).alias("qualifiedName"), _id("table", table).alias("baseTableDocId"), *BASE, UUID.alias("uuid"),
+        F.coalesce(filled(T.attr(E, "dataType", "DataType", "datatype", "fieldDataType")), F.lit("Text")).alias("dataType"),
+        F.coalesce(filled(T.attr(E, "fieldType", "FieldType", "fieldtype")), F.lit("Normal")).alias("fieldType"),
+        T.calculation().alias("calculation"), auto_enter.alias("autoEnter"), validation.alias("validation"), storage.alias("storage"),
+    )
+
+
+def by_number(entities: DataFrame, key: str, value: str) -> DataFrame:
+    """(file, key, value): of entities that share a number the last one's id."""
+    return entities.groupBy("file", F.col("fmpId").alias(key)).agg(F.max_by("docId", "pos").alias(value))
+
+
+def exists(entities: DataFrame, key: str) -> DataFrame:
+    return entities.select("file", F.col("docId").alias(key), F.lit(True).alias(f"has_{key}"))
+
+
+def table_occurrences(records: DataFrame, tables: DataFrame) -> DataFrame:
+    base = F.coalesce(filled(T.attr(E, "baseTableID", "baseTableId", "tableID")), T.attr(T.at("BaseTableSourceReference/BaseTableReference"), "id", "ID"))
+    raw = _raw(records, "tableOccurrence", _named("to", NAME), NAME.alias("name"), *BASE, UUID.alias("uuid"), base.alias("base"), _id("table", NAME).alias("like")).where("docId is not null")
+    found = raw.join(by_number(tables, "base", "byNumber"), ["file", "base"], "left").join(exists(tables, "like"), ["file", "like"], "left")
+    return found.withColumn("baseTableDocId", F.coalesce("byNumber", F.when(F.col("has_like"), F.col("like")), F.lit(""))).drop("base", "like", "byNumber", "has_like")
+
+
+def _occurrence(path: str, what: str) -> Column:
+    """id or name of a table occurrence: on the element itself, or on the reference in it."""
+    return F.coalesce(filled(T.attr(T.at(path), what, what.upper() if what == "id" else "Name")), T.attr(T.at(f"{path}/TableOccurrenceReference"), what, what.upper() if what == "id" else "Name"))
+
+
+def relationships(records: DataFrame, occurrences: DataFrame) -> DataFrame:
+    """Raw relationships with their sides looked up; predicates name occurrence and field."""
+    side = lambda p, tag: T.child(p, tag)
+
+    def end(p: Column, tag: str) -> Column:
+        def parts(w: Column) -> Column:
+            ref = T.child(w, "FieldReference")
+            own = filled(T.attr(w, "tableName", "table"))
+            return F.struct(F.coalesce(filled(T.attr(w, "name", "Name")), T.attr(ref, "name", "Name")).alias("field"), F.coalesce(own, T.let(ref, lambda r: T.attr(T.child(r, "TableOccurrenceReference"), "name", "Name"))).alias("table"))
+
+        return T.let(side(p, tag), parts)
+
+    code = lambda p: F.coalesce(filled(T.attr(p, "fieldCompareOp", "operator", "op", "type")), F.lit("0"))
+    predicates = F.transform(T.below("JoinPredicateList", "JoinPredicate"), lambda p: F.struct(end(p, "LeftField").alias("left"), operator_name(code(p)).alias("operator"), end(p, "RightField").alias("right")))
+    left, right = _occurrence("LeftTable", "name"), _occurrence("RightTable", "name")
+    name = F.coalesce(filled(NAME), F.when((left != "") & (right != ""), F.concat(left, F.lit("__"), right)), filled(left), filled(right), F.concat(F.lit("rel_"), ID))
+    options = T.at("Options")
+    flag = lambda *n: F.when(options.isNotNull(), is_true(F.coalesce(filled(T.attr(options, *n)), T.attr(E, *n)))).otherwise(F.lit(False))
+    raw = _raw(
+        records, "relationship", _named("relationship", name), name.alias("name"), *BASE, _occurrence("LeftTable", "id").alias("l"), _occurrence("RightTable", "id").alias("r"), left.alias("ln"), right.alias("rn"),
+        predicates.alias("named"), F.struct(flag("allowCreateRelatedRecords", "createRelated").alias("allowCreateRelated"), flag("deleteRelatedRecords", "deleteRelated").alias("deleteRelated"), flag("sortRelatedRecords", "sortRelated").alias("sortRelated")).alias("options"),
+    )
+    for k, n, out in (("l", "ln", "leftTableOccurrenceDocId"), ("r", "rn", "rightTableOccurrenceDocId")):
+        raw = raw.join(by_number(occurrences, k, f"{k}To"), ["file", k], "left").withColumn(out, F.coalesce(f"{k}To", _id("to", F.col(n)))).drop(k, n, f"{k}To")
+    return raw
+
+
+def resolve_predicates(raw: DataFrame, occurrences: DataFrame, fields_: DataFrame) -> DataFrame:
+    """Fields of predicates: through the occurrence's base table if it has the field, else built from the names; empty if a name is missing."""
+    each = raw.select("file", "ord", F.posexplode("named").alias("j", "p")).select("file", "ord", "j", F.explode(F.array(F.struct(F.lit("left").alias("side"), F.col("p.left").alias("x")), F.struct(F.lit("right").alias("side"), F.col("p.right").alias("x")))).alias("s"), "p.operator")
+    each = each.select("file", "ord", "j", "operator", "s.side", F.coalesce("s.x.table", F.lit("")).alias("table"), F.coalesce("s.x.field", F.lit("")).alias("field"))
+    base = occurrences.select("file", F.col("name").alias("table"), F.expr("substring(baseTableDocId, 7)").alias("base")).where("base <> ''")
+    each = each.join(base, ["file", "table"], "left").withColumn("through", _field_id(F.col("base"), F.col("field")))
+    each = each.join(exists(fields_, "through"), ["file", "through"], "left")
+    built = F.when((F.col("table") != "") & (F.col("field") != ""), _field_id(F.col("table"), F.col("field"))).otherwise(F.lit(""))
+    each = each.withColumn("id", F.when(F.col("has_through"), F.col("through")).otherwise(built))
+    pair = each.groupBy("file", "ord", "j").agg(F.max(F.when(F.col("side") == "left", F.col("id"))).alias("leftFieldDocId"), F.first("operator").alias("operator"), F.max(F.when(F.col("side") == "right", F.col("id"))).alias("rightFieldDocId"))
+    held = pair.groupBy("file", "ord").agg(F.sort_array(F.collect_list(F.struct("j", "leftFieldDocId", "operator", "rightFieldDocId"))).alias("ps"))
+    out = raw.drop("named").join(held, ["file", "ord"], "left")
+    return out.withColumn("predicates", F.transform(F.coalesce("ps", F.array().cast("array<struct<j:int,leftFieldDocId:string,operator:string,rightFieldDocId:string>>")), lambda p: F.struct(p.leftFieldDocId, p.operator, p.rightFieldDocId))).drop("ps")
+
+
+def layouts(records: DataFrame, occurrences: DataFrame) -> DataFrame:
+    """Raw layouts with their occurrence: by number, by name, by base table, else built."""
+    own = filled(T.attr(E, "tableOccurrenceID", "tableOccurrenceId", "tableID"))
+    ref = T.at("TableOccurrenceReference")
+    number = F.coalesce(own, T.attr(ref, "id", "ID"))
+    given = T.attr(E, "tableOccurrenceName", "tableName")
+    name = F.when(own.isNotNull(), given).otherwise(F.coalesce(filled(given), T.attr(ref, "name", "Name")))
+    theme = F.coalesce(filled(T.attr(E, "theme", "Theme")), filled(T.attr(T.at("LayoutThemeReference"), "name", "Name")))
+    raw = _raw(records, "layout", _named("layout", NAME), NAME.alias("name"), *BASE, UUID.alias("uuid"), theme.alias("theme"), number.alias("n"), name.alias("toName"), _id("to", name).alias("like")).where("docId is not null")
+    base = occurrences.where("baseTableDocId like '%:_%'").groupBy("file", F.expr("substring(baseTableDocId, 7)").alias("toName")).agg(F.min_by("docId", "pos").alias("byBase"))
+    found = raw.join(by_number(occurrences, "n", "byNumber"), ["file", "n"], "left").join(exists(occurrences, "like"), ["file", "like"], "left").join(base, ["file", "toName"], "left")
+    return found.withColumn("baseTableOccurrenceDocId", F.coalesce("byNumber", F.when(F.col("has_like"), F.col("like")), "byBase", F.when(F.col("toName") != "", F.col("like")))).drop("n", "toName", "like", "has_like", "byNumber", "byBase")
+
+
+def layout_objects(records: DataFrame, layouts_: DataFrame, occurrences: DataFrame) -> DataFrame:
+    """Raw layout objects, the first of each id within a layout; ord is their layout's."""
+    v2 = E["tag"] == "LayoutObject"
+    part = F.get("above", F.lit(0))
+    placed = T.at("Field/FieldReference")
+    legacy = T.let(F.when(T.attr(E, "type", "Type").isin("FieldObj", "Field", "FieldObject"), T.child(E, "FieldObj", "Field")), lambda f: T.child(f, "Name"))
+    name = F.when(v2, T.attr(placed, "name", "Name")).otherwise(T.attr(legacy, "field", "Field", "name", "Name"))
+    table = F.when(v2, T.attr(T.at("Field/FieldReference/TableOccurrenceReference"), "name", "Name")).otherwise(T.attr(legacy, "table", "Table", "tableName"))
+    number = F.when(v2, T.attr(T.at("Field/FieldReference/TableOccurrenceReference"), "id", "ID")).otherwise(T.attr(legacy, "tableID", "TableId"))
+    has = F.when(v2, placed.isNotNull()).otherwise(legacy.isNotNull())
+    # Text/StyledText/Data if it isn't empty, else the own text
+    data = T.at("Text/StyledText/Data")["text"]
+    raw_text = F.when(v2, filled(T.text(F.when(F.coalesce(data, F.lit("")) != "", T.at("Text/StyledText/Data")).otherwise(T.at("Text")))))
+    edge = lambda k: filled(T.attr(T.at("Bounds"), k, k.capitalize())).try_cast("double").alias(k)
+    bounds = F.struct(*[edge(k) for k in ("top", "left", "bottom", "right")])
+    uuid = F.when(v2, UUID).otherwise(filled(T.attr(E, "uuid", "UUID")))
+    raw = _of(records, "layoutObject").select(
+        "file", F.col("owner").alias("ord"), F.col("idx").alias("at"), ID.alias("objectId"), T.attr(E, "type", "Type").alias("objectType"), T.attr(E, "name", "Name").alias("name"), uuid.alias("uuid"), filled(T.attr(E, "kind", "Kind")).alias("kind"),
+        F.when(v2, F.coalesce(filled(T.attr(part, "type", "Type")), filled(T.attr(part, "kind", "Kind")))).alias("part"), bounds.alias("bounds"), F.when(has, name).alias("fn"), F.when(has, table).alias("tn"), F.when(has, number).alias("n"),
+        raw_text.alias("rawText"), v2.alias("v2"), XPATH.alias("xpath"),
+    ).where("v2 or objectType <> ''")
+    # numbered among those of the layout that count; a layout's objects are bounded by what one design holds, and keyed by (file, layout)
+    from pyspark.sql import Window
+
+    raw = raw.withColumn("idx", F.row_number().over(Window.partitionBy("file", "ord").orderBy("at")))
+    key = F.when(F.col("objectId") != "", F.col("objectId")).otherwise(F.concat(F.lit("_idx"), F.col("idx")))
+    rest = [c for c in raw.columns if c not in ("file", "ord")]
+    first = raw.withColumn("k", key).groupBy("file", "ord", "k").agg(F.min_by(F.struct(*rest), "idx").alias("v")).select("file", "ord", "v.*")
+    named = first.join(layouts_.select("file", "ord", F.col("name").alias("layout"), F.col("docId").alias("layoutDocId")), ["file", "ord"])
+    label = F.when(F.col("objectId") != "", F.col("objectId")).otherwise(F.concat(F.lit("idx"), F.format_string("%04d", "idx")))
+    named = named.withColumn("docId", F.concat(F.lit("layoutObject:"), "layout", F.lit("::"), label)).withColumn("like", _id("to", F.col("tn")))
+    found = named.join(by_number(occurrences, "n", "byNumber").where("n <> ''"), ["file", "n"], "left").join(exists(occurrences, "like"), ["file", "like"], "left")
+    both = (F.col("fn") != "") & (F.col("tn") != "")
+    shown = F.when(F.coalesce(*[F.col(f"bounds.{k}") for k in ("top", "left", "bottom", "right")]).isNotNull(), F.col("bounds"))
+    return found.withColumns({
+        "bounds": shown, "fieldDocId": F.when(both, _field_id(F.col("tn"), F.col("fn"))), "loose": F.when(F.col("fn") != "", _field_id(F.coalesce("tn", F.lit("")), F.col("fn"))),
+        "tableOccurrenceDocId": F.coalesce("byNumber", F.when(F.col("has_like") & (F.col("tn") != ""), F.col("like"))),
+    }).drop("n", "like", "byNumber", "has_like", "fn", "tn", "at", "v2", "layout")
+
+
+def with_objects(raw: DataFrame, objects: DataFrame) -> DataFrame:
+    """Layout entities with their objects and fields: those of the last record of a name; fields of the last one whose objects show any."""
+    o = objects.groupBy("file", "ord").agg(F.sort_array(F.collect_list(F.struct("idx", "docId", "fieldDocId", "loose"))).alias("o"))
+    pick = lambda c: F.transform("o", lambda x: x[c])
+    distinct = lambda c: F.array_distinct(F.filter(pick(c), lambda x: x.isNotNull()))
+    none = F.array().cast("array<string>")
+    all_ = raw.join(o, ["file", "ord"], "left").select(*raw.columns, F.coalesce(pick("docId"), none).alias("layoutObjects"), F.coalesce(distinct("fieldDocId"), none).alias("derived"), F.coalesce(distinct("loose"), none).alias("loose"))
+    rest = [c for c in all_.columns if c not in ("file", "docId", "derived")]
+    place = F.struct("ord", "idx")
+    got = all_.groupBy("file", "docId").agg(F.min(place).alias("pos"), F.max_by(F.struct(*rest), place).alias("v"), F.max_by("derived", F.when(F.size("derived") > 0, F.col("ord"))).alias("best"))
+    return got.select("file", "docId", "pos", "v.*", "best").withColumn("referencedFields", F.coalesce("best", "loose")).drop("best", "loose")
+
+
+def scripts(records: DataFrame) -> DataFrame:
+    """Raw scripts with their folder path."""
+    names = F.transform("above", lambda f: T.attr(f, "name", "Name"))
+    path = F.aggregate(names, F.lit(""), lambda a, n: F.ltrim(F.concat(a, F.lit("/"), n), F.lit("/")))
+    return _raw(records, "script", _named("script", NAME), NAME.alias("name"), *BASE, UUID.alias("uuid"), filled(path).alias("folderPath"))
+
+
+def steps(records: DataFrame, scripts_: DataFrame) -> DataFrame:
+    """Raw steps of every named script: those listed apart for its number (the last list of a number), even if none, else those in it; ord is the script's."""
+    index = F.coalesce(T.attr(E, "index", "Index").try_cast("int"), F.col("idx"))
+    at_layout, at_script = T.at("Layout"), T.at("Script")
+    refs = F.transform(F.filter(T.descendants("Field"), lambda x: x["i"] > 0), lambda f: F.struct(T.attr(f, "table", "Table", "tableName").alias("t"), T.attr(f, "name", "Name").alias("f")))
+    calc = filled(T.text(T.at("Calculation")))
+    name, first = T.attr(E, "name", "Name"), F.get(refs, F.lit(0))
+    about = F.when(at_layout.isNotNull(), T.attr(at_layout, "name", "Name")).when(F.size(refs) > 0, F.concat(first["t"], F.lit("::"), first["f"])).when(at_script.isNotNull(), T.attr(at_script, "name", "Name")).otherwise(F.substring(calc, 1, 80))
+    target = lambda kind, n, role: F.when(n != "", F.array(F.struct(F.lit(kind).alias("kind"), _id(kind, n).alias("targetDocId"), F.lit(role).alias("role"), F.lit(None).cast("string").alias("rawText")))).otherwise(F.array().cast("array<struct<kind:string,targetDocId:string,role:string,rawText:string>>"))
+    fields_ = F.transform(F.filter(refs, lambda r: r.f != ""), lambda r: F.struct(F.lit("field").alias("kind"), _field_id(r.t, r.f).alias("targetDocId"), F.lit("target").alias("role"), F.concat(r.t, F.lit("::"), r.f).alias("rawText")))
+    raw = _of(records, "step").select(
+        "file", "owner", "idx", index.alias("index"), ID.alias("stepId"), name.alias("name"), F.when(T.attr(E, "enable", "Enable", "enabled", "Enabled") == "", F.lit(True)).otherwise(not_off(T.attr(E, "enable", "Enable", "enabled", "Enabled"), "True")).alias("enabled"),
+        F.when(about.isNotNull(), F.concat(name, F.lit(" [ "), about, F.lit(" ]"))).otherwise(name).alias("rawText"),
+        F.concat(target("layout", T.attr(at_layout, "name", "Name"), "target"), fields_, target("script", T.attr(at_script, "name", "Name"), "callee")).alias("references"),
+    )
+    apart = _of(records, "stepSet").select("file", T.attr(F.get("above", F.lit(0)), "id", "ID").alias("fmpId"), "ord").where("fmpId <> ''").groupBy("file", "fmpId").agg(F.max("ord").alias("set"))
+    source = scripts_.join(apart, ["file", "fmpId"], "left").select("file", "ord", F.col("name").alias("script"), F.col("docId").alias("scriptDocId"), F.coalesce("set", "ord").alias("owner"))
+    return source.join(raw, ["file", "owner"]).drop("owner").withColumn("docId", F.concat(F.lit("scriptStep:"), "script", F.lit(":"), F.format_string("%04d", "index"))).drop("script")
+
+
+def with_steps(scripts_: DataFrame, steps_: DataFrame) -> DataFrame:
+    """Script entities with their steps and what these refer to, each once in order."""
+    s = steps_.groupBy("file", "ord").agg(F.sort_array(F.collect_list(F.struct("idx", "docId", F.transform("references", lambda r: F.struct(r.kind, r.targetDocId)).alias("refs")))).alias("s"))
+    refs = F.flatten(F.transform("s", lambda x: x.refs))
+    of = lambda kind: F.coalesce(F.array_distinct(F.transform(F.filter(refs, lambda r: r.kind == kind), lambda r: r.targetDocId)), F.array().cast("array<string>"))
+    return scripts_.join(s, ["file", "ord"], "left").withColumns({"steps": F.coalesce(F.transform("s", lambda x: x.docId), F.array().cast("array<string>")), "referencedFields": of("field"), "referencedLayouts": of("layout"), "referencedScripts": of("script")}).drop("s")
+
+
+def custom_functions(records: DataFrame) -> DataFrame:
+    given = T.attr(E, "parameters", "Parameters", "pramaters")
+    listed = F.transform(F.when(T.at("ObjectList").isNotNull(), T.below("ObjectList", "Parameter")).otherwise(T.descendants("Parameter")), lambda p: T.attr(p, "name", "Name"))
+    split = F.transform(F.split(given, "[;,]"), strip)
+    parameters = F.filter(F.when(given != "", split).otherwise(listed), lambda x: x != "")
+    raw = _raw(records, "customFunction", _named("customFunction", NAME), NAME.alias("name"), *BASE, UUID.alias("uuid"), parameters.alias("parameters"), T.calculation().alias("own"))
+    apart = _of(records, "customFunctionCalc").select("file", "ord", T.attr(T.at("CustomFunctionReference"), "id", "ID").alias("fmpId"), T.calculation().alias("apart")).where("fmpId <> '' and apart is not null").groupBy("file", "fmpId").agg(F.max_by("apart", "ord").alias("apart"))
+    return raw.join(apart, ["file", "fmpId"], "left").withColumn("calculation", F.coalesce("own", "apart")).drop("own", "apart")
+
+
+def value_lists(records: DataFrame) -> DataFrame:
+    source = T.at("Source")
+    given = T.attr(source, "value", "Value")
+    kind = F.when(source.isNotNull(), F.when(given == "Custom", "custom").when(given == "FromField", "field").otherwise(F.lower(given))).otherwise(F.lower(F.coalesce(filled(T.attr(E, "type", "Type")), F.lit("custom"))))
+    some = lambda a: F.when(F.size(a) > 0, a)
+    values = lambda nodes: F.filter(F.transform(nodes, T.text), lambda x: x != "")
+    pair = lambda n: F.when(n.isNotNull(), F.struct(T.attr(n, "table", "Table", "tableName").alias("t"), T.attr(n, "name", "Name").alias("f")))
+    raw = _raw(
+        records, "valueList", _named("valueList", NAME), NAME.alias("name"), *BASE, UUID.alias("uuid"), kind.alias("k"),
+        F.coalesce(some(values(T.below("CustomValues", "Value"))), values(T.descendants("Value"))).alias("own"), pair(T.child(E, "SourceField", "Field")).alias("src"), pair(T.at("SecondField")).alias("second"),
+    )
+    custom = F.when(given == "Custom", T.lines(F.coalesce(T.at("CustomValues/Text")["text"], F.lit(""))))
+    primary = T.at("Field/PrimaryField/FieldReference")
+    far = F.when((given == "FromField") & primary.isNotNull(), F.struct(T.attr(T.at("Field/PrimaryField/FieldReference/TableOccurrenceReference"), "name", "Name").alias("t"), T.attr(primary, "name", "Name").alias("f")))
+    apart = _of(records, "valueListOptions").select("file", "ord", T.attr(T.at("ValueListReference"), "id", "ID").alias("fmpId"), F.struct(custom.alias("values"), far.alias("src")).alias("o")).where("fmpId <> ''").groupBy("file", "fmpId").agg(F.max_by("o", "ord").alias("o"))
+    k, built = F.col("k"), lambda s: F.when((s["t"] != "") & (s["f"] != ""), _field_id(s["t"], s["f"]))
+    of_field = ~F.contains(k, F.lit("custom")) & (F.contains(k, F.lit("field")) | F.contains(k, F.lit("related")))
+    none = F.array().cast("array<string>")
+    return raw.join(apart, ["file", "fmpId"], "left").withColumns({
+        "listType": F.when(of_field, F.when(F.contains(k, F.lit("field")), "field").otherwise("related")).otherwise("customValues"),
+        "values": F.when(F.contains(k, F.lit("custom")), F.coalesce(some(F.col("o.values")), "own")).otherwise(none),
+        "sourceFieldDocId": F.when(of_field, built(F.coalesce("o.src", "src"))), "secondFieldDocId": F.when(of_field, built(F.col("second"))),
+    }).drop("k", "own", "src", "second", "o")
+
+
+def small_kinds(records: DataFrame) -> dict[str, DataFrame]:
+    """Kinds without lookups."""
+    described = F.coalesce(filled(T.text(T.at("Description"))), filled(T.attr(E, "description", "Description")))
+    out = {"privilegeSet": _raw(records, "privilegeSet", _named("privilegeSet", NAME), NAME.alias("name"), *BASE, F.coalesce(filled(T.attr(E, "description", "Description")), filled(T.text(T.at("Description")))).alias("description"))}
+    holder = F.coalesce(T.at("AccountName"), T.at("Authentication/AccountName"))
+    name = F.when(holder.isNotNull(), T.text(holder)).otherwise(NAME)
+    group = filled(T.attr(T.at("PrivilegeSetReference"), "name", "Name"))
+    out["account"] = _raw(
+        records, "account", _named("account", name), name.alias("name"), *BASE, T.attr(E, "type", "Type", default="FileMaker").alias("accountType"), not_off(T.attr(E, "enable", "Enable", "enabled", default=None), "True").alias("enabled"),
+        described.alias("description"), _id("privilegeSet", group).alias("privilegeSetDocId"), group.alias("privilegeSetName"),
+    )
+    sets = F.array_distinct(F.transform(F.filter(F.transform(T.descendants("PrivilegeSetReference"), lambda r: T.attr(r, "name", "Name")), lambda n: n != ""), lambda n: _id("privilegeSet", n)))
+    out["extPriv"] = _raw(records, "extPriv", _named("extPriv", NAME), NAME.alias("name"), *BASE, described.alias("description"), sets.alias("privilegeSetDocIds"))
+    on = lambda n: F.lower(F.coalesce(T.at("Options")["attrs"][n], F.lit("True"))) != "false"
+    items = F.transform(T.below("MenuItemList", "MenuItem"), lambda m: F.struct(T.attr(m, "name", "Name").alias("name"), T.attr(m, "type", "Type").alias("actionType"), F.lit(None).cast("string").alias("installCondition")))
+    base = F.when(T.at("Base").isNotNull(), T.attr(T.at("Base"), "name", "Name"))
+    out["customMenu"] = _raw(
+        records, "customMenu", _named("customMenu", NAME), NAME.alias("name"), *BASE, base.alias("baseMenuName"), T.calculation("Conditions/Install/Calculation").alias("installCondition"),
+        on("browseMode").alias("browseMode"), on("findMode").alias("findMode"), on("previewMode").alias("previewMode"), items.alias("items"),
+    )
+    menus = F.transform(F.filter(F.transform(T.descendants("CustomMenuReference"), lambda r: T.attr(r, "name", "Name")), lambda n: n != ""), lambda n: _id("customMenu", n))
+    out["customMenuSet"] = _raw(records, "customMenuSet", _named("customMenuSet", NAME), NAME.alias("name"), *BASE, menus.alias("menuDocIds"))
+    out["theme"] = _raw(
+        records, "theme", _named("theme", NAME), NAME.alias("name"), *BASE, T.attr(E, "Display", "display", "displayName").alias("displayName"), filled(T.attr(E, "Group", "group")).alias("group"),
+        not_off(T.attr(E, "defaultTheme", "DefaultTheme", default=None), "False").alias("defaultTheme"),
+    )
+    shown = F.when(T.at("Display").isNotNull(), T.text(T.at("Display"))).otherwise(T.attr(E, "name", "Name"))
+    kind = T.attr(E, "type", "Type", default="Local")
+    out["fileRef"] = _raw(records, "fileRef", F.when(shown != "", _id("fileRef", kind, F.lit(":"), shown)).alias("docId"), shown.alias("name"), *BASE, kind.alias("refType"), not_off(T.attr(E, "self", "Self", default=None), "False").alias("isSelf"))
+    return {k: _entities(v) for k, v in out.items()}
+
+
+def _registered(entities: DataFrame, rows: DataFrame, column: str) -> DataFrame:
+    """entities with an array of the members that rows(file, docId, member, ord, idx) name, each once, in order of first appearance."""
+    first = rows.groupBy("file", "docId", "member").agg(F.min(F.struct("ord", "idx")).alias("at"))
+    lists = first.groupBy("file", "docId").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "member"))), lambda x: x.member).alias(column))
+    return entities.join(lists, ["file", "docId"], "left").withColumn(column, F.coalesce(column, F.array().cast("array<string>")))
+
+
+def normalize(records: DataFrame, store: Store) -> Model:
+    """Records to entities, each kind a table of the store. records should be a table too: every kind reads it."""
+    raw = {"table": _raw(records, "table", _named("table", NAME), NAME.alias("name"), *BASE, UUID.alias("uuid")), "field": fields(records), "script": scripts(records).where("docId is not null")}
+    first = store.keep_all({"raw/field": raw["field"], "base/table": _entities(raw["table"]), "base/field": _entities(raw["field"])})
+    raw_fields, tables, fields_ = first["raw/field"], first["base/table"], first["base/field"]
+    raw_to = store.keep("raw/tableOccurrence", table_occurrences(records, tables))
+    occurrences = store.keep("base/tableOccurrence", _entities(raw_to))
+    raw_layouts = layouts(records, occurrences)
+    more = store.keep_all({"raw/relationship": relationships(records, occurrences), "raw/layoutObject": layout_objects(records, raw_layouts, occurrences), "raw/scriptStep": steps(records, raw["script"])})
+    raw_rel, raw_objects, raw_steps = more.values()
+    joined = union_all(*[raw_rel.select("file", F.col(c).alias("docId"), F.col("docId").alias("member"), "ord", F.lit(i).alias("idx")) for i, c in enumerate(("leftTableOccurrenceDocId", "rightTableOccurrenceDocId"))])
+    of_base = lambda df: df.where("docId is not null").select("file", F.col("baseTableDocId").alias("docId"), F.col("docId").alias("member"), "ord", "idx")
+    ents = store.keep_all({
+        "entities/table": _registered(_registered(tables, of_base(raw_fields), "fields"), of_base(raw_to), "tableOccurrences"),
+        "entities/field": fields_,
+        "entities/tableOccurrence": _registered(occurrences, joined, "relationships"),
+        "entities/relationship": _entities(resolve_predicates(raw_rel, occurrences, fields_)),
+        "entities/layout": with_objects(raw_layouts, raw_objects),
+        "entities/layoutObject": _entities(raw_objects.drop("loose")),
+        "entities/script": with_steps(_entities(raw["script"]), raw_steps),
+        "entities/scriptStep": _entities(raw_steps),
+        "entities/customFunction": _entities(custom_functions(records)),
+        "entities/valueList": _entities(value_lists(records)),
+        **{f"entities/{k}": df for k, df in small_kinds(records).items()},
+    })
+    ents = {k.split("/")[1]: df for k, df in ents.items()}
+    raw_tables = raw["table"]
+    told = files(records)
+    # phase orders warnings: reading, tables, fields
+    orphan = raw_fields.where("docId is not null").join(exists(tables, "baseTableDocId"), ["file", "baseTableDocId"], "left").where("has_baseTableDocId is null")
+    row = lambda df, phase, cols: df.select("file", F.lit(phase).alias("phase"), "ord", *cols)
+    early = union_all(
+        row(told.where("warning is not null").withColumn("ord", F.lit(0)), 0, warning("PARSE_WARNING", F.col("warning"))),
+        row(raw_tables.where("docId is null"), 1, warning("MISSING_NAME", F.lit("Table record missing name — skipped"), None, F.to_json(F.struct("fmpId", "name", "xpath")))),
+        row(raw_fields.where("docId is null"), 2, warning("MISSING_NAME", F.lit("Field record missing name or table — skipped"), None, F.to_json(F.struct("fmpId", "name", "table", "xpath")))),
+        row(orphan, 2, warning("ORPHAN_FIELD", F.concat(F.lit("Field '"), "qualifiedName", F.lit("' references table '"), "table", F.lit("' which was not found")), F.col("docId"))),
+    )
+    kept = store.keep_all({"files": told, "early": early})
+    return Model(kept["files"], ents, kept["early"], store)
