@@ -52,10 +52,29 @@ def _field_id(table: Column, name: Column) -> Column:
     return F.concat(F.lit("field:"), table, F.lit("::"), name)
 
 
-E = T.element()
-ID, NAME, XPATH = T.attr(E, "id", "ID"), strip(T.attr(E, "name", "Name")), E["xpath"]
-UUID = F.coalesce(filled(T.attr(E, "uuid", "UUID")), filled(T.text(T.at("UUID"))))
-BASE = [ID.alias("fmpId"), XPATH.alias("xpath")]
+def E() -> Column:
+    """The record's own element. (Columns need a session, so they are made when they are used.)"""
+    return T.element()
+
+
+def ID() -> Column:
+    return T.attr(E(), "id", "ID")
+
+
+def NAME() -> Column:
+    return strip(T.attr(E(), "name", "Name"))
+
+
+def XPATH() -> Column:
+    return E()["xpath"]
+
+
+def UUID() -> Column:
+    return F.coalesce(filled(T.attr(E(), "uuid", "UUID")), filled(T.text(T.at("UUID"))))
+
+
+def BASE() -> list[Column]:
+    return [ID().alias("fmpId"), XPATH().alias("xpath")]
 
 
 def _of(records: DataFrame, kind: str) -> DataFrame:
@@ -120,10 +139,10 @@ def fields(records: DataFrame) -> DataFrame:
     repeat = F.coalesce(T.attr(store, "maxRepeat", "MaxRepeat", "maxRepetitions", default=None).try_cast("int"), F.lit(1))
     storage = F.struct(is_true(T.attr(store, "global", "Global")).alias("global"), indexed(T.attr(store, "index", "Index", "autoIndex", "AutoIndex")).alias("indexed"), repeat.alias("maxRepeat"))
     return _raw(
-        records, "field", F.when((NAME != "") & (table != ""), _field_id(table, NAME)).alias("docId"), NAME.alias("name"), table.alias("table"),
-        F.concat(table, F.lit("::"), NAME).alias("qualifiedName"), _id("table", table).alias("baseTableDocId"), *BASE, UUID.alias("uuid"),
-        F.coalesce(filled(T.attr(E, "dataType", "DataType", "datatype", "fieldDataType")), F.lit("Text")).alias("dataType"),
-        F.coalesce(filled(T.attr(E, "fieldType", "FieldType", "fieldtype")), F.lit("Normal")).alias("fieldType"),
+        records, "field", F.when((NAME() != "") & (table != ""), _field_id(table, NAME())).alias("docId"), NAME().alias("name"), table.alias("table"),
+        F.concat(table, F.lit("::"), NAME()).alias("qualifiedName"), _id("table", table).alias("baseTableDocId"), *BASE(), UUID().alias("uuid"),
+        F.coalesce(filled(T.attr(E(), "dataType", "DataType", "datatype", "fieldDataType")), F.lit("Text")).alias("dataType"),
+        F.coalesce(filled(T.attr(E(), "fieldType", "FieldType", "fieldtype")), F.lit("Normal")).alias("fieldType"),
         T.calculation().alias("calculation"), auto_enter.alias("autoEnter"), validation.alias("validation"), storage.alias("storage"),
     )
 
@@ -138,8 +157,8 @@ def exists(entities: DataFrame, key: str) -> DataFrame:
 
 
 def table_occurrences(records: DataFrame, tables: DataFrame) -> DataFrame:
-    base = F.coalesce(filled(T.attr(E, "baseTableID", "baseTableId", "tableID")), T.attr(T.at("BaseTableSourceReference/BaseTableReference"), "id", "ID"))
-    raw = _raw(records, "tableOccurrence", _named("to", NAME), NAME.alias("name"), *BASE, UUID.alias("uuid"), base.alias("base"), _id("table", NAME).alias("like")).where("docId is not null")
+    base = F.coalesce(filled(T.attr(E(), "baseTableID", "baseTableId", "tableID")), T.attr(T.at("BaseTableSourceReference/BaseTableReference"), "id", "ID"))
+    raw = _raw(records, "tableOccurrence", _named("to", NAME()), NAME().alias("name"), *BASE(), UUID().alias("uuid"), base.alias("base"), _id("table", NAME()).alias("like")).where("docId is not null")
     found = raw.join(by_number(tables, "base", "byNumber"), ["file", "base"], "left").join(exists(tables, "like"), ["file", "like"], "left")
     return found.withColumn("baseTableDocId", F.coalesce("byNumber", F.when(F.col("has_like"), F.col("like")), F.lit(""))).drop("base", "like", "byNumber", "has_like")
 
@@ -164,11 +183,11 @@ def relationships(records: DataFrame, occurrences: DataFrame) -> DataFrame:
     code = lambda p: F.coalesce(filled(T.attr(p, "fieldCompareOp", "operator", "op", "type")), F.lit("0"))
     predicates = F.transform(T.below("JoinPredicateList", "JoinPredicate"), lambda p: F.struct(end(p, "LeftField").alias("left"), operator_name(code(p)).alias("operator"), end(p, "RightField").alias("right")))
     left, right = _occurrence("LeftTable", "name"), _occurrence("RightTable", "name")
-    name = F.coalesce(filled(NAME), F.when((left != "") & (right != ""), F.concat(left, F.lit("__"), right)), filled(left), filled(right), F.concat(F.lit("rel_"), ID))
+    name = F.coalesce(filled(NAME()), F.when((left != "") & (right != ""), F.concat(left, F.lit("__"), right)), filled(left), filled(right), F.concat(F.lit("rel_"), ID()))
     options = T.at("Options")
-    flag = lambda *n: F.when(options.isNotNull(), is_true(F.coalesce(filled(T.attr(options, *n)), T.attr(E, *n)))).otherwise(F.lit(False))
+    flag = lambda *n: F.when(options.isNotNull(), is_true(F.coalesce(filled(T.attr(options, *n)), T.attr(E(), *n)))).otherwise(F.lit(False))
     raw = _raw(
-        records, "relationship", _named("relationship", name), name.alias("name"), *BASE, _occurrence("LeftTable", "id").alias("l"), _occurrence("RightTable", "id").alias("r"), left.alias("ln"), right.alias("rn"),
+        records, "relationship", _named("relationship", name), name.alias("name"), *BASE(), _occurrence("LeftTable", "id").alias("l"), _occurrence("RightTable", "id").alias("r"), left.alias("ln"), right.alias("rn"),
         predicates.alias("named"), F.struct(flag("allowCreateRelatedRecords", "createRelated").alias("allowCreateRelated"), flag("deleteRelatedRecords", "deleteRelated").alias("deleteRelated"), flag("sortRelatedRecords", "sortRelated").alias("sortRelated")).alias("options"),
     )
     for k, n, out in (("l", "ln", "leftTableOccurrenceDocId"), ("r", "rn", "rightTableOccurrenceDocId")):
@@ -193,13 +212,13 @@ def resolve_predicates(raw: DataFrame, occurrences: DataFrame, fields_: DataFram
 
 def layouts(records: DataFrame, occurrences: DataFrame) -> DataFrame:
     """Raw layouts with their occurrence: by number, by name, by base table, else built."""
-    own = filled(T.attr(E, "tableOccurrenceID", "tableOccurrenceId", "tableID"))
+    own = filled(T.attr(E(), "tableOccurrenceID", "tableOccurrenceId", "tableID"))
     ref = T.at("TableOccurrenceReference")
     number = F.coalesce(own, T.attr(ref, "id", "ID"))
-    given = T.attr(E, "tableOccurrenceName", "tableName")
+    given = T.attr(E(), "tableOccurrenceName", "tableName")
     name = F.when(own.isNotNull(), given).otherwise(F.coalesce(filled(given), T.attr(ref, "name", "Name")))
-    theme = F.coalesce(filled(T.attr(E, "theme", "Theme")), filled(T.attr(T.at("LayoutThemeReference"), "name", "Name")))
-    raw = _raw(records, "layout", _named("layout", NAME), NAME.alias("name"), *BASE, UUID.alias("uuid"), theme.alias("theme"), number.alias("n"), name.alias("toName"), _id("to", name).alias("like")).where("docId is not null")
+    theme = F.coalesce(filled(T.attr(E(), "theme", "Theme")), filled(T.attr(T.at("LayoutThemeReference"), "name", "Name")))
+    raw = _raw(records, "layout", _named("layout", NAME()), NAME().alias("name"), *BASE(), UUID().alias("uuid"), theme.alias("theme"), number.alias("n"), name.alias("toName"), _id("to", name).alias("like")).where("docId is not null")
     base = occurrences.where("baseTableDocId like '%:_%'").groupBy("file", F.expr("substring(baseTableDocId, 7)").alias("toName")).agg(F.min_by("docId", "pos").alias("byBase"))
     found = raw.join(by_number(occurrences, "n", "byNumber"), ["file", "n"], "left").join(exists(occurrences, "like"), ["file", "like"], "left").join(base, ["file", "toName"], "left")
     return found.withColumn("baseTableOccurrenceDocId", F.coalesce("byNumber", F.when(F.col("has_like"), F.col("like")), "byBase", F.when(F.col("toName") != "", F.col("like")))).drop("n", "toName", "like", "has_like", "byNumber", "byBase")
@@ -207,10 +226,10 @@ def layouts(records: DataFrame, occurrences: DataFrame) -> DataFrame:
 
 def layout_objects(records: DataFrame, layouts_: DataFrame, occurrences: DataFrame) -> DataFrame:
     """Raw layout objects, the first of each id within a layout; ord is their layout's."""
-    v2 = E["tag"] == "LayoutObject"
+    v2 = E()["tag"] == "LayoutObject"
     part = F.get("above", F.lit(0))
     placed = T.at("Field/FieldReference")
-    legacy = T.let(F.when(T.attr(E, "type", "Type").isin("FieldObj", "Field", "FieldObject"), T.child(E, "FieldObj", "Field")), lambda f: T.child(f, "Name"))
+    legacy = T.let(F.when(T.attr(E(), "type", "Type").isin("FieldObj", "Field", "FieldObject"), T.child(E(), "FieldObj", "Field")), lambda f: T.child(f, "Name"))
     name = F.when(v2, T.attr(placed, "name", "Name")).otherwise(T.attr(legacy, "field", "Field", "name", "Name"))
     table = F.when(v2, T.attr(T.at("Field/FieldReference/TableOccurrenceReference"), "name", "Name")).otherwise(T.attr(legacy, "table", "Table", "tableName"))
     number = F.when(v2, T.attr(T.at("Field/FieldReference/TableOccurrenceReference"), "id", "ID")).otherwise(T.attr(legacy, "tableID", "TableId"))
@@ -220,11 +239,11 @@ def layout_objects(records: DataFrame, layouts_: DataFrame, occurrences: DataFra
     raw_text = F.when(v2, filled(T.text(F.when(F.coalesce(data, F.lit("")) != "", T.at("Text/StyledText/Data")).otherwise(T.at("Text")))))
     edge = lambda k: filled(T.attr(T.at("Bounds"), k, k.capitalize())).try_cast("double").alias(k)
     bounds = F.struct(*[edge(k) for k in ("top", "left", "bottom", "right")])
-    uuid = F.when(v2, UUID).otherwise(filled(T.attr(E, "uuid", "UUID")))
+    uuid = F.when(v2, UUID()).otherwise(filled(T.attr(E(), "uuid", "UUID")))
     raw = _of(records, "layoutObject").select(
-        "file", F.col("owner").alias("ord"), F.col("idx").alias("at"), ID.alias("objectId"), T.attr(E, "type", "Type").alias("objectType"), T.attr(E, "name", "Name").alias("name"), uuid.alias("uuid"), filled(T.attr(E, "kind", "Kind")).alias("kind"),
+        "file", F.col("owner").alias("ord"), F.col("idx").alias("at"), ID().alias("objectId"), T.attr(E(), "type", "Type").alias("objectType"), T.attr(E(), "name", "Name").alias("name"), uuid.alias("uuid"), filled(T.attr(E(), "kind", "Kind")).alias("kind"),
         F.when(v2, F.coalesce(filled(T.attr(part, "type", "Type")), filled(T.attr(part, "kind", "Kind")))).alias("part"), bounds.alias("bounds"), F.when(has, name).alias("fn"), F.when(has, table).alias("tn"), F.when(has, number).alias("n"),
-        raw_text.alias("rawText"), v2.alias("v2"), XPATH.alias("xpath"),
+        raw_text.alias("rawText"), v2.alias("v2"), XPATH().alias("xpath"),
     ).where("v2 or objectType <> ''")
     # numbered among those of the layout that count; a layout's objects are bounded by what one design holds, and keyed by (file, layout)
     from pyspark.sql import Window
@@ -262,21 +281,21 @@ def scripts(records: DataFrame) -> DataFrame:
     """Raw scripts with their folder path."""
     names = F.transform("above", lambda f: T.attr(f, "name", "Name"))
     path = F.aggregate(names, F.lit(""), lambda a, n: F.ltrim(F.concat(a, F.lit("/"), n), F.lit("/")))
-    return _raw(records, "script", _named("script", NAME), NAME.alias("name"), *BASE, UUID.alias("uuid"), filled(path).alias("folderPath"))
+    return _raw(records, "script", _named("script", NAME()), NAME().alias("name"), *BASE(), UUID().alias("uuid"), filled(path).alias("folderPath"))
 
 
 def steps(records: DataFrame, scripts_: DataFrame) -> DataFrame:
     """Raw steps of every named script: those listed apart for its number (the last list of a number), even if none, else those in it; ord is the script's."""
-    index = F.coalesce(T.attr(E, "index", "Index").try_cast("int"), F.col("idx"))
+    index = F.coalesce(T.attr(E(), "index", "Index").try_cast("int"), F.col("idx"))
     at_layout, at_script = T.at("Layout"), T.at("Script")
     refs = F.transform(F.filter(T.descendants("Field"), lambda x: x["i"] > 0), lambda f: F.struct(T.attr(f, "table", "Table", "tableName").alias("t"), T.attr(f, "name", "Name").alias("f")))
     calc = filled(T.text(T.at("Calculation")))
-    name, first = T.attr(E, "name", "Name"), F.get(refs, F.lit(0))
+    name, first = T.attr(E(), "name", "Name"), F.get(refs, F.lit(0))
     about = F.when(at_layout.isNotNull(), T.attr(at_layout, "name", "Name")).when(F.size(refs) > 0, F.concat(first["t"], F.lit("::"), first["f"])).when(at_script.isNotNull(), T.attr(at_script, "name", "Name")).otherwise(F.substring(calc, 1, 80))
     target = lambda kind, n, role: F.when(n != "", F.array(F.struct(F.lit(kind).alias("kind"), _id(kind, n).alias("targetDocId"), F.lit(role).alias("role"), F.lit(None).cast("string").alias("rawText")))).otherwise(F.array().cast("array<struct<kind:string,targetDocId:string,role:string,rawText:string>>"))
     fields_ = F.transform(F.filter(refs, lambda r: r.f != ""), lambda r: F.struct(F.lit("field").alias("kind"), _field_id(r.t, r.f).alias("targetDocId"), F.lit("target").alias("role"), F.concat(r.t, F.lit("::"), r.f).alias("rawText")))
     raw = _of(records, "step").select(
-        "file", "owner", "idx", index.alias("index"), ID.alias("stepId"), name.alias("name"), F.when(T.attr(E, "enable", "Enable", "enabled", "Enabled") == "", F.lit(True)).otherwise(not_off(T.attr(E, "enable", "Enable", "enabled", "Enabled"), "True")).alias("enabled"),
+        "file", "owner", "idx", index.alias("index"), ID().alias("stepId"), name.alias("name"), F.when(T.attr(E(), "enable", "Enable", "enabled", "Enabled") == "", F.lit(True)).otherwise(not_off(T.attr(E(), "enable", "Enable", "enabled", "Enabled"), "True")).alias("enabled"),
         F.when(about.isNotNull(), F.concat(name, F.lit(" [ "), about, F.lit(" ]"))).otherwise(name).alias("rawText"),
         F.concat(target("layout", T.attr(at_layout, "name", "Name"), "target"), fields_, target("script", T.attr(at_script, "name", "Name"), "callee")).alias("references"),
     )
@@ -294,11 +313,11 @@ def with_steps(scripts_: DataFrame, steps_: DataFrame) -> DataFrame:
 
 
 def custom_functions(records: DataFrame) -> DataFrame:
-    given = T.attr(E, "parameters", "Parameters", "pramaters")
+    given = T.attr(E(), "parameters", "Parameters", "pramaters")
     listed = F.transform(F.when(T.at("ObjectList").isNotNull(), T.below("ObjectList", "Parameter")).otherwise(T.descendants("Parameter")), lambda p: T.attr(p, "name", "Name"))
     split = F.transform(F.split(given, "[;,]"), strip)
     parameters = F.filter(F.when(given != "", split).otherwise(listed), lambda x: x != "")
-    raw = _raw(records, "customFunction", _named("customFunction", NAME), NAME.alias("name"), *BASE, UUID.alias("uuid"), parameters.alias("parameters"), T.calculation().alias("own"))
+    raw = _raw(records, "customFunction", _named("customFunction", NAME()), NAME().alias("name"), *BASE(), UUID().alias("uuid"), parameters.alias("parameters"), T.calculation().alias("own"))
     apart = _of(records, "customFunctionCalc").select("file", "ord", T.attr(T.at("CustomFunctionReference"), "id", "ID").alias("fmpId"), T.calculation().alias("apart")).where("fmpId <> '' and apart is not null").groupBy("file", "fmpId").agg(F.max_by("apart", "ord").alias("apart"))
     return raw.join(apart, ["file", "fmpId"], "left").withColumn("calculation", F.coalesce("own", "apart")).drop("own", "apart")
 
@@ -306,13 +325,13 @@ def custom_functions(records: DataFrame) -> DataFrame:
 def value_lists(records: DataFrame) -> DataFrame:
     source = T.at("Source")
     given = T.attr(source, "value", "Value")
-    kind = F.when(source.isNotNull(), F.when(given == "Custom", "custom").when(given == "FromField", "field").otherwise(F.lower(given))).otherwise(F.lower(F.coalesce(filled(T.attr(E, "type", "Type")), F.lit("custom"))))
+    kind = F.when(source.isNotNull(), F.when(given == "Custom", "custom").when(given == "FromField", "field").otherwise(F.lower(given))).otherwise(F.lower(F.coalesce(filled(T.attr(E(), "type", "Type")), F.lit("custom"))))
     some = lambda a: F.when(F.size(a) > 0, a)
     values = lambda nodes: F.filter(F.transform(nodes, T.text), lambda x: x != "")
     pair = lambda n: F.when(n.isNotNull(), F.struct(T.attr(n, "table", "Table", "tableName").alias("t"), T.attr(n, "name", "Name").alias("f")))
     raw = _raw(
-        records, "valueList", _named("valueList", NAME), NAME.alias("name"), *BASE, UUID.alias("uuid"), kind.alias("k"),
-        F.coalesce(some(values(T.below("CustomValues", "Value"))), values(T.descendants("Value"))).alias("own"), pair(T.child(E, "SourceField", "Field")).alias("src"), pair(T.at("SecondField")).alias("second"),
+        records, "valueList", _named("valueList", NAME()), NAME().alias("name"), *BASE(), UUID().alias("uuid"), kind.alias("k"),
+        F.coalesce(some(values(T.below("CustomValues", "Value"))), values(T.descendants("Value"))).alias("own"), pair(T.child(E(), "SourceField", "Field")).alias("src"), pair(T.at("SecondField")).alias("second"),
     )
     custom = F.when(given == "Custom", T.lines(F.coalesce(T.at("CustomValues/Text")["text"], F.lit(""))))
     primary = T.at("Field/PrimaryField/FieldReference")
@@ -330,33 +349,33 @@ def value_lists(records: DataFrame) -> DataFrame:
 
 def small_kinds(records: DataFrame) -> dict[str, DataFrame]:
     """Kinds without lookups."""
-    described = F.coalesce(filled(T.text(T.at("Description"))), filled(T.attr(E, "description", "Description")))
-    out = {"privilegeSet": _raw(records, "privilegeSet", _named("privilegeSet", NAME), NAME.alias("name"), *BASE, F.coalesce(filled(T.attr(E, "description", "Description")), filled(T.text(T.at("Description")))).alias("description"))}
+    described = F.coalesce(filled(T.text(T.at("Description"))), filled(T.attr(E(), "description", "Description")))
+    out = {"privilegeSet": _raw(records, "privilegeSet", _named("privilegeSet", NAME()), NAME().alias("name"), *BASE(), F.coalesce(filled(T.attr(E(), "description", "Description")), filled(T.text(T.at("Description")))).alias("description"))}
     holder = F.coalesce(T.at("AccountName"), T.at("Authentication/AccountName"))
-    name = F.when(holder.isNotNull(), T.text(holder)).otherwise(NAME)
+    name = F.when(holder.isNotNull(), T.text(holder)).otherwise(NAME())
     group = filled(T.attr(T.at("PrivilegeSetReference"), "name", "Name"))
     out["account"] = _raw(
-        records, "account", _named("account", name), name.alias("name"), *BASE, T.attr(E, "type", "Type", default="FileMaker").alias("accountType"), not_off(T.attr(E, "enable", "Enable", "enabled", default=None), "True").alias("enabled"),
+        records, "account", _named("account", name), name.alias("name"), *BASE(), T.attr(E(), "type", "Type", default="FileMaker").alias("accountType"), not_off(T.attr(E(), "enable", "Enable", "enabled", default=None), "True").alias("enabled"),
         described.alias("description"), _id("privilegeSet", group).alias("privilegeSetDocId"), group.alias("privilegeSetName"),
     )
     sets = F.array_distinct(F.transform(F.filter(F.transform(T.descendants("PrivilegeSetReference"), lambda r: T.attr(r, "name", "Name")), lambda n: n != ""), lambda n: _id("privilegeSet", n)))
-    out["extPriv"] = _raw(records, "extPriv", _named("extPriv", NAME), NAME.alias("name"), *BASE, described.alias("description"), sets.alias("privilegeSetDocIds"))
+    out["extPriv"] = _raw(records, "extPriv", _named("extPriv", NAME()), NAME().alias("name"), *BASE(), described.alias("description"), sets.alias("privilegeSetDocIds"))
     on = lambda n: F.lower(F.coalesce(T.at("Options")["attrs"][n], F.lit("True"))) != "false"
     items = F.transform(T.below("MenuItemList", "MenuItem"), lambda m: F.struct(T.attr(m, "name", "Name").alias("name"), T.attr(m, "type", "Type").alias("actionType"), F.lit(None).cast("string").alias("installCondition")))
     base = F.when(T.at("Base").isNotNull(), T.attr(T.at("Base"), "name", "Name"))
     out["customMenu"] = _raw(
-        records, "customMenu", _named("customMenu", NAME), NAME.alias("name"), *BASE, base.alias("baseMenuName"), T.calculation("Conditions/Install/Calculation").alias("installCondition"),
+        records, "customMenu", _named("customMenu", NAME()), NAME().alias("name"), *BASE(), base.alias("baseMenuName"), T.calculation("Conditions/Install/Calculation").alias("installCondition"),
         on("browseMode").alias("browseMode"), on("findMode").alias("findMode"), on("previewMode").alias("previewMode"), items.alias("items"),
     )
     menus = F.transform(F.filter(F.transform(T.descendants("CustomMenuReference"), lambda r: T.attr(r, "name", "Name")), lambda n: n != ""), lambda n: _id("customMenu", n))
-    out["customMenuSet"] = _raw(records, "customMenuSet", _named("customMenuSet", NAME), NAME.alias("name"), *BASE, menus.alias("menuDocIds"))
+    out["customMenuSet"] = _raw(records, "customMenuSet", _named("customMenuSet", NAME()), NAME().alias("name"), *BASE(), menus.alias("menuDocIds"))
     out["theme"] = _raw(
-        records, "theme", _named("theme", NAME), NAME.alias("name"), *BASE, T.attr(E, "Display", "display", "displayName").alias("displayName"), filled(T.attr(E, "Group", "group")).alias("group"),
-        not_off(T.attr(E, "defaultTheme", "DefaultTheme", default=None), "False").alias("defaultTheme"),
+        records, "theme", _named("theme", NAME()), NAME().alias("name"), *BASE(), T.attr(E(), "Display", "display", "displayName").alias("displayName"), filled(T.attr(E(), "Group", "group")).alias("group"),
+        not_off(T.attr(E(), "defaultTheme", "DefaultTheme", default=None), "False").alias("defaultTheme"),
     )
-    shown = F.when(T.at("Display").isNotNull(), T.text(T.at("Display"))).otherwise(T.attr(E, "name", "Name"))
-    kind = T.attr(E, "type", "Type", default="Local")
-    out["fileRef"] = _raw(records, "fileRef", F.when(shown != "", _id("fileRef", kind, F.lit(":"), shown)).alias("docId"), shown.alias("name"), *BASE, kind.alias("refType"), not_off(T.attr(E, "self", "Self", default=None), "False").alias("isSelf"))
+    shown = F.when(T.at("Display").isNotNull(), T.text(T.at("Display"))).otherwise(T.attr(E(), "name", "Name"))
+    kind = T.attr(E(), "type", "Type", default="Local")
+    out["fileRef"] = _raw(records, "fileRef", F.when(shown != "", _id("fileRef", kind, F.lit(":"), shown)).alias("docId"), shown.alias("name"), *BASE(), kind.alias("refType"), not_off(T.attr(E(), "self", "Self", default=None), "False").alias("isSelf"))
     return {k: _entities(v) for k, v in out.items()}
 
 
@@ -369,7 +388,7 @@ def _registered(entities: DataFrame, rows: DataFrame, column: str) -> DataFrame:
 
 def normalize(records: DataFrame, store: Store) -> Model:
     """Records to entities, each kind a table of the store. records should be a table too: every kind reads it."""
-    raw = {"table": _raw(records, "table", _named("table", NAME), NAME.alias("name"), *BASE, UUID.alias("uuid")), "field": fields(records), "script": scripts(records).where("docId is not null")}
+    raw = {"table": _raw(records, "table", _named("table", NAME()), NAME().alias("name"), *BASE(), UUID().alias("uuid")), "field": fields(records), "script": scripts(records).where("docId is not null")}
     first = store.keep_all({"raw/field": raw["field"], "base/table": _entities(raw["table"]), "base/field": _entities(raw["field"])})
     raw_fields, tables, fields_ = first["raw/field"], first["base/table"], first["base/field"]
     raw_to = store.keep("raw/tableOccurrence", table_occurrences(records, tables))
