@@ -21,7 +21,7 @@ from itertools import chain, repeat
 import numpy as np
 import pyarrow as pa
 
-from .common import pieces, ship, strings, table
+from .common import begin, kept_for, pieces, ship, strings, table
 
 MAX_ROWS_PIECE = 128
 #: Pieces in one recursive query, and in the cache of a worker, which starts anew when full.
@@ -218,10 +218,14 @@ def worker_bpe(path: str) -> Bpe:
     return Bpe(path)
 
 
+kept_for("bpe", worker_bpe.cache_clear)
+
+
 def digests(docs, path: str):
     """Each row's number of ids, the hash of its ids and of the bytes that they decode to."""
 
     def run(batches):
+        begin("bpe")
         bpe = worker_bpe(path)
         number = np.array([str(i) for i in range(max(bpe.ranks.values()) + 1)], dtype=object)
         for whole in batches:
@@ -245,6 +249,7 @@ def encode(docs, path: str):
     """Each row's doc_id and ids (array<int>)."""
 
     def run(batches):
+        begin("bpe")
         bpe = worker_bpe(path)
         for whole in batches:
             for batch in pieces(whole, size=1 << 21):
@@ -257,6 +262,7 @@ def decode(tokens, path: str):
     """Each row's doc_id and the bytes of its ids; null ids give none."""
 
     def run(batches):
+        begin("bpe")
         bpe = worker_bpe(path)
         for batch in batches:
             ids = [np.array(x or [], dtype=np.int32) for x in batch.column(1).to_pylist()]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
@@ -48,6 +50,30 @@ def table(spark, sf_dir: str, name: str):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: What a Python worker keeps from task to task: (owner, what empties it).
+_KEPT: list[tuple[str, object]] = []
+_last = [""]
+
+
+def kept_for(owner: str, empty) -> None:
+    _KEPT.append((owner, empty))
+
+
+def begin(owner: str) -> None:
+    """Called where a task starts: workers outlive stages, so what other operators keep in this one goes before it takes memory of its own."""
+    if _last[0] == owner:
+        return
+    _last[0] = owner
+    for other, empty in _KEPT:
+        if other != owner:
+            empty()
+    gc.collect()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def shared_dir(spark) -> str:
     """A new folder below spark.checkpoint.dir, which all executors share. Only where that is unset (tests) a local one is set."""
     top = spark.conf.get("spark.checkpoint.dir", None)

@@ -28,7 +28,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import functions as F
 
-from .common import blobs, drop, id_filter, keep, may_hold, mix, one_permutation, permutations, pieces, shared_dir, shingles, table
+from .common import begin, blobs, drop, id_filter, keep, may_hold, mix, one_permutation, permutations, pieces, shared_dir, shingles, table
 
 REGISTERS, MANTISSA, SLACK = 128, 10, 0.25
 BLOCK, LOW, LOW_SLACK = 512, 512, 0.1
@@ -65,6 +65,7 @@ def sketch(docs, k: int):
     """(doc_id, n, digest, sig): the size of each row's set, its hash, and its registers, four to a number."""
 
     def run(batches):
+        begin("near_dups")
         for whole in batches:
             for batch in pieces(whole):
                 sets = shingles(blobs(batch), k)
@@ -85,6 +86,7 @@ def full_sets(docs, k: int, bits):
     """(id, set): the hashed shingles of each row whose id the filter may hold."""
 
     def run(batches):
+        begin("near_dups")
         for whole in batches:
             for batch in pieces(whole.filter(may_hold(bits.value, whole.column(0)))):
                 sets = [s.view(np.int64) for s in shingles(blobs(batch), k)]
@@ -97,6 +99,7 @@ def low_hashes(docs, k: int, bits):
     """(id, n, low): set size and the LOW smallest of the shingles' 32-bit hashes of each row whose id the filter may hold."""
 
     def run(batches):
+        begin("near_dups")
         for whole in batches:
             for batch in pieces(whole.filter(may_hold(bits.value, whole.column(0)))):
                 sets = shingles(blobs(batch), k)
@@ -174,6 +177,7 @@ def _across(left, docs, k: int, threshold: float):
     )
 
     def run(batches):
+        begin("near_dups")
         held, rows = None, []
 
         def done():
@@ -295,6 +299,7 @@ def one_of_each(docs, k: int = 5, percent: int = 80):
 
     def rows(held: bool):
         def run(batches):
+            begin("near_dups")
             for b in batches:
                 mask = may_hold(bits.value, b.column(at))
                 yield b.filter(mask if held else pc.invert(mask))

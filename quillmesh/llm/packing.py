@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from .bpe import _PLAIN, PieceCache, fast_pattern
-from .common import keep, mix, parts, pieces, shared_dir, strings, table
+from .common import begin, keep, kept_for, mix, parts, pieces, shared_dir, strings, table
 
 BOUND_ROWS, DIMS, BITS = 40, 3, 10
 
@@ -64,6 +64,9 @@ def worker_pieces(path: str) -> HfPieces:
     return HfPieces(path)
 
 
+kept_for("packing", worker_pieces.cache_clear)
+
+
 def hilbert(x: np.ndarray, bits: int) -> np.ndarray:
     """Hilbert keys of points; x: (n, dims) integers below 2**bits. After J. Skilling's transform (2004)."""
     x = x.astype(np.int64).copy()
@@ -123,6 +126,7 @@ def pack(docs, path: str, length: int = 2048, end_id: int = 1):
         return [np.append(x, end_id) for x in tok.encode_all(strings(batch))]
 
     def sample_keys(batches):
+        begin("packing")
         tok = worker_pieces(path)
         for whole in batches:
             for batch in pieces(whole, size=2 << 20):
@@ -134,6 +138,7 @@ def pack(docs, path: str, length: int = 2048, end_id: int = 1):
     bounds = np.unique(keys[np.linspace(0, len(keys), buckets + 1).astype(int)[1:-1]]) if len(keys) else keys
 
     def tokens(batches):
+        begin("packing")
         tok = worker_pieces(path)
         for whole in batches:
             for batch in pieces(whole, size=2 << 20):

@@ -18,11 +18,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from .common import SPACE, blobs, keep, mix, pieces, shared_dir, table, words
+from .common import SPACE, begin, blobs, keep, mix, pieces, shared_dir, table, words
 
 ORDER, ALPHABET = 4, 50
 LANGS = ("de", "en", "es", "fr", "")
 LOWER, UPPER, SHORT = 5.0, 5.0, 400.0
+#: Bytes of text at a time: every character takes some 20 bytes of numbers.
+PIECE = 2 << 20
 _STEP = 0.005
 _SYMBOL = np.zeros(256, dtype=np.int64)
 _SYMBOL[list(b"#*$%&|<>")] = 1
@@ -104,11 +106,11 @@ class KneserNey:
             total = np.bincount(h, weights=n, minlength=size)
             spare = np.bincount(h, weights=d, minlength=size)
             gamma = np.where(total > 0, spare / np.maximum(total, 1), 1.0)
-            below = lower.reshape(-1, ALPHABET) if k == 1 else np.tile(lower.reshape(-1, ALPHABET), (ALPHABET, 1))
-            p = (gamma.reshape(-1, 1) * below).reshape(-1)
+            below = lower.reshape(1, -1, ALPHABET)
+            p = (gamma.reshape(-1, below.shape[1], 1) * below).reshape(-1)
             p[keys] += (n - d) / total[h]
             lower = p
-        return np.log(lower).astype(np.float32)
+        return np.log(lower, out=lower).astype(np.float32)
 
 
 def _langs(batch) -> np.ndarray:
@@ -120,10 +122,18 @@ def _langs(batch) -> np.ndarray:
 def count(docs):
     """(language, n-gram, count) of all rows; one row for each partition's different n-gram goes through the shuffle."""
 
+    def rows(k: int, sums: np.ndarray):
+        keys = np.flatnonzero(sums)
+        for at in range(0, len(keys), 1 << 17):
+            part = keys[at : at + (1 << 17)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), k), pa.int32()), pa.array(part, pa.int32()), pa.array(sums[part].astype(np.int64))], names=["k", "gram", "n"])
+
     def run(batches):
+        begin("quality")
         sums: dict[int, np.ndarray] = {}
+        held: dict[int, int] = {}
         for whole in batches:
-            for batch in pieces(whole):
+            for batch in pieces(whole, size=PIECE):
                 lang, texts = _langs(batch), [t or "" for t in batch.column(batch.schema.get_field_index("text")).to_pylist()]
                 for k in np.unique(lang).tolist():
                     mine = [texts[i] for i in np.flatnonzero(lang == k)]
@@ -131,14 +141,15 @@ def count(docs):
                     if not n.sum():
                         continue
                     g = grams(x)[own(n, len(x) - ORDER + 1)]
+                    if held.get(k, 0) + len(g) > np.iinfo(np.uint32).max:
+                        yield from rows(k, sums.pop(k))
+                        held[k] = 0
                     if k not in sums:
-                        sums[k] = np.zeros(ALPHABET**ORDER, dtype=np.int64)
-                    sums[k] += np.bincount(g, minlength=ALPHABET**ORDER)
+                        sums[k] = np.zeros(ALPHABET**ORDER, dtype=np.uint32)
+                    held[k] = held.get(k, 0) + len(g)
+                    np.add(sums[k], np.bincount(g, minlength=ALPHABET**ORDER), out=sums[k], casting="unsafe")
         for k, s in sums.items():
-            keys = np.flatnonzero(s)
-            for at in range(0, len(keys), 1 << 17):
-                part = keys[at : at + (1 << 17)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), k), pa.int32()), pa.array(part, pa.int32()), pa.array(s[part], pa.int64())], names=["k", "gram", "n"])
+            yield from rows(k, s)
 
     return docs.select("lang", "text").mapInArrow(run, "k int, gram int, n long").groupBy("k", "gram").agg(F.sum("n").alias("n"))
 
@@ -210,9 +221,10 @@ def score(docs, model):
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
+        begin("quality")
         scorer = Scorer(sent.value)
         for whole in batches:
-            for batch in pieces(whole):
+            for batch in pieces(whole, size=PIECE):
                 texts, lang = blobs(batch), _langs(batch)
                 nll = scorer([t.decode() for t in texts], lang)
                 cols = [batch.column(0).cast(pa.int64()), *(pa.array(f, pa.int64()) for f in features(texts)), pa.array(lang), pa.array(nll, pa.float64(), from_pandas=True)]
@@ -246,9 +258,10 @@ def keep_good(docs):
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
+        begin("quality")
         scorer = Scorer(sent.value)
         for whole in batches:
-            for batch in pieces(whole):
+            for batch in pieces(whole, size=PIECE):
                 texts, lang = blobs(batch), _langs(batch)
                 f = features(texts)
                 nll = scorer([t.decode() for t in texts], lang)

@@ -17,7 +17,7 @@ import zlib
 
 import pyarrow as pa
 
-from .common import pieces, strings, table
+from .common import begin, pieces, strings, table
 
 _ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 _ACCESS = re.compile("AKIA[A-Z0-9]+")
@@ -125,6 +125,7 @@ SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 str
 
 def scan(docs):
     def run(batches):
+        begin("secret_scan")
         a = automaton()
         for whole in batches:
             for batch in pieces(whole):
@@ -144,6 +145,7 @@ def without_secrets(docs):
     """The rows, with all their columns, with secrets redacted; n_chars, if it is there, follows the new text. Null texts stay null."""
 
     def run(batches):
+        begin("secret_scan")
         a = automaton()
         for whole in batches:
             for batch in pieces(whole):

@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from .common import pieces, strings, table
+from .common import begin, pieces, strings, table
 
 #: At most so many labelled rows teach, and so many learned terms are kept.
 SAMPLE, TERMS = 20_000, 1_000
@@ -106,6 +106,7 @@ def fit(docs, labels) -> tuple[dict[str, float], list[float]]:
         return dict(SEED), [-3.0, 2.5, 0.2]
 
     def count(batches):
+        begin("toxicity")
         n: dict[str, list[int]] = {}
         for whole in batches:
             for batch in pieces(whole):
@@ -133,6 +134,7 @@ def fit(docs, labels) -> tuple[dict[str, float], list[float]]:
         lexicon[r.word] = round(max(0.0, min(8.0, r.odds if prior is None else (4 * prior + n * r.odds) / (4 + n))), 6)
 
     def points(batches):
+        begin("toxicity")
         a = automaton(lexicon)
         for whole in batches:
             for batch in pieces(whole):
@@ -152,6 +154,7 @@ def probability(curve: list[float], f: tuple[float, float]) -> float:
 
 def score(docs, lexicon: dict[str, float], curve: list[float]):
     def run(batches):
+        begin("toxicity")
         a = automaton(lexicon)
         for whole in batches:
             for batch in pieces(whole):
@@ -168,6 +171,7 @@ def keep_clean(docs, labels):
     lexicon, curve = fit(docs, labels)
 
     def run(batches):
+        begin("toxicity")
         a = automaton(lexicon)
         for whole in batches:
             for batch in pieces(whole):
