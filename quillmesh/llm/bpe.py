@@ -24,8 +24,10 @@ import pyarrow as pa
 from .common import begin, kept_for, pieces, ship, strings, table
 
 MAX_ROWS_PIECE = 128
-#: Pieces in one recursive query, and in the cache of a worker, which starts anew when full.
+#: Pieces in one recursive query, and in the cache of a worker.
 QUERY_PIECES, CACHE_PIECES = 40_000, 1_500_000
+#: A full cache starts anew when more than this share of a batch's pieces isn't in it.
+STALE = 0.1
 
 _ENCODE = """
 WITH RECURSIVE s(it, w, p, t, n, np) AS (
@@ -83,7 +85,10 @@ def split(text: str) -> list[str]:
 
 
 class PieceCache:
-    """Ids of pieces that were encoded before; learn() encodes new ones. When full it starts anew, so memory is bounded."""
+    """Ids of pieces that were encoded before; learn() encodes new ones. A full cache keeps what it has, mostly the frequent pieces, and
+    forgets others after each batch; so memory is bounded."""
+
+    limit = CACHE_PIECES
 
     def __init__(self):
         self.empty()
@@ -109,18 +114,24 @@ class PieceCache:
     def encode(self, texts: list[str], cut=None) -> list[np.ndarray]:
         """The ids of each text; cut: what splits a text, if all texts are known to suit it."""
         found = list(map(cut or split, texts))
-        if len(self.code) > CACHE_PIECES:
-            self.empty()
         flat = list(chain.from_iterable(found))
         sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
         codes = np.fromiter(map(self.code.get, flat, repeat(-1)), dtype=np.int64, count=len(flat))
-        if len(gaps := np.flatnonzero(codes < 0)):
+        gaps, extra = np.flatnonzero(codes < 0), []
+        if len(self.code) >= self.limit and len(gaps) > STALE * len(flat):
+            self.empty()
+            codes[:], gaps = -1, np.arange(len(flat))
+        if len(gaps):
             missing = [flat[i] for i in gaps.tolist()]
-            self.learn(list(dict.fromkeys(missing)))
+            new = list(dict.fromkeys(missing))
+            extra = new if len(self.code) >= self.limit else []
+            self.learn(new)
             codes[gaps] = np.fromiter(map(self.code.__getitem__, missing), dtype=np.int64, count=len(missing))
         first, n = self.start[codes], self.start[codes + 1] - self.start[codes]
         ends = np.cumsum(n)
         ids = self.flat[np.repeat(first - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)]
+        for x in extra:  # theirs are the last codes
+            del self.code[x]
         cuts = np.r_[0, ends][np.cumsum(sizes)]
         return np.split(ids, cuts[:-1]) if len(cuts) else []
 
