@@ -31,8 +31,6 @@ class HfPieces(PieceCache):
     Texts with characters for which Unicode versions may differ go to the library whole.
     """
 
-    limit = 300_000
-
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
