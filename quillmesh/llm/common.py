@@ -27,9 +27,16 @@ _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 BLOCK = 1 << 20
 
 
+#: Rows in a batch that goes to Python, where the session has Spark's default of 10000: long texts would make it very large on both sides.
+BATCH_ROWS = 1000
+_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def ship(spark) -> None:
-    """Send this package to the executors once per session, so that it need not be installed there."""
+    """Send this package to the executors once per session, so that it need not be installed there; bound the rows of a batch."""
     sc = spark.sparkContext
+    if spark.conf.get(_ROWS) == "10000":
+        spark.conf.set(_ROWS, str(BATCH_ROWS))
     if getattr(sc, "_quillmesh_sent", False):
         return
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))

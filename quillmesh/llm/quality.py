@@ -25,6 +25,8 @@ LANGS = ("de", "en", "es", "fr", "")
 LOWER, UPPER, SHORT = 5.0, 5.0, 400.0
 #: Bytes of text at a time: every character takes some 20 bytes of numbers.
 PIECE = 2 << 20
+#: n-grams of a language that wait until they are counted together.
+WAITING = 2 << 20
 _STEP = 0.005
 _SYMBOL = np.zeros(256, dtype=np.int64)
 _SYMBOL[list(b"#*$%&|<>")] = 1
@@ -132,22 +134,30 @@ def count(docs):
         begin("quality")
         sums: dict[int, np.ndarray] = {}
         held: dict[int, int] = {}
+        waiting: dict[int, list[np.ndarray]] = {}
+
+        def add(k: int):
+            """Adds what waits to the sums of its language; gives these out before 32 bits could overflow."""
+            g = np.concatenate(waiting.pop(k))
+            if held.get(k, 0) + len(g) > np.iinfo(np.uint32).max:
+                yield from rows(k, sums.pop(k))
+                held[k] = 0
+            if k not in sums:
+                sums[k] = np.zeros(ALPHABET**ORDER, dtype=np.uint32)
+            held[k] = held.get(k, 0) + len(g)
+            np.add(sums[k], np.bincount(g, minlength=ALPHABET**ORDER), out=sums[k], casting="unsafe")
+
         for whole in batches:
             for batch in pieces(whole, size=PIECE):
                 lang, texts = _langs(batch), [t or "" for t in batch.column(batch.schema.get_field_index("text")).to_pylist()]
                 for k in np.unique(lang).tolist():
-                    mine = [texts[i] for i in np.flatnonzero(lang == k)]
-                    x, n = fold(mine)
-                    if not n.sum():
-                        continue
-                    g = grams(x)[own(n, len(x) - ORDER + 1)]
-                    if held.get(k, 0) + len(g) > np.iinfo(np.uint32).max:
-                        yield from rows(k, sums.pop(k))
-                        held[k] = 0
-                    if k not in sums:
-                        sums[k] = np.zeros(ALPHABET**ORDER, dtype=np.uint32)
-                    held[k] = held.get(k, 0) + len(g)
-                    np.add(sums[k], np.bincount(g, minlength=ALPHABET**ORDER), out=sums[k], casting="unsafe")
+                    x, n = fold([texts[i] for i in np.flatnonzero(lang == k)])
+                    if n.sum():
+                        waiting.setdefault(k, []).append(grams(x)[own(n, len(x) - ORDER + 1)])
+                        if sum(map(len, waiting[k])) >= WAITING:
+                            yield from add(k)
+        for k in list(waiting):
+            yield from add(k)
         for k, s in sums.items():
             yield from rows(k, s)
 
