@@ -7,7 +7,8 @@ file, kind, ord (place in the file's document order), owner (ord of the owning r
 above (nodes that tell whose it is: the table of a field, the part of an object, the folders of a script, the script of a step), sub (the
 element and its descendants; path is relative to it, first tells that the node and all above it are the first of their tag among siblings).
 
-A file that can't be read gives a record of kind "file" with a warning and nothing else. Null or empty content counts as such a file.
+A file that cannot be read gives a record of kind "file" with a warning and nothing else; so does null or empty content (but Spark's
+binary reader leaves out files of no bytes).
 """
 
 from __future__ import annotations
