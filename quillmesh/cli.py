@@ -82,7 +82,7 @@ def main(args: list[str] | None = None) -> int:
     sub = p.add_subparsers(dest="command", required=True)
     b = sub.add_parser("build", help="pages and JSON of an export")
     b.add_argument("xml")
-    b.add_argument("--out", "-o", default="saxml2doc")
+    b.add_argument("--out", "-o", default="design-docs")
     b.add_argument("--model-out")
     b.add_argument("--include-json", action=argparse.BooleanOptionalAction, default=True)
     b.add_argument("--strict", action="store_true", help="exit 1 if references are unresolved")
@@ -92,7 +92,7 @@ def main(args: list[str] | None = None) -> int:
     r = sub.add_parser("render", help="pages from a model's JSON")
     r.add_argument("format", nargs="?", default="markdown")
     r.add_argument("--model", "-m", default="build/model.json")
-    r.add_argument("--out", "-o", default="saxml2doc")
+    r.add_argument("--out", "-o", default="design-docs")
     for c in (b, r):
         c.add_argument("-f", "--force", "-y", "--yes", action="store_true", dest="force")
     for name, what in (("inspect", "counts and warnings"), ("validate", "exit 1 on any warning but unused fields")):
