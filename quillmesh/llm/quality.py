@@ -1,87 +1,80 @@
-"""Quality rules: base counts, and perplexity bands of a modified Kneser-Ney model of folded characters.
+"""Quality rules: base counts, and perplexity bands of a modified Kneser-Ney model of characters as they stand (nothing is folded).
 
-Text is folded to ALPHABET classes (letters, common accented letters, capitals, digits, punctuation, symbols, white space, other scripts).
-Spark counts the n-grams of order ORDER of all documents of a language (each partition adds up its own first); from the sorted arrays of
-these counts the model derives continuation counts, three discounts an order, and interpolated probabilities. The alphabet bounds the
-model: at most ALPHABET**ORDER n-grams a language, whatever the input; so it may be broadcast. What partitions send grows with the input.
+Spark counts the n-grams of CHARS characters of all documents of a language; continuation counts, three discounts an order and
+interpolated probabilities are derived from them by aggregations and joins, order by order. Neither the alphabet nor the model is bounded:
+it is a table (key, log probability), keys being 64-bit hashes of language and n-gram, and it is never sent whole to any one place.
+To score, documents are spread over blocks of about BLOCK bytes; a block asks for its distinct n-grams in sorted arrays, one for each range
+of keys; the ranges are joined to those of the model; the answers come back to the block in the order of its keys.
 A document is rejected by the method if its mean log perplexity lies outside its language's band: the median, less LOWER or plus UPPER
 times the scaled median absolute deviation, both from a histogram of all documents of the language that pass the base rules. Means of
 short texts vary more, so the band is wider by the square root of 1 + SHORT / word_chars.
 
-Null or empty text has no words, fails the base rules and has log perplexity null. Null or unknown languages share one model. Repeated
-rows count as often as they come. Other columns are ignored by score() and kept by keep_good().
+Null or empty text has no words, fails the base rules and has log perplexity null. Every value of lang has its own model, null is "".
+Repeated rows count as often as they come. score() is for the rows the model was fitted on: n-grams it lacks have log probability UNSEEN.
+Other columns are ignored by score() and kept by keep_good().
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from .common import SPACE, begin, blobs, keep, mix, pieces, shared_dir, table, words
+from .common import SPACE, begin, blobs, keep, mix, pieces, shared_dir, strings, table, words
 
+#: Characters of an n-gram.
+CHARS = 6
+#: Of the dense KneserNey only.
 ORDER, ALPHABET = 4, 50
-LANGS = ("de", "en", "es", "fr", "")
 LOWER, UPPER, SHORT = 5.0, 5.0, 400.0
 #: Bytes of text at a time: every character takes some 20 bytes of numbers.
 PIECE = 2 << 20
-#: n-grams of a language that wait until they are counted together.
-WAITING = 2 << 20
+#: Different n-grams of a language that a task holds before it gives out their counts.
+HELD = 1 << 20
+#: Bytes of text that are scored together.
+BLOCK = 32 << 20
+UNSEEN = -16.0
 _STEP = 0.005
 _SYMBOL = np.zeros(256, dtype=np.int64)
 _SYMBOL[list(b"#*$%&|<>")] = 1
 
 
-def _classes() -> np.ndarray:
-    t = np.full(0x250, 48, dtype=np.uint8)
-    t[:0x80] = 2
-    for c in b"#*$%&|<>":
-        t[c] = 3
-    for c in (9, 10, 11, 12, 13, 32, 0xA0):
-        t[c] = 0
-    t[48:58] = 1
-    t[97:123] = np.arange(4, 30)
-    t[65:91] = 47
-    for i, c in enumerate("éèêàâçñóíáúöäüßôë"):
-        t[ord(c)] = 30 + i
-        if c != "ß":
-            t[ord(c.upper())] = 47
-    return t
+_FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
-_CLASS = _classes()
+def characters(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The texts' code points in turn, each text after CHARS - 1 spaces, and the texts' numbers of characters."""
+    lead = " " * (CHARS - 1)
+    n = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
+    return np.frombuffer((lead + lead.join(texts)).encode("utf-32-le", "surrogatepass"), dtype=np.uint32), n
 
 
-def fold(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """The texts' classes in turn, each text after ORDER - 1 spaces, and the texts' numbers of characters."""
-    lead = " " * (ORDER - 1)
-    n = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
-    c = np.frombuffer((lead + lead.join(texts)).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    x = _CLASS[np.minimum(c, 0x24F)]
-    x[c > 0x24F] = 49
-    return x, n
+def _seed(lang: str) -> np.uint64:
+    return np.uint64(int.from_bytes(hashlib.blake2b(lang.encode(), digest_size=8).digest(), "little"))
 
 
-def grams(x: np.ndarray) -> np.ndarray:
-    """The number of the n-gram that ends at each character from ORDER - 1 on."""
-    g = np.zeros(len(x) - ORDER + 1, dtype=np.int32)
-    for i in range(ORDER):
-        g *= ALPHABET
-        g += x[i : len(x) - ORDER + 1 + i]
-    return g
+def grams(c: np.ndarray, lang: str) -> np.ndarray:
+    """The key of the n-gram that ends at each character from CHARS - 1 on."""
+    g = np.full(len(c) - CHARS + 1, _seed(lang), dtype=np.uint64)
+    for i in range(CHARS):
+        g *= _FACTOR
+        g += c[i : len(c) - CHARS + 1 + i]
+    return mix(g)
 
 
 def own(n: np.ndarray, total: int) -> np.ndarray:
     """Which n-grams end at a character of a text (and not in the spaces between texts)."""
     yes = np.ones(total, dtype=bool)
-    ends = np.cumsum(n + ORDER - 1)[:-1] - (ORDER - 1)
-    for i in range(ORDER - 1):
+    ends = np.cumsum(n + CHARS - 1)[:-1] - (CHARS - 1)
+    for i in range(CHARS - 1):
         yes[ends + i] = False
     return yes
 
 
 class KneserNey:
-    """Interpolated modified Kneser-Ney from the sorted n-gram numbers of the highest order and their counts."""
+    """Interpolated modified Kneser-Ney of a small alphabet, dense: the plain version that fit() is tested against."""
 
     def __init__(self, keys: np.ndarray, counts: np.ndarray):
         order = np.argsort(keys, kind="stable")
@@ -115,60 +108,95 @@ class KneserNey:
         return np.log(lower, out=lower).astype(np.float32)
 
 
-def _langs(batch) -> np.ndarray:
-    got = batch.column(batch.schema.get_field_index("lang")).to_pylist()
-    at = {x: i for i, x in enumerate(LANGS)}
-    return np.array([at.get(x, len(LANGS) - 1) for x in got], dtype=np.int32)
+def _by_lang(batch):
+    """(language, places in the batch, characters, lengths) of the languages that have any text."""
+    lang, texts = np.array(strings(batch, "lang"), dtype=object), strings(batch)
+    for k in sorted(set(lang.tolist())):
+        at = np.flatnonzero(lang == k)
+        c, n = characters([texts[i] for i in at])
+        if n.sum():
+            yield k, at, c, n
+
+
+def _merge(held):
+    """Sums the counts of equal keys of some (keys, counts, n-grams)."""
+    keys, counts, chars = (np.concatenate(x) for x in zip(*held, strict=True))
+    keys, first, at = np.unique(keys, return_index=True, return_inverse=True)
+    return keys, np.bincount(at, weights=counts).astype(np.int64), chars[first]
 
 
 def count(docs):
-    """(language, n-gram, count) of all rows; one row for each partition's different n-gram goes through the shuffle."""
+    """(lang, gram, n) of all rows; a task sends each of its different n-grams about once."""
 
-    def rows(k: int, sums: np.ndarray):
-        keys = np.flatnonzero(sums)
-        for at in range(0, len(keys), 1 << 17):
-            part = keys[at : at + (1 << 17)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), k), pa.int32()), pa.array(part, pa.int32()), pa.array(sums[part].astype(np.int64))], names=["k", "gram", "n"])
+    def rows(lang: str, held):
+        _, counts, chars = _merge(held)
+        for at in range(0, len(counts), 1 << 17):
+            part = np.ascontiguousarray(chars[at : at + (1 << 17)])
+            # a row of code points cut from one decoded string: numpy's own strings would lose NULs at the end
+            whole = part.tobytes().decode("utf-32-le", "surrogatepass")
+            text = [whole[i : i + CHARS] for i in range(0, len(whole), CHARS)]
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(text), pa.string()), pa.array(text, pa.string()), pa.array(counts[at : at + (1 << 17)], pa.int64())], names=["lang", "gram", "n"])
 
     def run(batches):
         begin("quality")
-        sums: dict[int, np.ndarray] = {}
-        held: dict[int, int] = {}
-        waiting: dict[int, list[np.ndarray]] = {}
-
-        def add(k: int):
-            """Adds what waits to the sums of its language; gives these out before 32 bits could overflow."""
-            g = np.concatenate(waiting.pop(k))
-            if held.get(k, 0) + len(g) > np.iinfo(np.uint32).max:
-                yield from rows(k, sums.pop(k))
-                held[k] = 0
-            if k not in sums:
-                sums[k] = np.zeros(ALPHABET**ORDER, dtype=np.uint32)
-            held[k] = held.get(k, 0) + len(g)
-            np.add(sums[k], np.bincount(g, minlength=ALPHABET**ORDER), out=sums[k], casting="unsafe")
-
+        held: dict[str, list] = {}
         for whole in batches:
             for batch in pieces(whole, size=PIECE):
-                lang, texts = _langs(batch), [t or "" for t in batch.column(batch.schema.get_field_index("text")).to_pylist()]
-                for k in np.unique(lang).tolist():
-                    x, n = fold([texts[i] for i in np.flatnonzero(lang == k)])
-                    if n.sum():
-                        waiting.setdefault(k, []).append(grams(x)[own(n, len(x) - ORDER + 1)])
-                        if sum(map(len, waiting[k])) >= WAITING:
-                            yield from add(k)
-        for k in list(waiting):
-            yield from add(k)
-        for k, s in sums.items():
-            yield from rows(k, s)
-
-    return docs.select("lang", "text").mapInArrow(run, "k int, gram int, n long").groupBy("k", "gram").agg(F.sum("n").alias("n"))
+                for k, _, c, n in _by_lang(batch):
+                    g = grams(c, k)
+                    ends = np.flatnonzero(own(n, len(g)))
+                    keys, first, counts = np.unique(g[ends], return_index=True, return_counts=True)
+                    held.setdefault(k, []).append((keys, counts, c[ends[first][:, None] + np.arange(CHARS)]))
+                    if sum(len(x[0]) for x in held[k]) >= 2 * HELD:
+                        held[k] = [_merge(held[k])]
+                        if len(held[k][0][0]) >= HELD:
+                            yield from rows(k, held.pop(k))
+        for k in list(held):
+            yield from rows(k, held.pop(k))
+
+    return docs.select("lang", "text").mapInArrow(run, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+
+
+def probabilities(counts, path: str):
+    """(lang, gram, p) of counts(lang, gram, n), the last character given those before; tables of the orders are kept below path."""
+    level = {CHARS: keep(counts, f"{path}/n{CHARS}")}
+    for m in range(CHARS - 1, 0, -1):
+        level[m] = keep(level[m + 1].groupBy("lang", F.expr("substring(gram, 2)").alias("gram")).agg(F.count("*").alias("n")), f"{path}/n{m}")
+    lower = None
+    for m in range(1, CHARS + 1):
+        t = level[m]
+        of = t.groupBy("lang").agg(F.count("*").cast("double").alias("size"), *[F.greatest(F.count_if(F.col("n") == i), F.lit(1)).cast("double").alias(f"n{i}") for i in (1, 2, 3, 4)])
+        y = F.expr("n1 / (n1 + 2 * n2)")
+        cuts = [1 - 2 * y * F.col("n2") / F.col("n1"), 2 - 3 * y * F.col("n3") / F.col("n2"), 3 - 4 * y * F.col("n4") / F.col("n3")]
+        of = of.select(F.col("lang").alias("l"), "size", *[F.least(F.greatest(c, F.lit(lo)), F.lit(hi)).alias(f"d{i}") for i, (c, lo, hi) in enumerate(zip(cuts, (0.05, 0.1, 0.15), (0.95, 1.9, 2.85), strict=True), 1)])
+        t = t.join(of, F.col("lang") == F.col("l")).select(
+            "lang", "gram", F.expr(f"substring(gram, 1, {m - 1})").alias("ctx"), F.expr("substring(gram, 2)").alias("suffix"), "size", F.col("n").cast("double").alias("n"), F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3")).alias("d")
+        )
+        sums = t.groupBy("lang", "ctx").agg(F.sum("n").alias("total"), F.sum("d").alias("spare"))
+        t = t.join(sums, ["lang", "ctx"])
+        # one more than the characters seen stands for all others
+        t = t.withColumn("below", 1 / (F.col("size") + 1)) if lower is None else t.join(lower.select("lang", F.col("gram").alias("suffix"), F.col("p").alias("below")), ["lang", "suffix"])
+        lower = t.select("lang", "gram", F.expr("(n - d) / total + spare / total * below").alias("p"))
+    return lower
+
+
+def fit(docs):
+    """The model table (key, lp) of every n-gram in the rows of each language."""
+    path = shared_dir(docs.sparkSession)
 
+    def run(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            lang, text = np.array(b.column(0).to_pylist(), dtype=object), b.column(1).to_pylist()
+            c = np.frombuffer("".join(text).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).reshape(-1, CHARS)
+            key = np.zeros(len(c), dtype=np.uint64)
+            for k in set(lang.tolist()):
+                at = np.flatnonzero(lang == k)
+                key[at] = grams(c[at].reshape(-1), k)[::CHARS]
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.log(b.column(2).to_numpy(zero_copy_only=False)).astype(np.float32))], names=["key", "lp"])
 
-def fit(docs) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """Each language's n-grams and counts, at most ALPHABET**ORDER of them."""
-    got = count(docs).toArrow()
-    k, gram, n = (got[c].to_numpy() for c in ("k", "gram", "n"))
-    return {int(i): (gram[k == i], n[k == i]) for i in np.unique(k)}
+    return keep(probabilities(count(docs), path).mapInArrow(run, "key long, lp float"), f"{path}/model")
 
 
 def features(texts: list[bytes]) -> list[np.ndarray]:
@@ -200,50 +228,91 @@ def base_fails(n_words: np.ndarray, n_repeat_words: np.ndarray) -> np.ndarray:
     return (n_words < 50) | (100 * n_repeat_words > 50 * n_words)
 
 
-class Scorer:
-    """Mean negative log probability a character of each text under its language's model; one for a Python task."""
+def _means(batch, keys: np.ndarray, lp: np.ndarray) -> np.ndarray:
+    """Mean negative log probability a character of each text from its block's sorted keys and their log probabilities."""
+    out = np.full(batch.num_rows, np.nan)
+    for k, at, c, n in _by_lang(batch):
+        p = np.append(lp[np.searchsorted(keys, grams(c, k)) % len(lp)], np.float32(0))
+        first = np.cumsum(n + CHARS - 1) - n - (CHARS - 1)
+        ends = np.stack([first, first + n], axis=1).reshape(-1)
+        s = np.add.reduceat(p, ends, dtype=np.float64)[::2]
+        out[at] = np.where(n > 0, -s / np.maximum(n, 1), np.nan)
+    return out
 
-    def __init__(self, model: dict):
-        self.model, self.ready = model, {}
 
-    def __call__(self, texts: list[str], lang: np.ndarray) -> np.ndarray:
-        out = np.full(len(texts), np.nan)
-        for k in np.unique(lang).tolist():
-            at = np.flatnonzero(lang == k)
-            x, n = fold([texts[i] for i in at])
-            if not n.sum() or k not in self.model:
-                continue
-            if k not in self.ready:
-                self.ready[k] = KneserNey(*self.model[k]).log_probabilities()
-            p = np.append(self.ready[k][grams(x)], np.float32(0))
-            first = np.cumsum(n + ORDER - 1) - n - (ORDER - 1)
-            ends = np.stack([first, first + n], axis=1).reshape(-1)
-            s = np.add.reduceat(p, ends, dtype=np.float64)[::2]
-            out[at] = np.where(n > 0, -s / np.maximum(n, 1), np.nan)
-        return out
+def _keys(table) -> np.ndarray:
+    """The sorted different n-grams of a block."""
+    out = [np.zeros(0, dtype=np.uint64)]
+    for whole in table.to_batches():
+        for batch in pieces(whole, size=PIECE):
+            for k, _, c, n in _by_lang(batch):
+                g = grams(c, k)
+                out.append(np.unique(g[own(n, len(g))]))
+    return np.unique(np.concatenate(out))
 
 
-SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, k int, log_perplexity double"
+def _scored(docs, model, rows, schema):
+    """rows(batch, mean negative log probabilities) of all rows of docs, block by block."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = max(1, -(-size // BLOCK))
+    bits = max(1, (blocks - 1).bit_length())
+    shift = np.uint64(64 - bits)
+    names = docs.columns
+    spread = docs.withColumn("_block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
+
+    def ask(table):
+        begin("quality")
+        keys = _keys(table)
+        cut = np.searchsorted(keys, np.arange(1, 1 << bits, dtype=np.uint64) << shift)
+        parts = [x.tobytes() for x in np.split(keys, cut)]
+        block = table.column("_block")[0].as_py()
+        return pa.table({"block": pa.array([block] * len(parts), pa.int32()), "range": pa.array(range(len(parts)), pa.int32()), "keys": pa.array(parts, pa.binary())})
+
+    def answer(asked, known):
+        key, lp = known.column("key").to_numpy().view(np.uint64), known.column("lp").to_numpy()
+        order = np.argsort(key)
+        key, lp = key[order], lp[order]
+        out = []
+        for x in asked.column("keys").to_pylist():
+            want = np.frombuffer(x, dtype=np.uint64)
+            if len(key):
+                at = np.minimum(np.searchsorted(key, want), len(key) - 1)
+                out.append(np.where(key[at] == want, lp[at], np.float32(UNSEEN)).astype(np.float32).tobytes())
+            else:
+                out.append(np.full(len(want), UNSEEN, dtype=np.float32).tobytes())
+        return pa.table({"block": asked.column("block"), "range": asked.column("range"), "lps": pa.array(out, pa.binary())})
+
+    def give(table, answers):
+        begin("quality")
+        keys = _keys(table)
+        got = sorted(zip(answers.column("range").to_pylist(), answers.column("lps").to_pylist(), strict=True))
+        lp = np.frombuffer(b"".join(x for _, x in got), dtype=np.float32)
+        out = []
+        for whole in table.select(names).to_batches():
+            for batch in pieces(whole, size=PIECE):
+                out.append(rows(batch, _means(batch, keys, lp)))
+        return pa.Table.from_batches(out)
+
+    asked = spread.select("doc_id", "text", "lang", "_block").groupBy("_block").applyInArrow(ask, "block int, range int, keys binary")
+    known = model.withColumn("range", F.shiftrightunsigned("key", 64 - bits).cast("int"))
+    answers = asked.groupBy("range").cogroup(known.groupBy("range")).applyInArrow(answer, "block int, range int, lps binary")
+    return spread.groupBy("_block").cogroup(answers.groupBy("block")).applyInArrow(give, schema)
+
+
+SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, k string, log_perplexity double"
 
 
 def score(docs, model):
     """The base counts and the log perplexity of each row."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches):
-        begin("quality")
-        scorer = Scorer(sent.value)
-        for whole in batches:
-            for batch in pieces(whole, size=PIECE):
-                texts, lang = blobs(batch), _langs(batch)
-                nll = scorer([t.decode() for t in texts], lang)
-                cols = [batch.column(0).cast(pa.int64()), *(pa.array(f, pa.int64()) for f in features(texts)), pa.array(lang), pa.array(nll, pa.float64(), from_pandas=True)]
-                yield pa.RecordBatch.from_arrays(cols, names=[c.split()[0] for c in SCHEMA.split(", ")])
+    def rows(batch, nll):
+        cols = [batch.column(0).cast(pa.int64()), *(pa.array(f, pa.int64()) for f in features(blobs(batch))), pa.array(strings(batch, "lang"), pa.string()), pa.array(nll, pa.float64(), from_pandas=True)]
+        return pa.RecordBatch.from_arrays(cols, names=[c.split()[0] for c in SCHEMA.split(", ")])
 
-    return docs.select("doc_id", "text", "lang").mapInArrow(run, SCHEMA)
+    return _scored(docs.select("doc_id", "text", "lang"), model, rows, SCHEMA)
 
 
-def bands(scored) -> dict[int, tuple[float, float]]:
+def bands(scored) -> dict[str, tuple[float, float]]:
     """Each language's median log perplexity and scaled deviation; from a histogram in steps of _STEP, so at most some thousand rows a language reach the driver."""
     bad = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     hist = scored.where(~bad & F.col("log_perplexity").isNotNull()).groupBy("k", F.floor(F.col("log_perplexity") / _STEP).cast("int").alias("b")).count().collect()
@@ -265,21 +334,14 @@ def keep_good(docs):
     """The rows, with all their columns, that pass the base rules and their language's band."""
     model = fit(docs)
     limits = bands(score(docs, model))
-    sent = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches):
-        begin("quality")
-        scorer = Scorer(sent.value)
-        for whole in batches:
-            for batch in pieces(whole, size=PIECE):
-                texts, lang = blobs(batch), _langs(batch)
-                f = features(texts)
-                nll = scorer([t.decode() for t in texts], lang)
-                mid, dev = (np.array([limits.get(k, (0.0, np.inf))[i] for k in range(len(LANGS))])[lang] for i in (0, 1))
-                far = (nll - mid) / (dev * np.sqrt(1 + SHORT / np.maximum(f[1], 1)))
-                yield batch.filter(pa.array(~base_fails(f[0], f[4]) & (np.isnan(far) | (far >= -LOWER) & (far <= UPPER))))
-
-    return docs.mapInArrow(run, docs.schema)
+    def rows(batch, nll):
+        f = features(blobs(batch))
+        mid, dev = np.array([limits.get(k, (0.0, np.inf)) for k in strings(batch, "lang")]).reshape(-1, 2).T
+        far = (nll - mid) / (dev * np.sqrt(1 + SHORT / np.maximum(f[1], 1)))
+        return batch.filter(pa.array(~base_fails(f[0], f[4]) & (np.isnan(far) | (far >= -LOWER) & (far <= UPPER))))
+
+    return _scored(docs, model, rows, docs.schema)
 
 
 def op4_quality_rules(spark, sf_dir):

@@ -226,3 +226,30 @@ def test_toxicity_held_out(spark):
     rows = [r for r in toxicity.op10_toxicity(spark, sf).collect() if r.held_out and r.doc_id in labels]
     right = sum(r.predicted == labels[r.doc_id] for r in rows)
     assert len(rows) > 30 and right / len(rows) >= 0.9
+
+
+def test_quality_other_scripts(spark):
+    rng = random.Random(4)
+    words = ["".join(rng.choices("оеаинтсрвлкм", k=rng.randint(2, 9))) for _ in range(300)]
+    texts = [" ".join(rng.choices(words, k=rng.randint(60, 200))) for _ in range(150)] + [" ".join("".join(rng.choices("щъыэюяфхцчшж", k=6)) for _ in range(150)) for _ in range(3)]
+    docs = frame(spark, texts, lang=["ru"] * len(texts))
+    kept = {r.doc_id for r in quality.keep_good(docs).collect()}
+    assert kept == set(range(150))
+    # nothing is folded: every different n-gram is a key
+    grams = {x[i : i + quality.CHARS] for t in texts for x in [" " * (quality.CHARS - 1) + t] for i in range(len(t))}
+    assert quality.fit(docs).count() == len(grams)
+
+
+def test_probabilities(spark, monkeypatch):
+    """Against the dense version: six classes as characters, all seen."""
+    rng = np.random.default_rng(1)
+    monkeypatch.setattr(quality, "CHARS", 4)
+    monkeypatch.setattr(quality, "ALPHABET", 6)
+    g, n = np.unique(rng.zipf(1.3, 3000) % 6**4, return_counts=True)
+    text = ["".join("abcdef"[x // 6**i % 6] for i in (3, 2, 1, 0)) for x in g.tolist()]
+    counts = spark.createDataFrame([("en", t, int(c)) for t, c in zip(text, n, strict=True)], "lang string, gram string, n long")
+    path = quality.shared_dir(spark)
+    got = {r.gram: r.p for r in quality.probabilities(counts, path).collect()}
+    want = np.exp(quality.KneserNey(g, n).log_probabilities())
+    # the sparse one leaves a share 1 / 7 for characters never seen, the dense one none
+    assert set(got) == set(text) and max(abs(got[t] - want[x]) for t, x in zip(text, g.tolist(), strict=True)) < 0.03
