@@ -2,7 +2,7 @@
 
 Templates are short public licence notices and headings, each a sequence of words. A document's words stream through the
 automaton; at each word the length of the longest suffix that occurs in some template is known (the matching statistic).
-Matches that can't be extended to the right and have at least ``min_match`` words (or are a whole template) are kept, and for each template they
+Matches that can't be extended to the right in their template and have at least ``min_match`` words (or are a whole template) are kept, and for each template they
 are chained in order of both places; a template whose chain covers ``min_cover`` of its words is a span.
 
 Null text is empty; empty texts have no words, no spans and score 0. Repeated rows give repeated rows; other columns are ignored.
@@ -70,6 +70,7 @@ class Automaton:
     def __init__(self, templates: dict[str, list[str]]):
         self.vocab: dict[bytes, int] = {}
         self.templates: list[tuple[str, int]] = []
+        self.words: list[list[int]] = []
         nxt: list[dict[int, int]] = [{}]
         link, length, ends = [-1], [0], [set()]
 
@@ -85,8 +86,10 @@ class Automaton:
                 t, last = len(self.templates), 0
                 ws = word_list(text.encode())
                 self.templates.append((label, len(ws)))
+                self.words.append([])
                 for i, w in enumerate(ws):
                     c = self.vocab.setdefault(w, len(self.vocab))
+                    self.words[t].append(c)
                     if (q := nxt[last].get(c)) is not None:
                         if length[q] == length[last] + 1:
                             cur = q
@@ -118,6 +121,14 @@ class Automaton:
             if link[v] > 0:
                 ends[link[v]] |= ends[v]
         self.next, self.link, self.length, self.ends = nxt, link, length, [sorted(e) for e in ends]
+        #: For each state (template, end place, length of the suffix that stands there, 0: the whole match), shorter suffixes' templates too.
+        self.suffixes: list[list[tuple[int, int, int]]] = []
+        for v in range(len(nxt)):
+            got, p, seen = [(t, at, 0) for t, at in self.ends[v]], link[v], ends[v]
+            while p > 0:
+                got += [(t, at, length[p]) for t, at in sorted(ends[p] - seen)]
+                p, seen = link[p], ends[p]
+            self.suffixes.append(got)
 
     def statistics(self, ids: list[int | None]) -> list[tuple[int, int]]:
         """For each word (state, length of the longest suffix of the words so far that some template holds)."""
@@ -151,11 +162,13 @@ def spans(auto: Automaton, ws: list[bytes], min_match: int = 4, min_cover: float
             continue
         stats = auto.statistics(ids[a:b])
         for i, (s, n) in enumerate(stats):
-            if n < 3 or i + 1 < len(stats) and stats[i + 1][1] == n + 1:
+            if n < 3:
                 continue
-            for t, at in auto.ends[s]:
-                if n >= min_match or n == auto.templates[t][1]:
-                    matches.setdefault(t, []).append((a + i - n + 1, at - n + 1, n))
+            for t, at, k in auto.suffixes[s]:
+                k, size = k or n, auto.templates[t][1]
+                # the template's own next word decides whether its match can be extended
+                if (k >= min_match or k == size) and (at + 1 == size or ids[a + i + 1 : a + i + 2] != [auto.words[t][at + 1]]):
+                    matches.setdefault(t, []).append((a + i - k + 1, at - k + 1, k))
     found = []
     for t, ms in matches.items():
         label, size = auto.templates[t]

@@ -253,3 +253,12 @@ def test_probabilities(spark, monkeypatch):
     want = np.exp(quality.KneserNey(g, n).log_probabilities())
     # the sparse one leaves a share 1 / 7 for characters never seen, the dense one none
     assert set(got) == set(text) and max(abs(got[t] - want[x]) for t, x in zip(text, g.tolist(), strict=True)) < 0.03
+
+
+def test_licenses_prefix_of_longer_template():
+    auto = licenses.Automaton(licenses.TEMPLATES)
+    ws = licenses.word_list(b"licensed under the apache license, version 2.0. the code is here")
+    assert ("apache-2.0", 0, 8, 1.0) in licenses.spans(auto, ws)
+    # a template that ends at a suffix shorter than the longest match
+    auto = licenses.Automaton({"long": ["a b c d e f g h"], "short": ["c d e"]})
+    assert licenses.spans(auto, licenses.word_list(b"a b c d e f x")) == [("short", 2, 5, 1.0)]
