@@ -27,16 +27,9 @@ _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 BLOCK = 1 << 20
 
 
-#: Rows in a batch that goes to Python, where the session has Spark's default of 10000: long texts would make it very large on both sides.
-BATCH_ROWS = 1000
-_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
-
-
 def ship(spark) -> None:
-    """Send this package to the executors once per session, so that it need not be installed there; bound the rows of a batch."""
+    """Send this package to the executors once per session, so that it need not be installed there."""
     sc = spark.sparkContext
-    if spark.conf.get(_ROWS) == "10000":
-        spark.conf.set(_ROWS, str(BATCH_ROWS))
     if getattr(sc, "_quillmesh_sent", False):
         return
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
@@ -106,6 +99,25 @@ def drop(spark, *paths: str) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+class bucketed:
+    """df as a table below path, bucketed by a column: later joins and groups by that column don't move its rows. The catalogue entry has a name of its own."""
+
+    def __init__(self, df, path: str, by: str, buckets: int):
+        self.spark, self.path, self.name = df.sparkSession, path, "quillmesh_" + uuid.uuid4().hex
+        df.write.format("parquet").option("compression", "uncompressed").option("path", path).bucketBy(buckets, by).saveAsTable(self.name)
+        self.df = self.spark.table(self.name)
+
+    def drop(self) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        drop(self.spark, self.path)
+
+
+def release(spark) -> None:
+    """Let Spark remove the shuffle files of stages that nothing refers to any more: it does so when the driver's JVM collects its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def parts(spark) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -140,14 +152,15 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def words(texts: list[bytes], lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+def words(texts: list[bytes], lower: bool = False, marks: np.ndarray | None = None):
     """64-bit hashes of all white-space separated words of the texts, one after another, and the number of words of each text.
 
-    Bytes are weighted by their place in the word and summed; memory is bounded by BLOCK and the longest word.
+    marks: 256 flags; then a third array tells which words hold any byte that is flagged. Bytes are weighted by their place in the word
+    and summed; memory is bounded by BLOCK and the longest word.
     """
     whole = b"\n".join(texts) + b"\n"
     ends = np.cumsum(np.fromiter((len(t) + 1 for t in texts), dtype=np.int64, count=len(texts)))
-    buf, out, firsts, at = np.frombuffer(whole, dtype=np.uint8), [], [], 0
+    buf, out, firsts, marked, at = np.frombuffer(whole, dtype=np.uint8), [], [], [], 0
     while at < len(buf):
         to = min(len(buf), at + BLOCK)
         while to < len(buf) and not SPACE[buf[to - 1]]:
@@ -173,12 +186,14 @@ def words(texts: list[bytes], lower: bool = False) -> tuple[np.ndarray, np.ndarr
             h = np.add.reduceat(v, base)
             out.append(mix(h + n.astype(np.uint64) * _M2))
             firsts.append(s + at)
+            if marks is not None:
+                marked.append(np.logical_or.reduceat(marks[b[idx]], base))
         at = to
     if not out:
-        return np.zeros(0, dtype=np.uint64), np.zeros(len(texts), dtype=np.int64)
-    first = np.concatenate(firsts)
-    counts = np.diff(np.searchsorted(first, ends), prepend=0)
-    return np.concatenate(out), counts
+        got = np.zeros(0, dtype=np.uint64), np.zeros(len(texts), dtype=np.int64)
+    else:
+        got = np.concatenate(out), np.diff(np.searchsorted(np.concatenate(firsts), ends), prepend=0)
+    return got if marks is None else (*got, np.concatenate(marked) if marked else np.zeros(0, dtype=bool))
 
 
 def shingles(texts: list[bytes], k: int, lower: bool = True) -> list[np.ndarray]:

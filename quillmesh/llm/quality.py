@@ -1,212 +1,89 @@
-"""Quality rules: base counts, and perplexity bands of a modified Kneser-Ney model of characters as they stand (nothing is folded).
-
-Spark counts the n-grams of CHARS characters of all documents of a language; continuation counts, three discounts an order and
-interpolated probabilities are derived from them by aggregations and joins, order by order. Neither the alphabet nor the model is bounded:
-it is a table (key, log probability), keys being 64-bit hashes of language and n-gram, and it is never sent whole to any one place.
-To score, documents are spread over blocks of about BLOCK bytes; a block asks for its distinct n-grams in sorted arrays, one for each range
-of keys; the ranges are joined to those of the model; the answers come back to the block in the order of its keys.
-A document is rejected by the method if its mean log perplexity lies outside its language's band: the median, less LOWER or plus UPPER
-times the scaled median absolute deviation, both from a histogram of all documents of the language that pass the base rules. Means of
-short texts vary more, so the band is wider by the square root of 1 + SHORT / word_chars.
-
-Null or empty text has no words, fails the base rules and has log perplexity null. Every value of lang has its own model, null is "".
-Repeated rows count as often as they come. score() is for the rows the model was fitted on: n-grams it lacks have log probability UNSEEN.
-Other columns are ignored by score() and kept by keep_good().
+"""Quality rules: base counts, and perplexity bands of a modified Kneser-Ney model of word bigrams.
+
+Words without any letter or digit are no words of the model. Each language's documents fall into two halves by their least bigram hash, so
+that equal texts always and near copies mostly share a half, and a half is scored by the model of the other one: no document teaches the
+model that judges it. Nothing is folded or cut: every word and bigram is a hashed key, and what is gathered grows with the corpus.
+
+1. Texts become blocks of about BLOCK bytes of one language: sorted arrays of the different words' keys, and the words in turn as numbers
+   in them. Blocks are a table bucketed by block, so that later joins by block don't move it.
+2. Each block sends its different bigrams, as sorted hash arrays with counts, to ranges of keys. A range merges them into the model's sorted
+   array and answers each block with the counts over all documents; one block of those that hold a bigram is told to be its owner.
+3. Blocks sum over the bigrams they own what Kneser-Ney needs of a word: occurrences as context, continuations by count, contexts before
+   it. Ranges of word keys merge these sums and answer in the same way.
+4. A block has all it needs to score its documents. Discounts come from counts of counts, one row a range and language.
+
+No key is hot: a block sends a bigram or word at most once. Keys have EXTRA bits more than the number of words has, so an unseen bigram is
+taken for a seen one once in 2**EXTRA. Ranges are for about RANGE bytes of text; both sizes bound the memory of a task, not what it covers.
+
+A document is rejected if its mean log perplexity a word of either order lies above its language's and half's band, or that of order one
+(continuations, which copies don't change) below it. A band is the median plus so many scaled median absolute deviations over families
+(documents of equal least hash), wider for few words or families. Copies that fall into the other half are very predictable by bigrams but
+not bad, so order two has no lower band.
+
+Null or empty text has no words, fails the base rules and has log perplexity null, as has a text without letters or digits; such a text is
+judged by the base rules alone. Every value of lang has its own model, null is "". A language with one half empty has log perplexity 0.
+Repeated rows count as often as they come and get equal results. An empty table gives no rows. A very long text is a block of its own.
+Other columns are ignored by score() and kept by keep_good(), whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
+import os
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import functions as F
 
-from .common import SPACE, begin, blobs, keep, mix, pieces, shared_dir, strings, table, words
-
-#: Characters of an n-gram.
-CHARS = 6
-#: Of the dense KneserNey only.
-ORDER, ALPHABET = 4, 50
-LOWER, UPPER, SHORT = 5.0, 5.0, 400.0
-#: Bytes of text at a time: every character takes some 20 bytes of numbers.
-PIECE = 2 << 20
-#: Different n-grams of a language that a task holds before it gives out their counts.
-HELD = 1 << 20
-#: Bytes of text that are scored together.
-BLOCK = 32 << 20
-UNSEEN = -16.0
-_STEP = 0.005
+from .common import SPACE, begin, blobs, bucketed, drop, id_filter, keep, may_hold, mix, parts, pieces, release, shared_dir, strings, table, words
+
+#: Deviations: of order one and two above the median, of order one below; words and families that widen a band by the square root of two.
+UPPER, LOWER, SHORT, FEW = (5.0, 4.0), 8.0, 20.0, 50.0
+#: Bytes of text in a block, and for which a range of keys serves; bytes of text that are looked at together.
+BLOCK, RANGE, PIECE = 32 << 20, 48 << 20, 2 << 20
+EXTRA = 12
+_STEP, _LEAST_STEPS = 0.005, 20
 _SYMBOL = np.zeros(256, dtype=np.int64)
 _SYMBOL[list(b"#*$%&|<>")] = 1
+#: Bytes of letters and digits; those above 0x7F belong to other letters and signs.
+_LETTER = np.array([c >= 128 or chr(c).isalnum() for c in range(256)])
+
+
+def squeeze(*arrays: np.ndarray) -> bytes:
+    """Arrays of unsigned numbers, byte plane by byte plane, compressed."""
+    out = []
+    for a in arrays:
+        a = np.ascontiguousarray(a, dtype="<u8")
+        wide = (int(a.max()).bit_length() + 7) // 8 if len(a) else 0
+        out.append(len(a).to_bytes(7, "little") + bytes([wide]) + np.ascontiguousarray(a.view(np.uint8).reshape(-1, 8)[:, :wide].T).tobytes())
+    return zstandard.compress(b"".join(out), 1)
+
+
+def unsqueeze(b: bytes) -> list[np.ndarray]:
+    """The arrays again, as 64-bit numbers."""
+    raw, out, at = zstandard.decompress(b), [], 0
+    while at < len(raw):
+        n, wide = int.from_bytes(raw[at : at + 7], "little"), raw[at + 7]
+        a = np.zeros((n, 8), dtype=np.uint8)
+        a[:, :wide] = np.frombuffer(raw, dtype=np.uint8, count=n * wide, offset=at + 8).reshape(wide, n).T
+        out.append(a.reshape(-1).view("<u8"))
+        at += 8 + n * wide
+    return out
 
 
-_FACTOR = np.uint64(0x9E3779B97F4A7C15)
-
-
-def characters(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """The texts' code points in turn, each text after CHARS - 1 spaces, and the texts' numbers of characters."""
-    lead = " " * (CHARS - 1)
-    n = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
-    return np.frombuffer((lead + lead.join(texts)).encode("utf-32-le", "surrogatepass"), dtype=np.uint32), n
-
-
-def _seed(lang: str) -> np.uint64:
-    return np.uint64(int.from_bytes(hashlib.blake2b(lang.encode(), digest_size=8).digest(), "little"))
-
-
-def grams(c: np.ndarray, lang: str) -> np.ndarray:
-    """The key of the n-gram that ends at each character from CHARS - 1 on."""
-    g = np.full(len(c) - CHARS + 1, _seed(lang), dtype=np.uint64)
-    for i in range(CHARS):
-        g *= _FACTOR
-        g += c[i : len(c) - CHARS + 1 + i]
-    return mix(g)
-
-
-def own(n: np.ndarray, total: int) -> np.ndarray:
-    """Which n-grams end at a character of a text (and not in the spaces between texts)."""
-    yes = np.ones(total, dtype=bool)
-    ends = np.cumsum(n + CHARS - 1)[:-1] - (CHARS - 1)
-    for i in range(CHARS - 1):
-        yes[ends + i] = False
-    return yes
-
-
-class KneserNey:
-    """Interpolated modified Kneser-Ney of a small alphabet, dense: the plain version that fit() is tested against."""
-
-    def __init__(self, keys: np.ndarray, counts: np.ndarray):
-        order = np.argsort(keys, kind="stable")
-        self.keys, self.counts = keys[order].astype(np.int64), counts[order].astype(np.int64)
-
-    def levels(self) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Sorted arrays (n-grams, counts) of orders 1 to ORDER; below the highest a count is that of different words before."""
-        out, keys = [(self.keys, self.counts)], self.keys
-        for k in range(ORDER - 1, 0, -1):
-            keys, n = np.unique(keys % ALPHABET**k, return_counts=True)
-            out.append((keys, n))
-        return out[::-1]
-
-    def log_probabilities(self) -> np.ndarray:
-        """Natural logarithms for all ALPHABET**ORDER n-grams, the last character given those before."""
-        lower = np.full(ALPHABET, 1.0 / ALPHABET)
-        for k, (keys, n) in enumerate(self.levels(), 1):
-            of = [max(int((n == i).sum()), 1) for i in (1, 2, 3, 4)]
-            y = of[0] / (of[0] + 2 * of[1])
-            cut = np.clip([0.0, 1 - 2 * y * of[1] / of[0], 2 - 3 * y * of[2] / of[1], 3 - 4 * y * of[3] / of[2]], [0, 0.05, 0.1, 0.15], [0, 0.95, 1.9, 2.85])
-            d = cut[np.minimum(n, 3)]
-            h = keys // ALPHABET
-            size = ALPHABET ** (k - 1)
-            total = np.bincount(h, weights=n, minlength=size)
-            spare = np.bincount(h, weights=d, minlength=size)
-            gamma = np.where(total > 0, spare / np.maximum(total, 1), 1.0)
-            below = lower.reshape(1, -1, ALPHABET)
-            p = (gamma.reshape(-1, below.shape[1], 1) * below).reshape(-1)
-            p[keys] += (n - d) / total[h]
-            lower = p
-        return np.log(lower, out=lower).astype(np.float32)
-
-
-def _by_lang(batch):
-    """(language, places in the batch, characters, lengths) of the languages that have any text."""
-    lang, texts = np.array(strings(batch, "lang"), dtype=object), strings(batch)
-    for k in sorted(set(lang.tolist())):
-        at = np.flatnonzero(lang == k)
-        c, n = characters([texts[i] for i in at])
-        if n.sum():
-            yield k, at, c, n
-
-
-def _merge(held):
-    """Sums the counts of equal keys of some (keys, counts, n-grams)."""
-    keys, counts, chars = (np.concatenate(x) for x in zip(*held, strict=True))
-    keys, first, at = np.unique(keys, return_index=True, return_inverse=True)
-    return keys, np.bincount(at, weights=counts).astype(np.int64), chars[first]
-
-
-def count(docs):
-    """(lang, gram, n) of all rows; a task sends each of its different n-grams about once."""
-
-    def rows(lang: str, held):
-        _, counts, chars = _merge(held)
-        for at in range(0, len(counts), 1 << 17):
-            part = np.ascontiguousarray(chars[at : at + (1 << 17)])
-            # a row of code points cut from one decoded string: numpy's own strings would lose NULs at the end
-            whole = part.tobytes().decode("utf-32-le", "surrogatepass")
-            text = [whole[i : i + CHARS] for i in range(0, len(whole), CHARS)]
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(text), pa.string()), pa.array(text, pa.string()), pa.array(counts[at : at + (1 << 17)], pa.int64())], names=["lang", "gram", "n"])
-
-    def run(batches):
-        begin("quality")
-        held: dict[str, list] = {}
-        for whole in batches:
-            for batch in pieces(whole, size=PIECE):
-                for k, _, c, n in _by_lang(batch):
-                    g = grams(c, k)
-                    ends = np.flatnonzero(own(n, len(g)))
-                    keys, first, counts = np.unique(g[ends], return_index=True, return_counts=True)
-                    held.setdefault(k, []).append((keys, counts, c[ends[first][:, None] + np.arange(CHARS)]))
-                    if sum(len(x[0]) for x in held[k]) >= 2 * HELD:
-                        held[k] = [_merge(held[k])]
-                        if len(held[k][0][0]) >= HELD:
-                            yield from rows(k, held.pop(k))
-        for k in list(held):
-            yield from rows(k, held.pop(k))
-
-    return docs.select("lang", "text").mapInArrow(run, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-
-
-def probabilities(counts, path: str):
-    """(lang, gram, p) of counts(lang, gram, n), the last character given those before; tables of the orders are kept below path."""
-    level = {CHARS: keep(counts, f"{path}/n{CHARS}")}
-    for m in range(CHARS - 1, 0, -1):
-        level[m] = keep(level[m + 1].groupBy("lang", F.expr("substring(gram, 2)").alias("gram")).agg(F.count("*").alias("n")), f"{path}/n{m}")
-    lower = None
-    for m in range(1, CHARS + 1):
-        t = level[m]
-        of = t.groupBy("lang").agg(F.count("*").cast("double").alias("size"), *[F.greatest(F.count_if(F.col("n") == i), F.lit(1)).cast("double").alias(f"n{i}") for i in (1, 2, 3, 4)])
-        y = F.expr("n1 / (n1 + 2 * n2)")
-        cuts = [1 - 2 * y * F.col("n2") / F.col("n1"), 2 - 3 * y * F.col("n3") / F.col("n2"), 3 - 4 * y * F.col("n4") / F.col("n3")]
-        of = of.select(F.col("lang").alias("l"), "size", *[F.least(F.greatest(c, F.lit(lo)), F.lit(hi)).alias(f"d{i}") for i, (c, lo, hi) in enumerate(zip(cuts, (0.05, 0.1, 0.15), (0.95, 1.9, 2.85), strict=True), 1)])
-        t = t.join(of, F.col("lang") == F.col("l")).select(
-            "lang", "gram", F.expr(f"substring(gram, 1, {m - 1})").alias("ctx"), F.expr("substring(gram, 2)").alias("suffix"), "size", F.col("n").cast("double").alias("n"), F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3")).alias("d")
-        )
-        sums = t.groupBy("lang", "ctx").agg(F.sum("n").alias("total"), F.sum("d").alias("spare"))
-        t = t.join(sums, ["lang", "ctx"])
-        # one more than the characters seen stands for all others
-        t = t.withColumn("below", 1 / (F.col("size") + 1)) if lower is None else t.join(lower.select("lang", F.col("gram").alias("suffix"), F.col("p").alias("below")), ["lang", "suffix"])
-        lower = t.select("lang", "gram", F.expr("(n - d) / total + spare / total * below").alias("p"))
-    return lower
-
-
-def fit(docs):
-    """The model table (key, lp) of every n-gram in the rows of each language."""
-    path = shared_dir(docs.sparkSession)
-
-    def run(batches):
-        for b in batches:
-            if not b.num_rows:
-                continue
-            lang, text = np.array(b.column(0).to_pylist(), dtype=object), b.column(1).to_pylist()
-            c = np.frombuffer("".join(text).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).reshape(-1, CHARS)
-            key = np.zeros(len(c), dtype=np.uint64)
-            for k in set(lang.tolist()):
-                at = np.flatnonzero(lang == k)
-                key[at] = grams(c[at].reshape(-1), k)[::CHARS]
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.log(b.column(2).to_numpy(zero_copy_only=False)).astype(np.float32))], names=["key", "lp"])
-
-    return keep(probabilities(count(docs), path).mapInArrow(run, "key long, lp float"), f"{path}/model")
+def gaps(sorted_keys: np.ndarray) -> np.ndarray:
+    return np.diff(sorted_keys, prepend=np.uint64(0))
 
 
-def features(texts: list[bytes]) -> list[np.ndarray]:
-    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words of each text."""
+def features(texts: list[bytes]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words of each text; hashes of all words, and which of them have letters or digits."""
     size = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
     buf = np.frombuffer(b"\n".join(texts) + b"\n", dtype=np.uint8)
     first = np.cumsum(size + 1) - size - 1
     chars = np.add.reduceat(((buf & 0xC0) != 0x80) & ~SPACE[buf], first, dtype=np.int64)
     symbols = np.add.reduceat(_SYMBOL[buf], first)
-    h, n = words(texts)
+    h, n, real = words(texts, marks=_LETTER)
     x = mix(mix(mix(h[:-2]) * np.uint64(3) + h[1:-1]) * np.uint64(5) + h[2:]) if len(h) > 2 else h[:0]
     lines, repeats, at = np.zeros(len(texts), dtype=np.int64), np.zeros(len(texts), dtype=np.int64), 0
     for i, (t, m) in enumerate(zip(texts, n.tolist(), strict=True)):
@@ -221,136 +98,370 @@ def features(texts: list[bytes]) -> list[np.ndarray]:
                 covered[hit] = covered[hit + 1] = covered[hit + 2] = True
                 repeats[i] = covered.sum()
         at += m
-    return [n, chars, symbols, lines, repeats]
+    return [n, chars, symbols, lines, repeats], h, real
 
 
-def base_fails(n_words: np.ndarray, n_repeat_words: np.ndarray) -> np.ndarray:
-    return (n_words < 50) | (100 * n_repeat_words > 50 * n_words)
+def seed(lang: str) -> np.uint64:
+    return np.uint64(int.from_bytes(hashlib.blake2b(lang.encode(), digest_size=8).digest(), "little"))
 
 
-def _means(batch, keys: np.ndarray, lp: np.ndarray) -> np.ndarray:
-    """Mean negative log probability a character of each text from its block's sorted keys and their log probabilities."""
-    out = np.full(batch.num_rows, np.nan)
-    for k, at, c, n in _by_lang(batch):
-        p = np.append(lp[np.searchsorted(keys, grams(c, k)) % len(lp)], np.float32(0))
-        first = np.cumsum(n + CHARS - 1) - n - (CHARS - 1)
-        ends = np.stack([first, first + n], axis=1).reshape(-1)
-        s = np.add.reduceat(p, ends, dtype=np.float64)[::2]
-        out[at] = np.where(n > 0, -s / np.maximum(n, 1), np.nan)
+def families(h: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The least hash of each text's bigrams; of its word, if there is but one; 0 if there is none. n: words of each text."""
+    first, out = np.cumsum(n) - n, np.zeros(len(n), dtype=np.uint64)
+    one, two = np.flatnonzero(n == 1), np.flatnonzero(n > 1)
+    out[one] = mix(h[first[one]])
+    if len(two):
+        pair = mix(h[:-1] * np.uint64(3) + h[1:])
+        # from a text's first bigram to its last, and what lies between texts, in turn
+        ends = np.stack([first[two], first[two] + n[two] - 1], axis=1).reshape(-1)
+        out[two] = np.minimum.reduceat(np.append(pair, np.uint64(2**64 - 1)), ends)[::2]
     return out
 
 
-def _keys(table) -> np.ndarray:
-    """The sorted different n-grams of a block."""
-    out = [np.zeros(0, dtype=np.uint64)]
-    for whole in table.to_batches():
-        for batch in pieces(whole, size=PIECE):
-            for k, _, c, n in _by_lang(batch):
-                g = grams(c, k)
-                out.append(np.unique(g[own(n, len(g))]))
-    return np.unique(np.concatenate(out))
+def halves(family: np.ndarray) -> np.ndarray:
+    return (mix(family + np.uint64(1)) >> np.uint64(63)).astype(np.int64)
 
 
-def _scored(docs, model, rows, schema):
-    """rows(batch, mean negative log probabilities) of all rows of docs, block by block."""
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-size // BLOCK))
-    bits = max(1, (blocks - 1).bit_length())
-    shift = np.uint64(64 - bits)
-    names = docs.columns
-    spread = docs.withColumn("_block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
+BLOCKS = "block long, lang string, ids array<long>, rows binary, counts binary, words binary, seen binary, numbers binary"
 
-    def ask(table):
-        begin("quality")
-        keys = _keys(table)
-        cut = np.searchsorted(keys, np.arange(1, 1 << bits, dtype=np.uint64) << shift)
-        parts = [x.tobytes() for x in np.split(keys, cut)]
-        block = table.column("_block")[0].as_py()
-        return pa.table({"block": pa.array([block] * len(parts), pa.int32()), "range": pa.array(range(len(parts)), pa.int32()), "keys": pa.array(parts, pa.binary())})
-
-    def answer(asked, known):
-        key, lp = known.column("key").to_numpy().view(np.uint64), known.column("lp").to_numpy()
-        order = np.argsort(key)
-        key, lp = key[order], lp[order]
-        out = []
-        for x in asked.column("keys").to_pylist():
-            want = np.frombuffer(x, dtype=np.uint64)
-            if len(key):
-                at = np.minimum(np.searchsorted(key, want), len(key) - 1)
-                out.append(np.where(key[at] == want, lp[at], np.float32(UNSEEN)).astype(np.float32).tobytes())
-            else:
-                out.append(np.full(len(want), UNSEEN, dtype=np.float32).tobytes())
-        return pa.table({"block": asked.column("block"), "range": asked.column("range"), "lps": pa.array(out, pa.binary())})
-
-    def give(table, answers):
+
+class Block:
+    """Documents of one language."""
+
+    def __init__(self, lang: str, bits: int):
+        self.lang, self.cut = lang, np.uint64(64 - bits)
+        self.size, self.held = 0, []
+
+    def add(self, size: int, *columns: np.ndarray) -> None:
+        self.size += size
+        self.held.append(columns)
+
+    def row(self) -> tuple:
+        ids, rows, *f, family, n, h = (np.concatenate(x) for x in zip(*self.held, strict=True))
+        s = seed(self.lang)
+        key = mix(h ^ s) >> self.cut
+        # the sign before a text's first word is a word, too
+        start = mix(np.array([s]))[0] >> self.cut
+        vocab, at = np.unique(np.append(key, start), return_inverse=True)
+        seen = np.bincount(at, minlength=len(vocab))
+        rank = np.empty(len(vocab), dtype=np.int64)
+        rank[np.argsort(-seen, kind="stable")] = np.arange(len(vocab))
+        counts = [x.astype(np.uint64) for x in f]
+        ids = [None if x == -(2**63) else x for x in ids.tolist()]
+        return int.from_bytes(os.urandom(8), "little") >> 1, self.lang, ids, squeeze(rows.view(np.uint64)), squeeze(*counts, family, n), squeeze(gaps(vocab), [start]), squeeze(seen), squeeze(rank[at[:-1]])
+
+
+def blocks(docs, bits: int):
+    """docs(doc_id, text, lang, row) as blocks; row: what tells equal rows."""
+
+    def run(batches):
         begin("quality")
-        keys = _keys(table)
-        got = sorted(zip(answers.column("range").to_pylist(), answers.column("lps").to_pylist(), strict=True))
-        lp = np.frombuffer(b"".join(x for _, x in got), dtype=np.float32)
-        out = []
-        for whole in table.select(names).to_batches():
+        held: dict[str, Block] = {}
+
+        def out(*done: Block):
+            cols = list(zip(*(b.row() for b in done), strict=True)) or [()] * 8
+            kinds = [pa.int64(), pa.string(), pa.list_(pa.int64()), *[pa.binary()] * 5]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=[c.split()[0] for c in BLOCKS.split(", ")])
+
+        for whole in batches:
             for batch in pieces(whole, size=PIECE):
-                out.append(rows(batch, _means(batch, keys, lp)))
-        return pa.Table.from_batches(out)
+                texts, lang = blobs(batch), np.array(strings(batch, "lang"), dtype=object)
+                f, h, real = features(texts)
+                doc = np.repeat(np.arange(len(texts)), f[0])[real]
+                h, n = h[real], np.bincount(doc, minlength=len(texts))
+                family = families(h, n)
+                ids = batch.column(0).cast(pa.int64()).fill_null(-(2**63)).to_numpy(zero_copy_only=False)
+                rows = batch.column(3).to_numpy(zero_copy_only=False)
+                size = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
+                for k in dict.fromkeys(lang.tolist()):
+                    its = lang == k
+                    b = held.setdefault(k, Block(k, bits))
+                    b.add(int(size[its].sum()), ids[its], rows[its], *(x[its] for x in f), family[its], n[its], h[its[doc]])
+                    if b.size >= BLOCK:
+                        yield out(held.pop(k))
+                if sum(b.size for b in held.values()) >= 2 * BLOCK:
+                    yield out(held.pop(max(held, key=lambda k: held[k].size)))
+        for k in list(held):
+            yield out(held.pop(k))
+
+    return docs.mapInArrow(run, BLOCKS)
+
+
+class Bigrams:
+    """What a block's row says: its words, its bigrams in the order of their keys, and which of them each word of the texts ends."""
+
+    def __init__(self, row: dict, bits: int):
+        self.lang, self.block = row["lang"], row["block"]
+        self.counts = unsqueeze(row["counts"])
+        self.family, self.n = self.counts[5], self.counts[6].astype(np.int64)
+        steps, (start,) = unsqueeze(row["words"])
+        self.words = np.cumsum(steps, dtype=np.uint64)
+        (seen,) = unsqueeze(row["seen"])
+        by_rank = np.argsort(-seen.astype(np.int64), kind="stable")
+        (ranks,) = unsqueeze(row["numbers"])
+        word = by_rank[ranks.astype(np.int64)]
+        before = np.empty_like(word)
+        before[1:] = word[:-1]
+        first = np.cumsum(self.n) - self.n
+        before[first[self.n > 0]] = np.searchsorted(self.words, start)
+        self.half = halves(self.family)
+        half = np.repeat(self.half, self.n)
+        pairs, at = np.unique(before * len(self.words) + word, return_inverse=True)
+        a, b = pairs // len(self.words), pairs % len(self.words)
+        keys = mix(mix(self.words[a] + np.uint64(1)) * np.uint64(3) + self.words[b]) >> np.uint64(64 - bits)
+        order = np.argsort(keys, kind="stable")
+        place = np.empty_like(order)
+        place[order] = np.arange(len(order))
+        self.keys, self.a, self.b, self.at = keys[order], a[order], b[order], place[at]
+        self.own = [np.bincount(self.at[half == f], minlength=len(keys)) for f in (0, 1)]
 
-    asked = spread.select("doc_id", "text", "lang", "_block").groupBy("_block").applyInArrow(ask, "block int, range int, keys binary")
-    known = model.withColumn("range", F.shiftrightunsigned("key", 64 - bits).cast("int"))
-    answers = asked.groupBy("range").cogroup(known.groupBy("range")).applyInArrow(answer, "block int, range int, lps binary")
-    return spread.groupBy("_block").cogroup(answers.groupBy("block")).applyInArrow(give, schema)
+    def cuts(self, keys: np.ndarray, ranges: int, bits: int) -> list[slice]:
+        """The part of sorted keys of each range."""
+        edges = [0, *np.searchsorted(keys, (np.arange(1, ranges, dtype=object) * (1 << bits) // ranges).astype(np.uint64)).tolist(), len(keys)]
+        return [slice(x, y) for x, y in zip(edges, edges[1:], strict=False)]
+
+
+ASKED = "range int, lang string, block long, keys binary, sums binary"
+#: kind 0: answers about bigrams, 1: about words, 2 and 3: counts of counts of both, with block -1.
+ANSWERS = "kind int, lang string, block long, range int, sums binary"
+
+
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    kinds = {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
+    cols = list(zip(*rows, strict=True)) or [()] * len(schema.split(", "))
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[f.split()[1]]) for c, f in zip(cols, schema.split(", "), strict=True)], names=[f.split()[0] for f in schema.split(", ")])
+
+
+def _merge(rows: list[dict]):
+    """The sorted different keys of several blocks, where each block's keys are among them, the sums of their numbers, and the blocks' sizes."""
+    keys = [np.cumsum(unsqueeze(r["keys"])[0], dtype=np.uint64) for r in rows]
+    sums = [np.stack(unsqueeze(r["sums"])).astype(np.int64) for r in rows]
+    whole, at = np.unique(np.concatenate(keys), return_inverse=True)
+    all_sums = np.concatenate(sums, axis=1)
+    return whole, at, all_sums, np.stack([np.bincount(at, weights=s, minlength=len(whole)).astype(np.int64) for s in all_sums]), [len(k) for k in keys]
+
+
+def _by_lang(t: pa.Table) -> dict[str, list[dict]]:
+    out: dict[str, list[dict]] = {}
+    for r in t.to_pylist():
+        out.setdefault(r["lang"], []).append(r)
+    return out
 
 
-SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, k string, log_perplexity double"
+def _of_counts(n: np.ndarray) -> list[int]:
+    """How many are 1, 2, 3, 4, any; their sum."""
+    return [*(int((n == i).sum()) for i in (1, 2, 3, 4)), int((n > 0).sum()), int(n.sum())]
 
 
-def score(docs, model):
-    """The base counts and the log perplexity of each row."""
+class Counts(dict):
+    """Each language's and half's counts of counts of bigrams (2) and continuations (3), and the discounts that follow."""
 
-    def rows(batch, nll):
-        cols = [batch.column(0).cast(pa.int64()), *(pa.array(f, pa.int64()) for f in features(blobs(batch))), pa.array(strings(batch, "lang"), pa.string()), pa.array(nll, pa.float64(), from_pandas=True)]
-        return pa.RecordBatch.from_arrays(cols, names=[c.split()[0] for c in SCHEMA.split(", ")])
+    def discounts(self, kind: int, lang: str, half: int) -> np.ndarray:
+        """By count: 0, 1, 2, 3 and more."""
+        n1, n2, n3, n4 = (max(x, 1) for x in self.get((kind, lang), [0] * 12)[6 * half : 6 * half + 4])
+        y = n1 / (n1 + 2 * n2)
+        return np.clip([0.0, 1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3], [0, 0.05, 0.1, 0.15], [0, 0.95, 1.9, 2.85])
 
-    return _scored(docs.select("doc_id", "text", "lang"), model, rows, SCHEMA)
+    def low(self, lang: str, half: int, cont: np.ndarray) -> np.ndarray:
+        """Probabilities of words by their numbers of contexts."""
+        n1, n2, _, _, types, total = self.get((3, lang), [0] * 12)[6 * half : 6 * half + 6]
+        if not total:
+            return np.ones(len(cont))
+        d = self.discounts(3, lang, half)
+        spare = d[1] * n1 + d[2] * n2 + d[3] * (types - n1 - n2)
+        # one more than the words seen stands for all others
+        return (cont - d[np.minimum(cont, 3)]) / total + spare / total / (types + 1)
 
+    def high(self, lang: str, half: int, count: np.ndarray, context: np.ndarray, low: np.ndarray) -> np.ndarray:
+        """Probabilities of bigrams; context: occurrences of the word before, and how many words follow it once, twice, oftener."""
+        d = self.discounts(2, lang, half)
+        total = np.maximum(context[0], 1)
+        # a context whose only bigram shares its key with another's may seem to have none
+        spare = np.maximum(d[1] * context[1] + d[2] * context[2] + d[3] * context[3], d[1])
+        return np.where(context[0] > 0, (count - d[np.minimum(count, 3)] + spare * low) / total, low)
 
-def bands(scored) -> dict[str, tuple[float, float]]:
-    """Each language's median log perplexity and scaled deviation; from a histogram in steps of _STEP, so at most some thousand rows a language reach the driver."""
-    bad = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    hist = scored.where(~bad & F.col("log_perplexity").isNotNull()).groupBy("k", F.floor(F.col("log_perplexity") / _STEP).cast("int").alias("b")).count().collect()
-    out = {}
-    for k in {r.k for r in hist}:
-        b, n = (np.array(x) for x in zip(*sorted((r.b, r["count"]) for r in hist if r.k == k), strict=True))
 
-        def median(v, w):
-            o = np.argsort(v, kind="stable")
-            return v[o][np.searchsorted(np.cumsum(w[o]), w.sum() / 2)]
+SCORED = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, k string, half int, row long, family long, log_perplexity_1 double, log_perplexity double"
 
+
+def score(docs):
+    """The base counts and the mean log perplexities of each row of docs(doc_id, text, lang), with what names its band, its family and the row.
+
+    Returns a table in the shared folder.
+    """
+    spark, top = docs.sparkSession, shared_dir(docs.sparkSession)
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = min(64, max(24, (size // 4 + 1).bit_length() + EXTRA))
+    ranges = max(1, -(-size // RANGE))
+    docs = docs.select("doc_id", "text", "lang", row_key().alias("row"))
+    held = bucketed(blocks(docs, bits), f"{top}/blocks", "block", max(1, parts(spark)))
+    by_block = lambda df: held.df.groupBy("block").cogroup(df.groupBy("block"))
+
+    def ask(batches):
+        begin("quality")
+        for b in batches:
+            for row in b.to_pylist():
+                x = Bigrams(row, bits)
+                for i, s in enumerate(x.cuts(x.keys, ranges, bits)):
+                    if s.start < s.stop:
+                        yield _batch([(i, x.lang, x.block, squeeze(gaps(x.keys[s])), squeeze(*(c[s] for c in x.own)))], ASKED)
+
+    def count(t):
+        begin("quality")
+        out, at_range = [], t.column("range")[0].as_py()
+        for lang, rows in _by_lang(t).items():
+            keys, at, _, total, n = _merge(rows)
+            first = np.zeros(len(at), dtype=np.int64)
+            first[np.unique(at, return_index=True)[1]] = 1
+            stop = np.cumsum(n)
+            for r, i, j in zip(rows, stop - n, stop, strict=True):
+                out.append((0, lang, r["block"], at_range, squeeze(*total[:, at[i:j]], first[i:j])))
+            out.append((2, lang, -1, at_range, squeeze(_of_counts(total[0]) + _of_counts(total[1]))))
+        return pa.Table.from_batches([_batch(out, ANSWERS)])
+
+    def joined(t, kind: int) -> list[np.ndarray]:
+        """A block's answers of a kind, range after range."""
+        got = sorted((r["range"], r["sums"]) for r in t.to_pylist() if r["kind"] == kind)
+        return [np.concatenate(x).astype(np.int64) for x in zip(*(unsqueeze(s) for _, s in got), strict=True)]
+
+    def sum_words(block, answers):
+        begin("quality")
+        out = []
+        for row in block.to_pylist():
+            x = Bigrams(row, bits)
+            if not len(x.keys):
+                continue
+            c0, c1, owner = joined(answers, 0)
+            mine, size = owner > 0, len(x.words)
+            sums = [np.bincount(x.a, weights=c, minlength=size).astype(np.int64) for c in x.own]
+            for c in (c0, c1):
+                sums += [np.bincount(x.a[mine & w], minlength=size) for w in (c == 1, c == 2, c > 2)]
+                sums.append(np.bincount(x.b[mine & (c > 0)], minlength=size))
+            for i, s in enumerate(x.cuts(x.words, ranges, bits)):
+                if s.start < s.stop:
+                    out.append((i, x.lang, x.block, squeeze(gaps(x.words[s])), squeeze(*(c[s] for c in sums))))
+        return pa.Table.from_batches([_batch(out, ASKED)])
+
+    def count_words(t):
+        begin("quality")
+        out, at_range = [], t.column("range")[0].as_py()
+        for lang, rows in _by_lang(t).items():
+            _, at, _, total, n = _merge(rows)
+            stop = np.cumsum(n)
+            for r, i, j in zip(rows, stop - n, stop, strict=True):
+                out.append((1, lang, r["block"], at_range, squeeze(*total[:, at[i:j]])))
+            out.append((3, lang, -1, at_range, squeeze(_of_counts(total[5]) + _of_counts(total[9]))))
+        return pa.Table.from_batches([_batch(out, ANSWERS)])
+
+    asked = held.df.mapInArrow(ask, ASKED)
+    first = keep(asked.groupBy("range").applyInArrow(count, ANSWERS), f"{top}/bigrams")
+    release(spark)
+    asked = by_block(first.where("kind = 0")).applyInArrow(sum_words, ASKED)
+    second = keep(asked.groupBy("range").applyInArrow(count_words, ANSWERS), f"{top}/words")
+    release(spark)
+    counts = Counts()
+    # a row for each language and range: two times six numbers
+    for r in first.unionByName(second).where("kind > 1").select("kind", "lang", "sums").toLocalIterator():
+        k = (r.kind, r.lang)
+        counts[k] = [x + y for x, y in zip(counts.get(k, [0] * 12), unsqueeze(bytes(r.sums))[0].tolist(), strict=True)]
+
+    def give(block, answers):
+        begin("quality")
+        out = []
+        for row in block.to_pylist():
+            x = Bigrams(row, bits)
+            one, two = np.full((2, len(x.n)), np.nan)
+            if len(x.keys):
+                c, w = joined(answers, 0), joined(answers, 1)
+                half, first = np.repeat(x.half, x.n), np.cumsum(x.n) - x.n
+                lows, highs = np.zeros(len(half)), np.zeros(len(half))
+                for f in (0, 1):
+                    # the other half's numbers
+                    o = 1 - f
+                    its = x.at[half == f]
+                    low = counts.low(x.lang, o, w[5 + 4 * o][x.b])
+                    high = counts.high(x.lang, o, c[o], np.stack([w[o], *w[2 + 4 * o : 5 + 4 * o]])[:, x.a], low)
+                    lows[half == f], highs[half == f] = np.log(low)[its], np.log(high)[its]
+                some = x.n > 0
+                one[some], two[some] = (-np.add.reduceat(v, first[some]) / x.n[some] for v in (lows, highs))
+            (rows,) = unsqueeze(row["rows"])
+            cols = [pa.array(row["ids"], pa.int64()), *(pa.array(v.astype(np.int64)) for v in x.counts[:5]), pa.array([x.lang] * len(x.n), pa.string()), pa.array(x.half.astype(np.int32)), pa.array(rows.view(np.int64)), pa.array(x.family.view(np.int64))]
+            cols += [pa.array(v, pa.float64(), from_pandas=True) for v in (one, two)]
+            out.append(pa.RecordBatch.from_arrays(cols, names=[f.split()[0] for f in SCORED.split(", ")]))
+        return pa.Table.from_batches(out, out[0].schema if out else pa.schema([(f.split()[0], {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "double": pa.float64()}[f.split()[1]]) for f in SCORED.split(", ")]))
+
+    scored = keep(by_block(first.unionByName(second).where("kind < 2")).applyInArrow(give, SCORED), f"{top}/scored")
+    held.drop()
+    drop(spark, f"{top}/bigrams", f"{top}/words")
+    return scored
+
+
+def row_key():
+    """What tells a row of docs by all that a verdict depends on."""
+    return F.xxhash64("doc_id", "text", "lang")
+
+
+def base_failed():
+    return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+
+
+def bands(scored) -> list[tuple]:
+    """(language, half, order, median log perplexity, scaled deviation) over families that pass the base rules; from histograms in steps of _STEP,
+    so at most some thousand rows a language reach the driver."""
+    names = ("log_perplexity_1", "log_perplexity")
+    mean = scored.where(~base_failed() & F.col("log_perplexity").isNotNull()).groupBy("k", "half", "family").agg(*[F.avg(c).alias(c) for c in names])
+    rows = mean.select("k", "half", F.posexplode(F.array(*[F.floor(F.col(c) / _STEP).cast("int") for c in names])).alias("order", "b")).groupBy("k", "half", "order", "b").count().collect()
+    held: dict[tuple, list[tuple[int, int]]] = {}
+    for r in rows:
+        held.setdefault((r.k, r.half, r.order), []).append((r.b, r["count"]))
+
+    def median(v, w):
+        o = np.argsort(v, kind="stable")
+        return v[o][np.searchsorted(np.cumsum(w[o]), w.sum() / 2)]
+
+    out = []
+    for k, x in held.items():
+        b, n = (np.array(v) for v in zip(*sorted(x), strict=True))
         mid = median(b, n)
-        dev = max(1.4826 * median(np.abs(b - mid), n), 4.0)
-        out[k] = (float((mid + 0.5) * _STEP), float(dev * _STEP))
+        dev = max(1.4826 * median(np.abs(b - mid), n), _LEAST_STEPS) * np.sqrt(1 + FEW / n.sum())
+        out.append((*k, float((mid + 0.5) * _STEP), float(dev * _STEP)))
     return out
 
 
+def judge(docs):
+    """score(docs) with base_failed and kept."""
+    spark = docs.sparkSession
+    scored = score(docs)
+    limits: dict[tuple, dict] = {}
+    for k, h, o, mid, dev in bands(scored):
+        limits.setdefault((k, h), {})[o] = (mid, dev)
+    # a row for each language and half
+    of = spark.createDataFrame([(k, h, *v[0], *v[1]) for (k, h), v in limits.items()], "bk string, bh int, m1 double, d1 double, m2 double, d2 double")
+    x = scored.join(F.broadcast(of), (F.col("k") == F.col("bk")) & (F.col("half") == F.col("bh")), "left")
+    wide = F.sqrt(1 + SHORT / F.greatest("n_words", F.lit(1)))
+    far = [(F.col(c) - F.col(m)) / (F.col(d) * wide) for c, m, d in (("log_perplexity_1", "m1", "d1"), ("log_perplexity", "m2", "d2"))]
+    out = (far[0] > UPPER[0]) | (far[0] < -LOWER) | (far[1] > UPPER[1])
+    return x.withColumns({"base_failed": base_failed(), "kept": ~base_failed() & ~F.coalesce(out, F.lit(False))}).drop("bk", "bh", "m1", "d1", "m2", "d2")
+
+
 def keep_good(docs):
-    """The rows, with all their columns, that pass the base rules and their language's band."""
-    model = fit(docs)
-    limits = bands(score(docs, model))
+    """The rows, with all their columns, that pass the base rules and their language's bands. Only rows that may be rejected go through a shuffle."""
+    spark = docs.sparkSession
+    gone = keep(judge(docs).where("not kept").select("row").distinct(), f"{shared_dir(spark)}/rejected")
+    bits, name = id_filter(gone), "_quality_row"
+    keyed = docs.withColumn(name, row_key())
+
+    def rows(held: bool):
+        def run(batches):
+            begin("quality")
+            for b in batches:
+                mask = may_hold(bits.value, b.column(b.num_columns - 1)).to_numpy(zero_copy_only=False)
+                yield b.filter(pa.array(mask if held else ~mask))
 
-    def rows(batch, nll):
-        f = features(blobs(batch))
-        mid, dev = np.array([limits.get(k, (0.0, np.inf)) for k in strings(batch, "lang")]).reshape(-1, 2).T
-        far = (nll - mid) / (dev * np.sqrt(1 + SHORT / np.maximum(f[1], 1)))
-        return batch.filter(pa.array(~base_fails(f[0], f[4]) & (np.isnan(far) | (far >= -LOWER) & (far <= UPPER))))
+        return keyed.mapInArrow(run, keyed.schema)
 
-    return _scored(docs, model, rows, docs.schema)
+    return rows(False).unionByName(rows(True).join(gone.withColumnRenamed("row", name), name, "left_anti").select(keyed.columns)).drop(name)
 
 
 def op4_quality_rules(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    scored = keep(score(docs, fit(docs)), shared_dir(spark))
-    limits = bands(scored)
-    bad = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    inside = F.lit(True)
-    for k, (mid, dev) in limits.items():
-        far = (F.col("log_perplexity") - mid) / (dev * F.sqrt(1 + SHORT / F.greatest("word_chars", F.lit(1))))
-        inside = F.when(F.col("k") == k, far.between(-LOWER, UPPER)).otherwise(inside)
-    return scored.withColumns({"base_failed": bad, "kept": ~bad & F.coalesce(inside, F.lit(True))}).drop("k")
+    return judge(table(spark, sf_dir, "documents")).drop("k", "half", "row", "family")

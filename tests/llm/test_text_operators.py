@@ -10,7 +10,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 
-from quillmesh.llm import bpe, chat, fingerprints, licenses, packing, quality, secret_scan, toxicity, urls
+from quillmesh.llm import bpe, chat, fingerprints, licenses, packing, secret_scan, toxicity, urls
 
 ODD = [None, "", " \n\t ", "a", "İstanbul ſecret K", "x" * 5000, "é" * 700 + " 😀😀 " * 30, "don't we'll  see\n\n 12 34,5 ½ ٣٤ \u00a0\u2003end", "日本語 テキスト", "A\x00B\x1fC\x85D", "the end\r\n", "a b c d e " * 400]
 
@@ -103,47 +103,6 @@ def test_hilbert():
     assert len(set(packing.hilbert(cube, 3).tolist())) == n**3 and (np.abs(np.diff(walk, axis=0)).sum(axis=1) == 1).all()
 
 
-def counted(t):
-    t = t or ""
-    ws = re.findall(r"[^\x20\x09-\x0D]+", t)
-    windows = {}
-    for j in range(len(ws) - 2):
-        windows.setdefault(tuple(ws[j : j + 3]), []).append(j)
-    twice = {j + d for v in windows.values() if len(v) > 1 for j in v for d in range(3)}
-    seen, dups = set(), 0
-    for line in t.split("\n"):
-        if re.search(r"[^\x20\x09-\x0D]", line):
-            dups += line in seen
-            seen.add(line)
-    return len(ws), sum(map(len, ws)), len(re.findall(r"[#*$%&|<>]", t)), dups, len(twice)
-
-
-def test_quality(spark):
-    rng = random.Random(3)
-    words = ["".join(rng.choices("etaoinshrdlu", k=rng.randint(2, 9))) for _ in range(400)]
-    good = [" ".join(rng.choices(words, k=rng.randint(60, 300))) for _ in range(300)]
-    bad = [" ".join("".join(rng.choices("#*$%&|<>{}~^zqxj", k=6)) for _ in range(150)) for _ in range(4)]
-    texts = ODD + ["l\nl\n m\n\n\n m\nl", "a b c a b c d # |"] + good + bad
-    langs = [None, "xx"] * 6 + ["en"] * (len(texts) - 12)
-    docs = frame(spark, texts, lang=langs, k=["1"] * len(texts))
-    scored = quality.score(docs, quality.fit(docs))
-    got = {r.doc_id: r for r in scored.collect()}
-    for i, t in enumerate(texts):
-        assert (got[i].n_words, got[i].word_chars, got[i].n_symbols, got[i].n_dup_lines, got[i].n_repeat_words) == counted(t)
-    kept = {r.doc_id for r in quality.keep_good(docs).collect()}
-    fine = set(range(len(ODD) + 2, len(ODD) + 2 + len(good)))
-    assert fine <= kept and not kept & set(range(len(texts) - 4, len(texts)))
-    assert quality.keep_good(docs).columns == docs.columns and quality.keep_good(docs.limit(0)).count() == 0
-
-
-def test_kneser_ney():
-    rng = np.random.default_rng(0)
-    g, n = np.unique(rng.zipf(1.3, 20000) % quality.ALPHABET**quality.ORDER, return_counts=True)
-    p = np.exp(quality.KneserNey(g, n).log_probabilities().astype(np.float64)).reshape(-1, quality.ALPHABET)
-    # each context's probabilities sum to one
-    assert np.allclose(p.sum(axis=1), 1, atol=1e-4)
-
-
 def test_fingerprints(spark):
     rng = random.Random(5)
     base = [f"w{rng.randint(0, 9999)}" for _ in range(600)]
@@ -228,33 +187,6 @@ def test_toxicity_held_out(spark):
     assert len(rows) > 30 and right / len(rows) >= 0.9
 
 
-def test_quality_other_scripts(spark):
-    rng = random.Random(4)
-    words = ["".join(rng.choices("оеаинтсрвлкм", k=rng.randint(2, 9))) for _ in range(300)]
-    texts = [" ".join(rng.choices(words, k=rng.randint(60, 200))) for _ in range(150)] + [" ".join("".join(rng.choices("щъыэюяфхцчшж", k=6)) for _ in range(150)) for _ in range(3)]
-    docs = frame(spark, texts, lang=["ru"] * len(texts))
-    kept = {r.doc_id for r in quality.keep_good(docs).collect()}
-    assert kept == set(range(150))
-    # nothing is folded: every different n-gram is a key
-    grams = {x[i : i + quality.CHARS] for t in texts for x in [" " * (quality.CHARS - 1) + t] for i in range(len(t))}
-    assert quality.fit(docs).count() == len(grams)
-
-
-def test_probabilities(spark, monkeypatch):
-    """Against the dense version: six classes as characters, all seen."""
-    rng = np.random.default_rng(1)
-    monkeypatch.setattr(quality, "CHARS", 4)
-    monkeypatch.setattr(quality, "ALPHABET", 6)
-    g, n = np.unique(rng.zipf(1.3, 3000) % 6**4, return_counts=True)
-    text = ["".join("abcdef"[x // 6**i % 6] for i in (3, 2, 1, 0)) for x in g.tolist()]
-    counts = spark.createDataFrame([("en", t, int(c)) for t, c in zip(text, n, strict=True)], "lang string, gram string, n long")
-    path = quality.shared_dir(spark)
-    got = {r.gram: r.p for r in quality.probabilities(counts, path).collect()}
-    want = np.exp(quality.KneserNey(g, n).log_probabilities())
-    # the sparse one leaves a share 1 / 7 for characters never seen, the dense one none
-    assert set(got) == set(text) and max(abs(got[t] - want[x]) for t, x in zip(text, g.tolist(), strict=True)) < 0.03
-
-
 def test_licenses_prefix_of_longer_template():
     auto = licenses.Automaton(licenses.TEMPLATES)
     ws = licenses.word_list(b"licensed under the apache license, version 2.0. the code is here")
