@@ -1,18 +1,19 @@
 """Byte-level BPE by recursive DuckDB queries in every partition, and decoding by an ordered aggregation.
 
 Encoding: the pattern splits a text; each distinct piece that is no token itself becomes token-position rows, which join the table of
-merges; a recursive query contracts each piece's leftmost pair of least rank until none is left. Pieces already encoded are kept in a
-bounded cache of the Python worker. Pieces of over MAX_ROWS_PIECE bytes would make the recursion quadratic; a heap contracts their
-pairs in the same order. Decoding: ids join the vocabulary and are put together in order of place.
+merges; a recursive query contracts each piece's leftmost pair of least rank until none is left. Pieces are first cut between bytes that
+stand together in no token, where no pair can ever meet. Of parts over LONG bytes each step contracts all pairs of the least rank from left
+to right, where none of them can make a pair of lower rank (a token whose merges all rank above it); the order of merges stays the same.
+Pieces already encoded are kept in a bounded cache of the Python worker. Decoding: ids join the vocabulary and are put together in order of place.
 
-Null text is empty: no ids, and the hash of the empty string. Repeated rows give repeated rows; other columns are ignored.
+Null text is empty: no ids, and the hash of the empty string. A null doc_id stays null. Repeated rows give repeated rows, an empty table
+none. A long text is encoded by its pieces, of which equal ones are encoded once. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
 import re
 import unicodedata
 from functools import lru_cache
@@ -23,7 +24,8 @@ import pyarrow as pa
 
 from .common import begin, kept_for, pieces, ship, strings, table
 
-MAX_ROWS_PIECE = 128
+#: Bytes from which a step contracts all pairs of the least rank: one by one, steps and rows would both grow with the length.
+LONG = 128
 #: Pieces in one recursive query, and in the cache of a worker.
 QUERY_PIECES, CACHE_PIECES = 40_000, 1_500_000
 #: A full cache starts anew when more than this share of a batch's pieces isn't in it.
@@ -44,6 +46,22 @@ WITH RECURSIVE s(it, w, p, t, n, np) AS (
 )
 SELECT w, p, t FROM (SELECT w, p, t, it, max(it) OVER (PARTITION BY w) last FROM s) WHERE it = last ORDER BY w, p
 """
+_ENCODE_LONG = """
+WITH RECURSIVE s(it, w, i, t, n) AS (
+  SELECT 0, w, p, t, lead(t) OVER x FROM toks WINDOW x AS (PARTITION BY w ORDER BY p)
+  UNION ALL
+  SELECT it, w, (row_number() OVER x - 1)::INT, t, lead(t) OVER x FROM (
+    WITH c AS (SELECT s.w, s.i, m.t, m.safe, min(m.t) OVER (PARTITION BY s.w) low FROM s JOIN merges m ON m.l = s.t AND m.r = s.n),
+    -- pairs that share a token stand in a run: every other one of it is contracted
+    d AS (SELECT w, i, t, safe, min(i) OVER (PARTITION BY w) least, i - row_number() OVER (PARTITION BY w ORDER BY i) run FROM c WHERE t = low),
+    g AS (SELECT w, i, t FROM (SELECT *, row_number() OVER (PARTITION BY w, run ORDER BY i) k FROM d) WHERE i = least OR safe AND k % 2 = 1)
+    SELECT s.it + 1 it, s.w, s.i, coalesce(g.t, s.t) t
+    FROM s LEFT JOIN g ON g.w = s.w AND g.i = s.i
+    WHERE s.w IN (SELECT w FROM g) AND (s.w, s.i) NOT IN (SELECT w, i + 1 FROM g)
+  ) WINDOW x AS (PARTITION BY w ORDER BY i)
+)
+SELECT w, i AS p, t FROM (SELECT w, i, t, it, max(it) OVER (PARTITION BY w) last FROM s) WHERE it = last ORDER BY w, i
+"""
 _DECODE = "SELECT d, string_agg(b, '' ORDER BY p) AS text FROM toks JOIN vocab USING (t) GROUP BY d ORDER BY d"
 
 
@@ -146,15 +164,20 @@ class Bpe(PieceCache):
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.single = np.zeros(256, dtype=np.int32)
         left, right, made = [], [], []
+        #: Which bytes stand next to each other in any token.
+        self.meet = np.zeros((256, 256), dtype=bool)
         for token, rank in self.ranks.items():
             if len(token) == 1:
                 self.single[token[0]] = rank
+            self.meet[list(token[:-1]), list(token[1:])] = True
             for i in range(1, len(token)):
                 a, b = self.ranks.get(token[:i]), self.ranks.get(token[i:])
                 if a is not None and b is not None:
                     left.append(a), right.append(b), made.append(rank)
         self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "500MB"})
-        self.db.register("m", pa.table({"l": pa.array(left, pa.int32()), "r": pa.array(right, pa.int32()), "t": pa.array(made, pa.int32())}))
+        # tokens of which some merge ranks below them
+        low = {x for l, r, t in zip(left, right, made, strict=True) for x in (l, r) if t < x}
+        self.db.register("m", pa.table({"l": pa.array(left, pa.int32()), "r": pa.array(right, pa.int32()), "t": pa.array(made, pa.int32()), "safe": [t not in low for t in made]}))
         self.db.execute("CREATE TABLE merges AS SELECT * FROM m")
         # a byte as the character of the same number, so that any bytes can be aggregated as text
         self.db.register("v", pa.table({"t": pa.array(self.ranks.values(), pa.int32()), "b": [k.decode("latin-1") for k in self.ranks]}))
@@ -162,35 +185,29 @@ class Bpe(PieceCache):
         super().__init__()
 
     def merge_rows(self, ws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Encode pieces by the recursive query: all ids in turn, and how many each piece has."""
+        """Encode pieces by the recursive queries: all ids in turn, and how many each piece has."""
         n = np.fromiter(map(len, ws), dtype=np.int64, count=len(ws))
-        first = np.cumsum(n) - n
-        w = np.repeat(np.arange(len(ws), dtype=np.int32), n)
-        p = (np.arange(len(w)) - np.repeat(first, n)).astype(np.int32)
-        toks = pa.table({"w": w, "p": p, "t": self.single[np.frombuffer(b"".join(ws), dtype=np.uint8)]})
-        self.db.register("toks", toks)
-        got = self.db.sql(_ENCODE).to_arrow_table()
-        self.db.unregister("toks")
-        return got["t"].to_numpy(), np.bincount(got["w"].to_numpy(), minlength=len(ws))
-
-    def merge_heap(self, w: bytes) -> np.ndarray:
-        """The same for one long piece: pairs wait in a heap by (rank, place); stale ones are skipped."""
-        t = [w[i : i + 1] for i in range(len(w))]
-        after, before = [*range(1, len(w)), -1], [-1, *range(len(w) - 1)]
-        heap = [(r, i, 2) for i in range(len(w) - 1) if (r := self.ranks.get(t[i] + t[i + 1])) is not None]
-        heapq.heapify(heap)
-        while heap:
-            r, i, n = heapq.heappop(heap)
-            j = after[i]
-            if t[i] is None or j < 0 or len(t[i]) + len(t[j]) != n or self.ranks.get(t[i] + t[j]) != r:
-                continue
-            t[i], t[j], after[i] = t[i] + t[j], None, after[j]
-            if after[i] >= 0:
-                before[after[i]] = i
-            for a, b in ((before[i], i), (i, after[i])):
-                if a >= 0 and b >= 0 and (r := self.ranks.get(t[a] + t[b])) is not None:
-                    heapq.heappush(heap, (r, a, len(t[a]) + len(t[b])))
-        return np.array([self.ranks[x] for x in t if x is not None], dtype=np.int32)
+        raw = np.frombuffer(b"".join(ws), dtype=np.uint8)
+        apart = np.r_[True, ~self.meet[raw[:-1], raw[1:]]]
+        apart[np.cumsum(n)[:-1]] = True
+        first = np.flatnonzero(apart)
+        size = np.diff(np.append(first, len(raw)))
+        part = np.repeat(np.arange(len(first), dtype=np.int32), size)
+        p = (np.arange(len(raw)) - np.repeat(first, size)).astype(np.int32)
+        toks = pa.table({"w": part, "p": p, "t": self.single[raw]})
+        long = np.repeat(size > LONG, size)
+        ids, at = [], []
+        for rows, query in ((~long, _ENCODE), (long, _ENCODE_LONG)):
+            if rows.any():
+                self.db.register("toks", toks.filter(pa.array(rows)))
+                got = self.db.sql(query).to_arrow_table()
+                self.db.unregister("toks")
+                ids.append(got["t"].to_numpy())
+                at.append(got["w"].to_numpy())
+        ids, at = np.concatenate(ids), np.concatenate(at)
+        order = np.argsort(at, kind="stable")
+        of = np.repeat(np.arange(len(ws)), n)[first]
+        return ids[order], np.bincount(of[at], minlength=len(ws))
 
     def learn(self, new: list[str]) -> None:
         """Encode pieces that the cache lacks."""
@@ -199,8 +216,6 @@ class Bpe(PieceCache):
             b = x.encode()
             if (r := self.ranks.get(b)) is not None:
                 alone.append((x, np.array([r], dtype=np.int32)))
-            elif len(b) > MAX_ROWS_PIECE:
-                alone.append((x, self.merge_heap(b)))
             else:
                 rows.append((x, b))
         if alone:

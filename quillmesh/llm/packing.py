@@ -1,16 +1,19 @@
 """Packing along a space-filling curve.
 
 A document's tokens, hashed to random signs, project it to three dimensions; the Hilbert key of that place, then a hash of doc_id, then
-doc_id itself order the documents. They are dealt by range to partitions (bounds from a sample of about BOUND_ROWS rows a partition: they
-only balance the partitions and never change the order), sorted, and laid end to end; every multiple of the sequence length cuts. So all
-sequences but the last are full, and neighbours on the curve share sequences.
-
-Null text is empty: one token, the end id. Repeated rows are packed once each. An empty table gives no rows. Other columns are ignored.
-Tokens are written once, in curve order, to the cluster's shared folder; what the driver gathers is one total for each partition.
+doc_id itself order the documents. They are dealt by range to buckets (bounds from a sample of about BOUND_ROWS rows a bucket: they
+only balance the buckets and never change the order), sorted, and laid end to end in one pass that also cuts at every multiple of the
+sequence length. So neighbours on the curve share sequences, and all sequences but the last of each bucket are full. A bucket has
+BUCKET bytes of text at least, so padding is less than a sequence for so much text; a small table is one bucket.
+
+Null text is empty: one token, the end id. Repeated rows are packed once each, equal keys by doc_id, length and tokens. A null doc_id stays
+null. A very long text becomes as many pieces as it takes. An empty table gives no rows. Other columns are ignored, whatever their names.
+Tokens are moved once, by the shuffle; what the driver gathers is one total for each bucket.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from functools import lru_cache
@@ -19,52 +22,77 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from .bpe import _PLAIN, PieceCache, fast_pattern
+from .bpe import _PLAIN
 from .common import begin, keep, kept_for, mix, parts, pieces, shared_dir, strings, table
 
-BOUND_ROWS, DIMS, BITS = 40, 3, 10
+BOUND_ROWS, DIMS, BITS, BUCKET = 40, 3, 10, 4 << 20
+
 
+def _byte_of() -> dict[str, int]:
+    """The bytes that the characters of a byte-level vocabulary stand for: printable ones for themselves, the others in turn from U+0100 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in set(plain)]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
 
-class HfPieces(PieceCache):
-    """The ids of the tokenizers library, piece by piece: new pieces are encoded in long texts, one to a line.
 
-    Texts with characters for which Unicode versions may differ go to the library whole.
+class Ids:
+    """The ids of the tokenizers library for a JSON file.
+
+    Where the file is a plain byte-level BPE whose merges come in the order of their tokens' ids, merging by rank gives the same ids much
+    faster, with no cache. Texts with an added token in them, or with characters for which Unicode versions may differ, go to the library.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
-        self.line = self.library.encode("\n", add_special_tokens=False).ids
-        super().__init__()
-
-    def learn(self, new: list[str]) -> None:
-        many = [x for x in new if not x.isspace()]
-        for x in new:
-            if x.isspace():
-                ids = np.array(self.library.encode(x, add_special_tokens=False).ids, dtype=np.int32)
-                self.store([x], ids, np.array([len(ids)]))
-        for at in range(0, len(many), 2000):
-            part = many[at : at + 2000]
-            ids = np.array(self.library.encode_batch_fast(["\n".join(part)], add_special_tokens=False)[0].ids, dtype=np.int32)
-            cut = np.flatnonzero(ids == self.line[0])
-            assert len(cut) == len(part) - 1
-            self.store(part, np.delete(ids, cut), np.diff(np.r_[-1, cut, len(ids)]) - 1)
-
-    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
-        plain = [not _PLAIN.search(t) for t in texts]
-        ids = iter(self.encode([t for t, p in zip(texts, plain, strict=True) if p], fast_pattern().findall))
-        return [next(ids) if p else np.array(self.library.encode(t, add_special_tokens=False).ids, dtype=np.int32) for t, p in zip(texts, plain, strict=True)]
+        self.path, self.fast, self.added = path, None, ()
+        with open(path, encoding="utf-8") as f:
+            data = json.load(f)
+        self.size = max([*data["model"]["vocab"].values(), *(t["id"] for t in data["added_tokens"])]) + 1
+        pre, model = data.get("pre_tokenizer") or {}, data["model"]
+        merges = [m.split(" ") if isinstance(m, str) else m for m in model.get("merges", [])]
+        made = [model["vocab"].get("".join(m)) for m in merges]
+        by_rank = None not in made and made == sorted(set(made))
+        plain = not data.get("normalizer") and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
+        if model.get("type") == "BPE" and plain and by_rank and not model.get("ignore_merges"):
+            import public_tokenizers
+            import tiktoken
+
+            self.added = tuple(t["content"] for t in data["added_tokens"])
+            byte = _byte_of()
+            ranks = {bytes(byte[c] for c in w): i for w, i in model["vocab"].items() if w not in self.added}
+            self.fast = tiktoken.Encoding("ids", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    @property
+    def library(self):
+        return _library(self.path)
+
+    def encode(self, text: str) -> list[int]:
+        if self.fast and not _PLAIN.search(text) and not any(a in text for a in self.added):
+            return self.fast.encode_ordinary(text)
+        return self.library.encode(text, add_special_tokens=False).ids
+
+    def encode_all(self, texts: list[str]) -> list[list[int]]:
+        return [self.encode(t) for t in texts]
+
+
+@lru_cache(1)
+def _library(path: str):
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
 
 
 @lru_cache(1)
-def worker_pieces(path: str) -> HfPieces:
-    return HfPieces(path)
+def worker_ids(path: str) -> Ids:
+    return Ids(path)
+
 
+def _empty() -> None:
+    worker_ids.cache_clear()
+    _library.cache_clear()
 
-kept_for("packing", worker_pieces.cache_clear)
+
+kept_for("packing", _empty)
 
 
 def hilbert(x: np.ndarray, bits: int) -> np.ndarray:
@@ -115,36 +143,39 @@ def _ids(batch) -> np.ndarray:
     return batch.column(0).cast(pa.int64()).fill_null(-1).to_numpy(zero_copy_only=False)
 
 
-def pack(docs, path: str, length: int = 2048, end_id: int = 1):
-    """The pieces of docs(doc_id, text); see the module's text and the query."""
+PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+
+
+def pack(docs, path: str, length: int = 2048, end_id: int = 1, with_ids: bool = False):
+    """The pieces of docs(doc_id, text); see the module's text and the query. with_ids: their ids too, as array<int>."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
-    buckets = parts(spark)
-    rows = docs.count()
+    rows, size = docs.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
+    buckets = max(1, min(parts(spark), (size or 0) // BUCKET))
 
     def ids_of(tok, batch):
-        return [np.append(x, end_id) for x in tok.encode_all(strings(batch))]
+        return [np.array([*x, end_id], dtype="<u2" if tok.size <= 65536 else "<u4") for x in tok.encode_all(strings(batch))]
 
     def sample_keys(batches):
         begin("packing")
-        tok = worker_pieces(path)
+        tok = worker_ids(path)
         for whole in batches:
             for batch in pieces(whole, size=2 << 20):
                 yield pa.RecordBatch.from_arrays([pa.array(curve_keys(ids_of(tok, batch), _ids(batch)), pa.int64())], names=["key"])
 
-    wanted = BOUND_ROWS * buckets
-    sample = docs if rows <= wanted else docs.sample(wanted / rows, seed=7)
-    keys = np.sort(np.array([r.key for r in sample.mapInArrow(sample_keys, "key long").collect()], dtype=np.int64))
-    bounds = np.unique(keys[np.linspace(0, len(keys), buckets + 1).astype(int)[1:-1]]) if len(keys) else keys
+    wanted, bounds = BOUND_ROWS * buckets, np.zeros(0, dtype=np.int64)
+    if buckets > 1:
+        sample = docs if rows <= wanted else docs.sample(wanted / rows, seed=7)
+        keys = np.sort(np.array([r.key for r in sample.mapInArrow(sample_keys, "key long").collect()], dtype=np.int64))
+        bounds = np.unique(keys[np.linspace(0, len(keys), buckets + 1).astype(int)[1:-1]]) if len(keys) else keys
 
     def tokens(batches):
         begin("packing")
-        tok = worker_pieces(path)
+        tok = worker_ids(path)
         for whole in batches:
             for batch in pieces(whole, size=2 << 20):
                 ids = ids_of(tok, batch)
                 key = curve_keys(ids, _ids(batch))
-                ids = [x.astype("<u2" if tok.library.get_vocab_size() <= 65536 else "<u4") for x in ids]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.searchsorted(bounds, key, side="right"), pa.int32()), pa.array(key, pa.int64()), batch.column(0).cast(pa.int64()),
@@ -153,43 +184,49 @@ def pack(docs, path: str, length: int = 2048, end_id: int = 1):
                     names=["bucket", "key", "doc_id", "n", "wide", "ids"],
                 )
 
+    names = ["bucket", *(c.split()[0] for c in PIECES.split(", ")), "ids"]
+
     def lay(batches):
+        begin("packing-lay")
         at: dict[int, int] = {}
+
+        def out(rows: list[tuple]):
+            cols = list(zip(*rows, strict=True)) or [()] * 9
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, [pa.int32(), *[pa.int64()] * 7, pa.list_(pa.int32())], strict=True)], names=names)
+
         for b in batches:
-            bucket, n = b.column(0).to_numpy(), b.column(3).to_numpy()
-            start = np.zeros(len(n), dtype=np.int64)
-            for i, (k, m) in enumerate(zip(bucket.tolist(), n.tolist(), strict=True)):
-                start[i] = at.get(k, 0)
-                at[k] = start[i] + m
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(start), b.column(2), b.column(3), b.column(4), b.column(5)], names=["bucket", "local", "doc_id", "n", "wide", "ids"])
+            done, held = [], 0
+            for k, doc, n, wide, raw in zip(b.column(0), b.column(2), b.column(3), b.column(4), b.column(5), strict=True):
+                k, doc, n = k.as_py(), doc.as_py(), n.as_py()
+                ids = np.frombuffer(raw.as_buffer(), dtype=f"<u{wide.as_py()}")
+                i, first = 0, at.get(k, 0)
+                while i < n:
+                    seq, off = divmod(first + i, length)
+                    m = min(n - i, length - off)
+                    part = ids[i : i + m].astype("<u4")
+                    done.append((k, doc, i, m, zlib.crc32(part.tobytes()), n, seq, off, part.astype(np.int32) if with_ids else None))
+                    i += m
+                at[k], held = first + n, held + n
+                if held > 1 << 20:
+                    yield out(done)
+                    done, held = [], 0
+            yield out(done)
 
     laid = (
         docs.mapInArrow(tokens, "bucket int, key long, doc_id long, n long, wide int, ids binary")
         .repartitionById(buckets, F.col("bucket"))
         .sortWithinPartitions("bucket", "key", "doc_id", "n", "ids")
-        .mapInArrow(lay, "bucket int, local long, doc_id long, n long, wide int, ids binary")
+        .mapInArrow(lay, f"bucket int, {PIECES}, ids array<int>")
     )
-    laid = keep(laid, shared_dir(spark))
-    totals = dict(laid.groupBy("bucket").agg(F.sum("n")).collect())
+    laid = keep(laid, f"{shared_dir(spark)}/pieces")
+    used = dict(laid.groupBy("bucket").agg(F.max("sequence_id") + 1).collect())
     base, at = {}, 0
-    for k in sorted(totals):
-        base[k], at = at, at + totals[k]
-
-    def cut(batches):
-        for b in batches:
-            out = []
-            for k, local, doc, n, wide, raw in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True):
-                ids = np.frombuffer(raw, dtype=f"<u{wide}")
-                at, g = 0, base[k] + local
-                while at < n:
-                    seq, off = divmod(g + at, length)
-                    m = min(n - at, length - off)
-                    out.append((doc, at, m, zlib.crc32(ids[at : at + m].astype("<u4").tobytes()), n, seq, off))
-                    at += m
-            cols = list(zip(*out, strict=True)) or [()] * 7
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
-
-    return laid.mapInArrow(cut, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    for k in sorted(used):
+        base[k], at = at, at + used[k]
+    # one number a bucket
+    first = spark.createDataFrame(list(base.items()), "bucket int, base long")
+    got = laid.join(F.broadcast(first), "bucket").withColumn("sequence_id", F.col("sequence_id") + F.col("base"))
+    return got.select(*names[1:8], *["ids"] * with_ids)
 
 
 def op3_hilbert_packing(spark, sf_dir, path: str | None = None):

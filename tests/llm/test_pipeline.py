@@ -41,7 +41,6 @@ def test_run(spark):
                 assert r.text == secret_scan.redact(left[i].text, secret_scan.find(left[i].text)) and r.n_chars == len(r.text)
         left = got
     tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tok.encode_special_tokens = True
     rows = corpus_pipeline.run(spark, SF).collect()
     assert {r.doc_id for r in rows} == set(left)
     for r in rows:

@@ -66,15 +66,14 @@ def test_bpe(spark, limit, monkeypatch):
         assert bpe.decode(bpe.encode(frame(spark, ODD), path), path).where("doc_id = 3").first().bytes == b"a"
 
 
-def test_packing(spark):
+def test_packing(spark, monkeypatch):
     from tokenizers import Tokenizer
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True
-    texts = ODD + ["same text"] * 3
+    texts = ODD + ["same text"] * 3 + ["x<|endoftext|>", "<|endoftext|> <|endoftext|>y <|endof"] + ["word " * 300000]
     docs = frame(spark, texts, key=["k"] * len(texts), bucket=["b"] * len(texts))
-    rows = packing.pack(docs, path, 64).collect()
+    rows = packing.pack(docs, path, 64, with_ids=True).collect()
     whole, seqs = {}, {}
     for r in rows:
         whole.setdefault(r.doc_id, []).append(r)
@@ -83,7 +82,7 @@ def test_packing(spark):
     for i, t in enumerate(texts):
         ids, at = [*tok.encode(t or "", add_special_tokens=False).ids, 1], 0
         for r in sorted(whole[i], key=lambda r: r.start):
-            assert r.start == at and r.doc_tokens == len(ids) and r.ids_crc32 == zlib.crc32(np.array(ids[at : at + r.length], dtype="<u4").tobytes())
+            assert r.start == at and r.doc_tokens == len(ids) and r.ids == ids[at : at + r.length] and r.ids_crc32 == zlib.crc32(np.array(ids[at : at + r.length], dtype="<u4").tobytes())
             at += r.length
         assert at == len(ids)
     for s in seqs.values():
@@ -92,7 +91,13 @@ def test_packing(spark):
             assert r.offset == at
             at += r.length
         assert at <= 64
-    assert sum(sum(r.length for r in s) < 64 for s in seqs.values()) <= 1
+    assert sum(sum(r.length for r in s) < 64 for s in seqs.values()) <= 1 and sorted(seqs) == list(range(len(seqs)))
+    again = packing.pack(docs.repartition(3), path, 64)
+    assert again.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] and sorted(map(tuple, again.collect())) == sorted(tuple(r)[:7] for r in rows)
+    # more than one bucket: one short sequence each at most
+    monkeypatch.setattr(packing, "BUCKET", 1 << 18)
+    several = packing.pack(docs, path, 64).groupBy("sequence_id").sum("length").collect()
+    assert sum(r[1] < 64 for r in several) <= 4 and sorted(r[0] for r in several) == list(range(len(several))) and sum(r[1] for r in several) == sum(r.length for r in rows)
     assert packing.pack(frame(spark, []), path).count() == 0
 
 
@@ -103,6 +108,16 @@ def test_hilbert():
     assert len(set(packing.hilbert(cube, 3).tolist())) == n**3 and (np.abs(np.diff(walk, axis=0)).sum(axis=1) == 1).all()
 
 
+def test_fingerprints_of_small_sets():
+    rng = random.Random(8)
+    for n in (1, 2, 5, 10, 40):
+        errors = []
+        for _ in range(40):
+            a, b = (" ".join(f"{k}{rng.randint(0, 10**6)}" for _ in range(n + 4)) for k in "ab")
+            errors.append(fingerprints.likeness(*fingerprints.fingerprints([a.encode(), b.encode()])))
+        assert max(errors) < 0.12 and sum(errors) / len(errors) < 0.04, n
+
+
 def test_fingerprints(spark):
     rng = random.Random(5)
     base = [f"w{rng.randint(0, 9999)}" for _ in range(600)]
@@ -113,7 +128,7 @@ def test_fingerprints(spark):
         assert abs(near - len(a & b) / len(a | b)) < 0.12
     texts = ODD + ["same words here and there"] * 3
     ids = [10 * i for i in range(len(texts))]
-    got = {r.doc_id: r for r in fingerprints.compare(fingerprints.with_next(frame(spark, texts, ids, bucket=["x"] * len(texts)))).collect()}
+    got = {r.doc_id: r for r in fingerprints.compare(frame(spark, texts, ids, bucket=["x"] * len(texts), tail=["y"] * len(texts))).collect()}
     assert len(got) == len(texts)
     for i, t in enumerate(texts):
         t, after, r = t or "", texts[(i + 1) % len(texts)] or "", got[ids[i]]
@@ -121,8 +136,8 @@ def test_fingerprints(spark):
         changed = t[: len(t) - half] + after[:half]
         assert r.n_chars == len(t) and r.edited_sha256 == hashlib.sha256(changed.encode()).hexdigest()
         assert r.fingerprint == fingerprints.fingerprints([t.encode()])[0] and r.near_next == fingerprints.likeness(r.fingerprint, got[ids[(i + 1) % len(ids)]].fingerprint)
-    assert fingerprints.compare(fingerprints.with_next(frame(spark, ["only"]))).first().near_next == 1.0
-    assert fingerprints.compare(fingerprints.with_next(frame(spark, []))).count() == 0
+    assert fingerprints.compare(frame(spark, ["only"])).first().near_next == 1.0
+    assert fingerprints.compare(frame(spark, [])).count() == 0
 
 
 def test_chat(spark):
