@@ -42,7 +42,7 @@ from .common import SPACE, begin, blobs, bucketed, drop, id_filter, keep, may_ho
 UPPER, LOWER, SHORT, FEW = (5.0, 4.0), 8.0, 20.0, 50.0
 #: Bytes of text in a block, and for which a range of keys serves; bytes of text that are looked at together.
 BLOCK, RANGE, PIECE = 32 << 20, 48 << 20, 2 << 20
-EXTRA = 12
+EXTRA = 8
 _STEP, _LEAST_STEPS = 0.005, 20
 _SYMBOL = np.zeros(256, dtype=np.int64)
 _SYMBOL[list(b"#*$%&|<>")] = 1
@@ -51,12 +51,19 @@ _LETTER = np.array([c >= 128 or chr(c).isalnum() for c in range(256)])
 
 
 def squeeze(*arrays: np.ndarray) -> bytes:
-    """Arrays of unsigned numbers, byte plane by byte plane, compressed."""
+    """Arrays of unsigned numbers, compressed: each number's length in bits, then the bits below its first, length by length."""
     out = []
     for a in arrays:
-        a = np.ascontiguousarray(a, dtype="<u8")
-        wide = (int(a.max()).bit_length() + 7) // 8 if len(a) else 0
-        out.append(len(a).to_bytes(7, "little") + bytes([wide]) + np.ascontiguousarray(a.view(np.uint8).reshape(-1, 8)[:, :wide].T).tobytes())
+        a = np.asarray(a, dtype="<u8")
+        if len(a) and int(a.max()) >> 52:
+            body = b"\1" + a.tobytes()
+        else:
+            size = np.frexp(a.astype(np.float64))[1].astype(np.uint8)
+            body = b"\0" + size.tobytes()
+            for k in range(2, int(size.max(initial=0)) + 1):
+                x = a[size == k]
+                body += np.packbits((x[:, None] >> np.arange(k - 1, dtype=np.uint64) & np.uint64(1)).astype(np.uint8)).tobytes()
+        out.append(len(a).to_bytes(7, "little") + body)
     return zstandard.compress(b"".join(out), 1)
 
 
@@ -64,14 +71,46 @@ def unsqueeze(b: bytes) -> list[np.ndarray]:
     """The arrays again, as 64-bit numbers."""
     raw, out, at = zstandard.decompress(b), [], 0
     while at < len(raw):
-        n, wide = int.from_bytes(raw[at : at + 7], "little"), raw[at + 7]
-        a = np.zeros((n, 8), dtype=np.uint8)
-        a[:, :wide] = np.frombuffer(raw, dtype=np.uint8, count=n * wide, offset=at + 8).reshape(wide, n).T
-        out.append(a.reshape(-1).view("<u8"))
-        at += 8 + n * wide
+        n, whole = int.from_bytes(raw[at : at + 7], "little"), raw[at + 7]
+        at += 8
+        if whole:
+            out.append(np.frombuffer(raw, dtype="<u8", count=n, offset=at))
+            at += 8 * n
+            continue
+        size = np.frombuffer(raw, dtype=np.uint8, count=n, offset=at)
+        a = (size > 0).astype("<u8")
+        at += n
+        for k in range(2, int(size.max(initial=0)) + 1):
+            its = np.flatnonzero(size == k)
+            many = len(its) * (k - 1)
+            bits = np.unpackbits(np.frombuffer(raw, dtype=np.uint8, count=-(-many // 8), offset=at), count=many).reshape(-1, k - 1)
+            at += -(-many // 8)
+            x = np.full(len(its), 1 << (k - 1), dtype="<u8")
+            for i in range(k - 1):
+                x |= bits[:, i].astype("<u8") << np.uint64(i)
+            a[its] = x
+        out.append(a)
     return out
 
 
+def squeeze_rows(*columns: np.ndarray) -> bytes:
+    """Columns of which many rows are alike: the different rows, the commonest first, and each row's number among them."""
+    table = np.stack(columns).astype(np.uint64)
+    h = np.zeros(table.shape[1], dtype=np.uint64)
+    for c in table:
+        h = mix(h * np.uint64(3) + c + np.uint64(1))
+    _, first, at, n = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
+    order = np.argsort(-n, kind="stable")
+    rank = np.empty_like(order)
+    rank[order] = np.arange(len(order))
+    return squeeze(rank[at], *table[:, first[order]])
+
+
+def unsqueeze_rows(b: bytes) -> np.ndarray:
+    at, *table = unsqueeze(b)
+    return np.stack(table)[:, at.astype(np.int64)].astype(np.int64)
+
+
 def gaps(sorted_keys: np.ndarray) -> np.ndarray:
     return np.diff(sorted_keys, prepend=np.uint64(0))
 
@@ -235,7 +274,7 @@ def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
 def _merge(rows: list[dict]):
     """The sorted different keys of several blocks, where each block's keys are among them, the sums of their numbers, and the blocks' sizes."""
     keys = [np.cumsum(unsqueeze(r["keys"])[0], dtype=np.uint64) for r in rows]
-    sums = [np.stack(unsqueeze(r["sums"])).astype(np.int64) for r in rows]
+    sums = [unsqueeze_rows(r["sums"]) for r in rows]
     whole, at = np.unique(np.concatenate(keys), return_inverse=True)
     all_sums = np.concatenate(sums, axis=1)
     return whole, at, all_sums, np.stack([np.bincount(at, weights=s, minlength=len(whole)).astype(np.int64) for s in all_sums]), [len(k) for k in keys]
@@ -291,7 +330,7 @@ def score(docs):
     """
     spark, top = docs.sparkSession, shared_dir(docs.sparkSession)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = min(64, max(24, (size // 4 + 1).bit_length() + EXTRA))
+    bits = min(64, max(24, (size // 8 + 1).bit_length() + EXTRA))
     ranges = max(1, -(-size // RANGE))
     docs = docs.select("doc_id", "text", "lang", row_key().alias("row"))
     held = bucketed(blocks(docs, bits), f"{top}/blocks", "block", max(1, parts(spark)))
@@ -304,25 +343,27 @@ def score(docs):
                 x = Bigrams(row, bits)
                 for i, s in enumerate(x.cuts(x.keys, ranges, bits)):
                     if s.start < s.stop:
-                        yield _batch([(i, x.lang, x.block, squeeze(gaps(x.keys[s])), squeeze(*(c[s] for c in x.own)))], ASKED)
+                        yield _batch([(i, x.lang, x.block, squeeze(gaps(x.keys[s])), squeeze_rows(*(c[s] for c in x.own)))], ASKED)
 
     def count(t):
         begin("quality")
         out, at_range = [], t.column("range")[0].as_py()
         for lang, rows in _by_lang(t).items():
-            keys, at, _, total, n = _merge(rows)
+            _, at, own, total, n = _merge(rows)
             first = np.zeros(len(at), dtype=np.int64)
             first[np.unique(at, return_index=True)[1]] = 1
             stop = np.cumsum(n)
             for r, i, j in zip(rows, stop - n, stop, strict=True):
-                out.append((0, lang, r["block"], at_range, squeeze(*total[:, at[i:j]], first[i:j])))
+                # of a block's counts only those that its other half asks for, or that its owner needs
+                c0, c1 = (np.where((own[1 - f, i:j] > 0) | (first[i:j] > 0), total[f, at[i:j]], 0) for f in (0, 1))
+                out.append((0, lang, r["block"], at_range, squeeze_rows(c0, c1, first[i:j])))
             out.append((2, lang, -1, at_range, squeeze(_of_counts(total[0]) + _of_counts(total[1]))))
         return pa.Table.from_batches([_batch(out, ANSWERS)])
 
     def joined(t, kind: int) -> list[np.ndarray]:
         """A block's answers of a kind, range after range."""
         got = sorted((r["range"], r["sums"]) for r in t.to_pylist() if r["kind"] == kind)
-        return [np.concatenate(x).astype(np.int64) for x in zip(*(unsqueeze(s) for _, s in got), strict=True)]
+        return list(np.concatenate([unsqueeze_rows(s) for _, s in got], axis=1))
 
     def sum_words(block, answers):
         begin("quality")
@@ -337,19 +378,23 @@ def score(docs):
             for c in (c0, c1):
                 sums += [np.bincount(x.a[mine & w], minlength=size) for w in (c == 1, c == 2, c > 2)]
                 sums.append(np.bincount(x.b[mine & (c > 0)], minlength=size))
+            # which words stand in either half: as a context or at the end of a bigram
+            sums += [(np.bincount(x.a[c > 0], minlength=size) + np.bincount(x.b[c > 0], minlength=size) > 0).astype(np.int64) for c in x.own]
             for i, s in enumerate(x.cuts(x.words, ranges, bits)):
                 if s.start < s.stop:
-                    out.append((i, x.lang, x.block, squeeze(gaps(x.words[s])), squeeze(*(c[s] for c in sums))))
+                    out.append((i, x.lang, x.block, squeeze(gaps(x.words[s])), squeeze_rows(*(c[s] for c in sums))))
         return pa.Table.from_batches([_batch(out, ASKED)])
 
     def count_words(t):
         begin("quality")
         out, at_range = [], t.column("range")[0].as_py()
         for lang, rows in _by_lang(t).items():
-            _, at, _, total, n = _merge(rows)
+            _, at, own, total, n = _merge(rows)
             stop = np.cumsum(n)
             for r, i, j in zip(rows, stop - n, stop, strict=True):
-                out.append((1, lang, r["block"], at_range, squeeze(*total[:, at[i:j]])))
+                # the numbers of a half are asked for by words that stand in the other one
+                need = [own[10 + f, i:j] > 0 for f in (1, 0)]
+                out.append((1, lang, r["block"], at_range, squeeze_rows(*(np.where(need[c in (1, 6, 7, 8, 9)], total[c, at[i:j]], 0) for c in range(10)))))
             out.append((3, lang, -1, at_range, squeeze(_of_counts(total[5]) + _of_counts(total[9]))))
         return pa.Table.from_batches([_batch(out, ANSWERS)])
 
