@@ -249,6 +249,7 @@ kept_for("bpe", worker_bpe.cache_clear)
 
 def digests(docs, path: str):
     """Each row's number of ids, the hash of its ids and of the bytes that they decode to."""
+    ship(docs.sparkSession)
 
     def run(batches):
         begin("bpe")
@@ -273,6 +274,7 @@ def digests(docs, path: str):
 
 def encode(docs, path: str):
     """Each row's doc_id and ids (array<int>)."""
+    ship(docs.sparkSession)
 
     def run(batches):
         begin("bpe")

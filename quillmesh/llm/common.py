@@ -8,6 +8,7 @@ import os
 import tempfile
 import uuid
 import zipfile
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -80,14 +81,32 @@ def shared_dir(spark) -> str:
     if not top:
         top = spark.sparkContext.getCheckpointDir()
     if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         top = "file://" + tempfile.mkdtemp(prefix="quillmesh-shared")
         spark.sparkContext.setCheckpointDir(top)
     return f"{top.rstrip('/')}/quillmesh-{uuid.uuid4().hex}"
 
 
+#: Spark's own setting: shuffle files go when the query that wrote them ends, and not when the driver happens to collect its garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def _shuffles_removed(spark):
+    """While a table is written; the session's own value comes back after it."""
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEANUP, before)
+
+
 def keep(df, path: str, codec: str = "zstd"):
     """Write df to path and return it read again: cuts the lineage by a table that survives lost executors."""
-    df.write.option("compression", codec).parquet(path)
+    with _shuffles_removed(df.sparkSession):
+        df.write.option("compression", codec).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -104,7 +123,8 @@ class bucketed:
 
     def __init__(self, df, path: str, by: str, buckets: int):
         self.spark, self.path, self.name = df.sparkSession, path, "quillmesh_" + uuid.uuid4().hex
-        df.write.format("parquet").option("compression", "uncompressed").option("path", path).bucketBy(buckets, by).saveAsTable(self.name)
+        with _shuffles_removed(self.spark):
+            df.write.format("parquet").option("compression", "uncompressed").option("path", path).bucketBy(buckets, by).saveAsTable(self.name)
         self.df = self.spark.table(self.name)
 
     def drop(self) -> None:
@@ -112,12 +132,6 @@ class bucketed:
         drop(self.spark, self.path)
 
 
-def release(spark) -> None:
-    """Let Spark remove the shuffle files of stages that nothing refers to any more: it does so when the driver's JVM collects its garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def parts(spark) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

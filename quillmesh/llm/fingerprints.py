@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from .common import begin, mix, one_permutation, parts, permutations, pieces, shingles, table
+from .common import begin, mix, one_permutation, parts, permutations, pieces, shingles, ship, table
 
 BINS, BITS, K = 256, 4, 5
 _ORDER = permutations(BINS, 11)
@@ -85,6 +85,7 @@ def in_order(docs):
 
 def compare(docs):
     """The fingerprints and likenesses of each row of docs(doc_id, text), in one pass over the rows in order."""
+    ship(docs.sparkSession)
 
     def rows_of(done: list[tuple], following: list[tuple]):
         changed = [edited(a[1], b[1]).encode() for a, b in zip(done, following, strict=True)]

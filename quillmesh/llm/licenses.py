@@ -5,7 +5,9 @@ automaton; at each word the length of the longest suffix that occurs in some tem
 Matches that can't be extended to the right in their template and have at least ``min_match`` words (or are a whole template) are kept, and for each template they
 are chained in order of both places; a template whose chain covers ``min_cover`` of its words is a span.
 
-Null text is empty; empty texts have no words, no spans and score 0. Repeated rows give repeated rows; other columns are ignored.
+Null text is empty; empty texts have no words, no spans and score 0. Equally long chains are taken in order of place, then label. Repeated
+rows give repeated rows, an empty table none; a very long text is scanned whole, by runs of words that occur in templates. Other columns are
+ignored, whatever their names. Templates are a parameter: {label: notices}.
 """
 
 from __future__ import annotations
@@ -16,11 +18,12 @@ from bisect import bisect
 import numpy as np
 import pyarrow as pa
 
-from .common import blobs, pieces, table
+from .common import begin, blobs, pieces, ship, table
 
 #: Contract: phrases whose places are counted, and their labels.
 BASE = {b"cc by": "cc-by", b"general public license": "gpl", b"all rights reserved": "reserved"}
 
+#: The default templates: fixed values, public licence notices and paragraphs in the words that word_list() gives.
 TEMPLATES = {
     "apache-2.0": [
         "licensed under the apache license version 2.0",
@@ -31,22 +34,36 @@ TEMPLATES = {
         "released under the mit license",
         "licensed under the mit license",
         "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files to deal in the software without restriction",
+        "including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions",
         "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
+        "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement",
+        "in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software",
     ],
     "bsd": [
         "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
+        "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
+        "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
+        "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed",
         "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
     ],
     "gpl": [
         "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation",
+        "either version 2 of the license or at your option any later version",
+        "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details",
         "gnu general public license version 3",
         "gnu general public license version 2",
     ],
     "lgpl": ["gnu lesser general public license"],
     "agpl": ["gnu affero general public license"],
     "mpl-2.0": ["this source code form is subject to the terms of the mozilla public license v 2.0", "mozilla public license version 2.0"],
-    "isc": ["permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"],
-    "unlicense": ["this is free and unencumbered software released into the public domain"],
+    "isc": ["the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"],
+    "zlib": [
+        "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions",
+        "altered source versions must be plainly marked as such and must not be misrepresented as being the original software",
+    ],
+    "bsl-1.0": ["boost software license version 1.0"],
+    "epl-2.0": ["this program and the accompanying materials are made available under the terms of the eclipse public license 2.0"],
+    "unlicense": ["anyone is free to copy modify publish use compile sell or distribute this software", "this is free and unencumbered software released into the public domain"],
     "cc-by": ["licensed under cc by 4.0", "licensed under a creative commons attribution 4.0 international license"],
     "cc-by-sa": ["licensed under cc by sa 4.0", "creative commons attribution sharealike 4.0 international license"],
     "cc-by-nc": ["licensed under cc by nc 4.0", "creative commons attribution noncommercial 4.0 international license"],
@@ -209,11 +226,13 @@ def base_places(text: bytes) -> list[tuple[int, str]]:
 SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, n_spans long, spans string"
 
 
-def scan(docs, min_match: int = 4, min_cover: float = 0.8):
+def scan(docs, min_match: int = 4, min_cover: float = 0.8, templates: dict[str, list[str]] | None = None):
     """Licence labels and spans of each row of docs(doc_id, text); see the module's text. One pass, no shuffle."""
+    ship(docs.sparkSession)
 
     def run(batches):
-        auto = Automaton(TEMPLATES)
+        begin("licenses")
+        auto = Automaton(templates or TEMPLATES)
         for whole in batches:
             for batch in pieces(whole):
                 rows = []

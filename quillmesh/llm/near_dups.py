@@ -5,17 +5,20 @@
 2. Bands of four registers are keys. Each key's smallest class is its hub; every class is paired with the hub that it resembles most by the
    corrected estimate, and the pair is confirmed on full sets. Confirmed links form components.
 3. A key whose classes are all in one component is done. In the others the classes outside the key's commonest component are compared with
-   all, in blocks of BLOCK classes, on the LOW smallest 32-bit hashes of each (the whole set, if it is no larger); only pairs that join
-   two components of a block leave the task, and are confirmed on full sets. So a group of near copies costs one pair a member, no task
-   holds a whole group, and no link between different components of a key is left out.
+   all, in blocks of at most BLOCK classes and about BLOCK_BYTES of sets, on their full sets; of the links found in a block those leave the
+   task that join components not joined by others before. So a group of near copies costs one pair a member, no task holds a whole group,
+   and no link between different components of a key is left out.
 4. Components of the links of 2 and 3 (large-star, small-star), each with its smallest doc_id.
 
-A pair at similarity 0.8 shares none of the 32 bands with probability 5e-8; estimates below SLACK under the threshold (seven standard deviations; LOW_SLACK, five and a half, where a set has over LOW elements) are not confirmed.
-Comparing the classes of an open key costs time with the product of their numbers; they are texts that share all of a band, so they resemble each other.
+A pair at similarity 0.8 shares none of the 32 bands with probability 5e-8, the only way to miss a link; estimates below SLACK under the
+threshold (seven standard deviations) are no hubs' pairs, but such classes are compared in 3 if they share a key.
+Comparing the classes of an open key costs time with the product of their numbers, and moves each class once for every BLOCK others: they are
+texts that share all of a band, so they resemble each other.
 
 Null and empty texts, and texts without words, have an empty set and are linked with nothing. A null doc_id is linked with nothing and
-kept. Repeated rows share a set and so a component; rows that repeat a doc_id with other texts may share a component. Other columns are ignored by
-near_groups() and kept by one_of_each().
+kept. Repeated rows share a set and so a component; rows that repeat a doc_id with other texts may share a component. A very long text is hashed
+block by block and compared by its set. An empty table gives no rows. Other columns are ignored by near_groups() and kept by one_of_each(),
+whatever their names.
 """
 
 from __future__ import annotations
@@ -28,10 +31,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import functions as F
 
-from .common import begin, blobs, drop, id_filter, keep, may_hold, mix, one_permutation, permutations, pieces, shared_dir, shingles, table
+from .common import begin, blobs, drop, id_filter, keep, may_hold, mix, one_permutation, permutations, pieces, shared_dir, shingles, ship, table
 
 REGISTERS, MANTISSA, SLACK = 128, 10, 0.25
-BLOCK, LOW, LOW_SLACK = 512, 512, 0.1
+BLOCK, BLOCK_BYTES = 1024, 16 << 20
 _ORDER = permutations(REGISTERS, 23)
 _WIDE = 64 - (REGISTERS.bit_length() - 1)
 
@@ -95,53 +98,26 @@ def full_sets(docs, k: int, bits):
     return docs.select("doc_id", "text").mapInArrow(run, "id long, set array<long>")
 
 
-def low_hashes(docs, k: int, bits):
-    """(id, n, low): set size and the LOW smallest of the shingles' 32-bit hashes of each row whose id the filter may hold."""
-
-    def run(batches):
-        begin("near_dups")
-        for whole in batches:
-            for batch in pieces(whole.filter(may_hold(bits.value, whole.column(0)))):
-                sets = shingles(blobs(batch), k)
-                low = [np.unique((mix(s) >> np.uint64(32)).astype("<u4"))[:LOW].tobytes() for s in sets]
-                yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(low, pa.binary())], names=["id", "n", "low"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "id long, n long, low binary")
-
-
-def links_of_block(ids: np.ndarray, comps: np.ndarray, left: np.ndarray, n: np.ndarray, low: list[np.ndarray], threshold: float) -> list[tuple[int, int]]:
-    """Pairs of a left row with any row that seem to reach the threshold and join components that earlier pairs haven't joined.
-
-    Whole sets are compared exactly, but for 32-bit hashes that collide; only pairs sure by that thin out others.
-    """
+def links_of_block(ids: np.ndarray, comps: np.ndarray, left: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links of a left row with any row that join components which the links before haven't joined; sets are sorted and whole."""
     rows = np.flatnonzero(left)
-    size = np.array([len(x) for x in low])
-    which = np.repeat(np.arange(len(low)), size)
-    values, at = np.unique(np.concatenate(low), return_inverse=True)
+    size = np.array([len(x) for x in sets])
+    which = np.repeat(np.arange(len(sets)), size)
+    values, at = np.unique(np.concatenate(sets), return_inverse=True)
     often = np.bincount(at) > 1
     place = np.cumsum(often) - 1
     keep_ = often[at]
     which, at = which[keep_], place[at[keep_]]
     order = np.argsort(at, kind="stable")
     which, at = which[order], at[order]
-    common = np.zeros((len(rows), len(low)), dtype=np.float32)
-    for first in range(0, int(often.sum()), 8192):
-        lo, hi = np.searchsorted(at, [first, first + 8192])
-        x = np.zeros((len(low), 8192), dtype=np.float32)
+    common = np.zeros((len(rows), len(sets)), dtype=np.float32)
+    for first in range(0, int(often.sum()), 4096):
+        lo, hi = np.searchsorted(at, [first, first + 4096])
+        x = np.zeros((len(sets), 4096), dtype=np.float32)
         x[which[lo:hi], at[lo:hi] - first] = 1
         common += x[rows] @ x.T
-    least = np.minimum(size[rows][:, None], size[None, :])
-    fits = (np.minimum(n[rows][:, None], n[None, :]) >= threshold * np.maximum(n[rows][:, None], n[None, :]) - 1e-9) & (comps[rows][:, None] != comps[None, :])
-    near = []
-    for i, j in zip(*np.nonzero(fits & (common >= (threshold - LOW_SLACK - 0.02) * least)), strict=True):
-        r, c = rows[i], common[i, j]
-        if n[r] <= LOW and n[j] <= LOW:
-            sim, whole = c / (n[r] + n[j] - c), True
-        else:
-            end = min(low[r][-1], low[j][-1])
-            sim, whole = c / (np.searchsorted(low[r], end, "right") + np.searchsorted(low[j], end, "right") - c), False
-        if sim >= threshold - (0.01 if whole else LOW_SLACK):
-            near.append((not (whole and sim >= threshold), -sim, int(r), int(j)))
+    same = common.astype(np.int64)
+    near = (100 * same >= percent * (size[rows][:, None] + size[None, :] - same)) & (comps[rows][:, None] != comps[None, :])
     top: dict[int, int] = {}
 
     def find(c: int) -> int:
@@ -150,20 +126,20 @@ def links_of_block(ids: np.ndarray, comps: np.ndarray, left: np.ndarray, n: np.n
         return c
 
     out = set()
-    for unsure, _, r, j in sorted(near):
+    for i, j in zip(*np.nonzero(near), strict=True):
+        r = rows[i]
         a, b = find(int(comps[r])), find(int(comps[j]))
         if a != b:
+            top[max(a, b)] = min(a, b)
             out.add((min(int(ids[r]), int(ids[j])), max(int(ids[r]), int(ids[j]))))
-            if not unsure:
-                top[max(a, b)] = min(a, b)
     return sorted(out)
 
 
-def _across(left, docs, k: int, threshold: float):
-    """Pairs (a, b) of classes of different components of a key that are to be confirmed; left(key, rep, comp, minor, minors, majors)."""
-    low = low_hashes(docs, k, id_filter(left.select("rep")))
-    count = lambda c: F.greatest(F.lit(1), F.ceil(F.col(c) / BLOCK)).cast("int")
-    mine = left.withColumns({"few": count("minors"), "many": count("majors")}).withColumn("at", F.pmod(F.xxhash64("rep"), F.when(F.col("minor"), F.col("few")).otherwise(F.col("many"))).cast("int"))
+def _across(left, docs, k: int, percent: int):
+    """Links (a, b) between classes of different components of a key; left(key, rep, comp, minor, minors, minor_n, majors, major_n)."""
+    sets = full_sets(docs, k, id_filter(left.select("rep")))
+    count = lambda c, n: F.greatest(F.lit(1), F.ceil(F.col(c) / BLOCK), F.ceil(8 * F.col(n) / BLOCK_BYTES)).cast("int")
+    mine = left.withColumns({"few": count("minors", "minor_n"), "many": count("majors", "major_n")}).withColumn("at", F.pmod(F.xxhash64("rep"), F.when(F.col("minor"), F.col("few")).otherwise(F.col("many"))).cast("int"))
     upto = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
     at = F.col("at")
     meet = F.when(F.col("minor"), F.concat(
@@ -171,8 +147,8 @@ def _across(left, docs, k: int, threshold: float):
         F.transform(upto("few"), lambda j: F.struct(F.lit(1).alias("what"), F.least(at, j).alias("i"), F.greatest(at, j).alias("j"))),
     )).otherwise(F.transform(upto("few"), lambda i: F.struct(F.lit(0).alias("what"), i.alias("i"), at.alias("j"))))
     rows = (
-        mine.join(low, mine.rep == low.id).select("key", F.explode(meet).alias("m"), "rep", "comp", "minor", "n", "low")
-        .select("key", "m.what", "m.i", "m.j", "rep", "comp", "minor", "n", "low")
+        mine.join(sets, mine.rep == sets.id).select("key", F.explode(meet).alias("m"), "rep", "comp", "minor", "set")
+        .select("key", "m.what", "m.i", "m.j", "rep", "comp", "minor", "set")
         .repartition("key", "what", "i", "j").sortWithinPartitions("key", "what", "i", "j")
     )
 
@@ -183,20 +159,23 @@ def _across(left, docs, k: int, threshold: float):
         def done():
             if held is None or not any(r[2] for r in rows) or len(rows) < 2:
                 return []
-            ids, comps, minor, n, low = zip(*rows, strict=True)
-            return links_of_block(np.array(ids), np.array(comps), np.array(minor), np.array(n), [np.frombuffer(x, dtype="<u4") for x in low], threshold)
+            ids, comps, minor, sets = zip(*rows, strict=True)
+            return links_of_block(np.array(ids), np.array(comps), np.array(minor), list(sets), percent)
 
         def batch(found):
             a, b = zip(*found, strict=True) if found else ((), ())
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
         for b in batches:
-            for row in zip(*(b.column(i).to_pylist() for i in range(9)), strict=True):
+            whole = b.column(7)
+            ends = whole.offsets.to_numpy()
+            flat = whole.values.to_numpy()
+            for i, row in enumerate(zip(*(b.column(c).to_pylist() for c in range(7)), strict=True)):
                 if row[:4] != held:
                     if found := done():
                         yield batch(found)
                     held, rows = row[:4], []
-                rows.append(row[4:])
+                rows.append((*row[4:], flat[ends[i] : ends[i + 1]].copy()))
         yield batch(done())
 
     return rows.mapInArrow(run, "a long, b long").distinct()
@@ -255,12 +234,13 @@ def components(edges, top: str):
 
 
 def near_groups(docs, k: int = 5, percent: int = 80):
-    """Each row's doc_id, n_shingles, component_id and kept."""
+    """Each row's doc_id, n_shingles, component_id and kept: a table in the shared folder."""
+    ship(docs.sparkSession)
     spark, top, threshold = docs.sparkSession, shared_dir(docs.sparkSession), percent / 100
     sigs = keep(sketch(docs, k), f"{top}/sketches")
     whole = sigs.where("n > 0 and doc_id is not null")
     reps = keep(whole.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.any_value("n").alias("n"), F.any_value("sig").alias("sig")), f"{top}/classes")
-    rows = reps.select("rep", F.posexplode("sig")).select("rep", F.xxhash64("pos", "col").alias("key"))
+    rows = reps.select("rep", "n", F.posexplode("sig")).select("rep", "n", F.xxhash64("pos", "col").alias("key"))
     hubs = rows.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("most")).where("hub < most").select("key", "hub")
     live = keep(rows.join(hubs, "key"), f"{top}/keys")
     first = live.where("hub <> rep").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
@@ -269,29 +249,32 @@ def near_groups(docs, k: int = 5, percent: int = 80):
     links = keep(_confirm(best, docs, k, percent), f"{top}/links1")
     roots = components(links, f"{top}/roots1")
 
-    of = live.join(roots, live.rep == roots.v, "left").select("key", "rep", F.coalesce("root", "rep").alias("comp"))
-
-    sums = of.groupBy("key", "comp").agg(F.count("*").alias("c"))
-    open_ = sums.groupBy("key").agg(F.max_by("comp", F.struct("c", -F.col("comp"))).alias("major"), F.count("*").alias("parts"), (F.sum("c") - F.max("c")).alias("minors"), F.max("c").alias("majors")).where("parts > 1")
-    left = of.join(open_, "key").select("key", "rep", "comp", (F.col("comp") != F.col("major")).alias("minor"), "minors", "majors")
+    of = live.join(roots, live.rep == roots.v, "left").select("key", "rep", "n", F.coalesce("root", "rep").alias("comp"))
+    sums = of.groupBy("key", "comp").agg(F.count("*").alias("c"), F.sum("n").alias("n"))
+    open_ = sums.groupBy("key").agg(F.max_by(F.struct("comp", "c", "n"), F.struct("c", -F.col("comp"))).alias("m"), F.count("*").alias("parts"), F.sum("c").alias("c"), F.sum("n").alias("n")).where("parts > 1")
+    open_ = open_.select("key", F.col("m.comp").alias("major"), (F.col("c") - F.col("m.c")).alias("minors"), (F.col("n") - F.col("m.n")).alias("minor_n"), F.col("m.c").alias("majors"), F.col("m.n").alias("major_n"))
+    left = of.drop("n").join(open_, "key").select("key", "rep", "comp", (F.col("comp") != F.col("major")).alias("minor"), "minors", "minor_n", "majors", "major_n")
     left = keep(left, f"{top}/open")
-    across = keep(_across(left, docs, k, threshold), f"{top}/across")
-    more = _confirm(across, docs, k, percent)
+    more = keep(_across(left, docs, k, percent), f"{top}/across")
     root_of = lambda c: roots.select(F.col("v").alias(c), F.col("root").alias(f"r{c}"))
     joined = more.join(root_of("a"), "a", "left").join(root_of("b"), "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
     over = components(joined, f"{top}/roots2")
     # a vertex's root by the first links, and that root's by the second
     vertices = reps.select("digest", "rep").join(roots, reps.rep == roots.v, "left").select("digest", F.coalesce("root", "rep").alias("root1"))
     final = vertices.join(over, vertices.root1 == over.v, "left").select("digest", F.coalesce("root", "root1").alias("comp"))
-    out = sigs.select("doc_id", "n", "digest").join(final, "digest", "left")
-    linked = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("comp")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), linked.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    # rows that are linked with nothing don't take part in the join: many may share one digest
+    alone = sigs.where("n = 0 or doc_id is null").select("doc_id", "n", F.col("doc_id").alias("component_id"))
+    out = whole.select("doc_id", "n", "digest").join(final, "digest").select("doc_id", "n", F.col("comp").alias("component_id")).unionByName(alone)
+    out = out.select("doc_id", F.col("n").alias("n_shingles"), "component_id").withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    out = keep(out, f"{top}-groups")
+    drop(spark, top)
+    return out
 
 
 def one_of_each(docs, k: int = 5, percent: int = 80):
     """The rows, with all their columns, of one document of each group: that of the least doc_id; of rows that repeat its id and text one. Rows with a null doc_id stay."""
     spark = docs.sparkSession
-    groups = keep(near_groups(docs, k, percent).select("doc_id", "kept"), f"{shared_dir(spark)}/groups")
+    groups = near_groups(docs, k, percent).select("doc_id", "kept")
     gone = groups.where("not kept").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
     again = groups.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).count().where("count > 1").select("doc_id")
     bits = id_filter(gone.unionByName(again))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from .bpe import _PLAIN
-from .common import begin, keep, kept_for, mix, parts, pieces, shared_dir, strings, table
+from .common import begin, keep, kept_for, mix, parts, pieces, shared_dir, ship, strings, table
 
 BOUND_ROWS, DIMS, BITS, BUCKET = 40, 3, 10, 4 << 20
 
@@ -149,6 +149,7 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 def pack(docs, path: str, length: int = 2048, end_id: int = 1, with_ids: bool = False):
     """The pieces of docs(doc_id, text); see the module's text and the query. with_ids: their ids too, as array<int>."""
     spark = docs.sparkSession
+    ship(spark)
     docs = docs.select("doc_id", "text")
     rows, size = docs.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
     buckets = max(1, min(parts(spark), (size or 0) // BUCKET))

@@ -36,7 +36,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import functions as F
 
-from .common import SPACE, begin, blobs, bucketed, drop, id_filter, keep, may_hold, mix, parts, pieces, release, shared_dir, strings, table, words
+from .common import SPACE, begin, blobs, bucketed, drop, id_filter, keep, may_hold, mix, parts, pieces, shared_dir, ship, strings, table, words
 
 #: Deviations: of order one and two above the median, of order one below; words and families that widen a band by the square root of two.
 UPPER, LOWER, SHORT, FEW = (5.0, 4.0), 8.0, 20.0, 50.0
@@ -328,6 +328,7 @@ def score(docs):
 
     Returns a table in the shared folder.
     """
+    ship(docs.sparkSession)
     spark, top = docs.sparkSession, shared_dir(docs.sparkSession)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = min(64, max(24, (size // 8 + 1).bit_length() + EXTRA))
@@ -400,10 +401,8 @@ def score(docs):
 
     asked = held.df.mapInArrow(ask, ASKED)
     first = keep(asked.groupBy("range").applyInArrow(count, ANSWERS), f"{top}/bigrams")
-    release(spark)
     asked = by_block(first.where("kind = 0")).applyInArrow(sum_words, ASKED)
     second = keep(asked.groupBy("range").applyInArrow(count_words, ANSWERS), f"{top}/words")
-    release(spark)
     counts = Counts()
     # a row for each language and range: two times six numbers
     for r in first.unionByName(second).where("kind > 1").select("kind", "lang", "sums").toLocalIterator():

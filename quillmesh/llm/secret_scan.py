@@ -3,7 +3,9 @@
 Base kinds are the contract's: assign, access, hex. The method adds tokens that carry a checksum (a base-62 CRC32 in their last six
 characters) or a structure that can be decoded (JSON web tokens, private key blocks), which counts only if it holds.
 
-Null text is empty: no spans, and the hash of the empty string. Repeated rows give repeated rows; other columns are ignored. Places are code points.
+Hexadecimal runs have no keyword and are found by one scan. Null text is empty: no spans, and the hash of the empty string. Spans of several
+kinds that start together come in the order of KINDS. Repeated rows give repeated rows, an empty table none; a very long text is scanned whole.
+Other columns are ignored by scan() and kept by without_secrets(), whatever their names. Places are code points.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ import zlib
 
 import pyarrow as pa
 
-from .common import begin, pieces, strings, table
+from .common import begin, pieces, ship, strings, table
 
 _ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 _ACCESS = re.compile("AKIA[A-Z0-9]+")
@@ -124,6 +126,9 @@ SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 str
 
 
 def scan(docs):
+    """Counts of the base kinds, their hash, and all spans of each row of docs(doc_id, text)."""
+    ship(docs.sparkSession)
+
     def run(batches):
         begin("secret_scan")
         a = automaton()
@@ -143,6 +148,7 @@ def scan(docs):
 
 def without_secrets(docs):
     """The rows, with all their columns, with secrets redacted; n_chars, if it is there, follows the new text. Null texts stay null."""
+    ship(docs.sparkSession)
 
     def run(batches):
         begin("secret_scan")

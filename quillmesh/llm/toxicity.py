@@ -2,11 +2,13 @@
 
 Text is folded: compatibility forms and accents removed, homoglyphs of Latin letters and digit substitutions inside words mapped back.
 A term counts at word boundaries of the folded text, unless an exception phrase covers it. The lexicon starts from SEED and learns more
-terms and all weights, as logarithms of odds, from at most SAMPLE labelled rows that aren't held out (those with the least hashes of
-doc_id). Two features (total weight, and weight for 100 words, both as log1p) give the score by a logistic curve fitted on the same rows.
+terms, words of at least three characters, and all weights, as logarithms of odds, from at most SAMPLE labelled rows that aren't held out
+(those with the least hashes of doc_id); a label above 0 is toxic. Two features (total weight, and weight for 100 words, both as log1p) give the score by a logistic curve fitted on the same rows.
 
 Null text is empty and scores what a text without terms does. A null doc_id hashes as the empty text. Without labels the seed weights and a
-fixed curve serve. Rows of repeated ids are scored each. Labels, language, source and doc_id are no inputs of a score. Other columns are ignored.
+fixed curve serve. Rows of repeated ids are scored each; of an id's several labels the highest counts. An empty table gives no rows. A very
+long text is folded and matched whole. Labels, language, source and doc_id are no inputs of a score. Other columns are ignored by score() and
+kept by keep_clean(), whatever their names.
 """
 
 from __future__ import annotations
@@ -20,10 +22,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from .common import begin, pieces, strings, table
+from .common import begin, pieces, ship, strings, table
 
-#: At most so many labelled rows teach, and so many learned terms are kept.
-SAMPLE, TERMS = 20_000, 1_000
+#: At most so many labelled rows teach.
+SAMPLE = 20_000
 SEED = {"idiot": 3, "idiots": 3, "moron": 3, "morons": 3, "stupid": 2.5, "scum": 3, "trash": 2, "loser": 2.5, "losers": 2.5, "pathetic": 2.5, "worthless": 2.5, "disgusting": 2.5, "clown": 2, "imbecile": 3, "dumbass": 3.5, "bastard": 3, "bitch": 3.5, "asshole": 3.5, "retard": 3.5, "vermin": 2.5, "subhuman": 3.5}
 EXCEPTIONS = ("trash can", "trash bin", "clown fish", "white trash bag", "sore loser", "disgusting smell")
 _GLYPHS = {"а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "і": "i", "ѕ": "s", "ԁ": "d", "ɡ": "g", "ո": "n", "ⅼ": "l", "α": "a", "ο": "o", "ι": "i", "ν": "v", "ρ": "p", "τ": "t", "κ": "k", "ı": "i", "ł": "l", "ø": "o", "​": "", "‌": "", "‍": "", "­": "", "⁠": ""}
@@ -88,7 +90,7 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.01) -> list[float]:
 def teachers(labels) -> dict[int, int]:
     """At most SAMPLE labelled rows that aren't held out: those with the least hashes of doc_id."""
     rows = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (F.crc32(F.col("doc_id").cast("string")) % 5 != 0))
-    got = rows.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE).collect()
+    got = rows.groupBy("doc_id").agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE).collect()
     return {int(r.doc_id): int(r.toxic) for r in got}
 
 
@@ -100,7 +102,7 @@ def _taught(docs, known: dict[int, int]):
 
 def fit(docs, labels) -> tuple[dict[str, float], list[float]]:
     """The lexicon and the curve."""
-    spark = docs.sparkSession
+    ship(docs.sparkSession)
     known = teachers(labels)
     if not known:
         return dict(SEED), [-3.0, 2.5, 0.2]
@@ -113,7 +115,7 @@ def fit(docs, labels) -> tuple[dict[str, float], list[float]]:
                 for t, y in zip(strings(batch), batch.column(batch.schema.get_field_index("toxic")).to_pylist(), strict=True):
                     for w in set(_WORD.findall(fold(t))):
                         n.setdefault(w, [0, 0])[y] += 1
-        items = [(w, *c) for w, c in n.items() if 2 < len(w) < 40]
+        items = [(w, *c) for w, c in n.items() if len(w) > 2]
         for at in range(0, len(items), 100_000):
             w, a, b = zip(*items[at : at + 100_000], strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(w), pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["word", "clean", "toxic"])
@@ -125,8 +127,8 @@ def fit(docs, labels) -> tuple[dict[str, float], list[float]]:
     sure = odds / F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("clean") + 0.5))
     seeds = F.col("word").isin(list(SEED))
     got = counts.where((F.col("toxic") >= 3) | seeds).withColumns({"odds": odds, "sure": sure})
-    # a term must be likely, and sure even among the many words that are tried
-    learned = got.where(((F.col("sure") >= 4.5) & (F.col("odds") >= 2.0)) | seeds).orderBy(F.desc("sure"), "word").limit(TERMS).collect()
+    # a term must be likely, and sure even among the many words that are tried; as many as SAMPLE rows can teach
+    learned = got.where(((F.col("sure") >= 4.5) & (F.col("odds") >= 2.0)) | seeds).collect()
     lexicon = dict(SEED)
     for r in learned:
         prior = SEED.get(r.word)
@@ -153,6 +155,9 @@ def probability(curve: list[float], f: tuple[float, float]) -> float:
 
 
 def score(docs, lexicon: dict[str, float], curve: list[float]):
+    """held_out, score and predicted of each row of docs(doc_id, text)."""
+    ship(docs.sparkSession)
+
     def run(batches):
         begin("toxicity")
         a = automaton(lexicon)

@@ -5,6 +5,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quillmesh.llm import near_dups
 
@@ -77,6 +78,7 @@ def test_groups(spark, seed, k):
 def test_blocks(spark, monkeypatch):
     # components of one key are compared in blocks: blocks smaller than the groups lose nothing
     monkeypatch.setattr(near_dups, "BLOCK", 3)
+    monkeypatch.setattr(near_dups, "BLOCK_BYTES", 5000)
     texts = corpus(7)
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in near_dups.near_groups(docs, 4).collect()} == brute(list(range(len(texts))), texts, 4)
@@ -109,3 +111,46 @@ def test_registers_and_estimate():
             r = near_dups.registers(v)
             errors.append(near_dups.estimate(int((r[0] == r[1]).sum()), 2000) - len(np.intersect1d(x, y)) / len(np.union1d(x, y)))
         assert abs(np.mean(errors)) < 0.03
+
+
+def test_links_of_block():
+    rng = np.random.default_rng(3)
+    base = np.unique(rng.integers(1, 2**62, 3000, dtype=np.int64))
+    sets = [np.unique(np.r_[rng.choice(base, n, replace=False), rng.integers(1, 2**62, m, dtype=np.int64)]) for n, m in ((2900, 10), (2850, 50), (2600, 0), (30, 0), (28, 0), (1500, 1500))] + [base, base[:2400]]
+    n = len(sets)
+    near = {(i, j) for i in range(n) for j in range(i) if 100 * len(np.intersect1d(sets[i], sets[j])) >= 80 * len(np.union1d(sets[i], sets[j]))}
+    found = near_dups.links_of_block(np.arange(n), np.arange(n), np.ones(n, dtype=bool), sets, 80)
+    assert all((j, i) in near for i, j in found)
+
+    def groups(pairs):
+        top = list(range(n))
+        for i, j in pairs:
+            a, b = top[i], top[j]
+            top = [min(a, b) if x in (a, b) else x for x in top]
+        return top
+
+    assert groups(found) == groups(near) and len(found) < len(near)
+
+
+def test_one_template(spark):
+    """Texts of one template, about 0.7 alike: no links, and a bound on the rows that the blocks get."""
+    rng = random.Random(9)
+    frame = [f"t{i}" for i in range(110)]
+    texts = [" ".join(frame + [f"u{rng.randrange(10**6)}" for _ in range(22)]) for _ in range(3000)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = near_dups.near_groups(docs, 4).agg(F.count("*"), F.count_if("kept")).first()
+    assert tuple(got) == (3000, 3000)
+
+
+def test_queries_of_each_hundredth(spark):
+    """Recall on the driver's documents: every document whose id is divisible by 100 against all others, on full sets."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    group = {r.doc_id: r.component_id for r in near_dups.near_groups(docs, 4).collect()}
+    ids = sorted(texts)
+    sets = dict(zip(ids, sets_of([texts[i] for i in ids], 4), strict=True))
+    for a in (i for i in ids if i % 100 == 0 and sets[i]):
+        for b in ids:
+            both = len(sets[a] & sets[b])
+            if both and 100 * both >= 80 * (len(sets[a]) + len(sets[b]) - both):
+                assert group[a] == group[b]

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import zlib
+from itertools import product
 
 import duckdb
 import numpy as np
@@ -140,24 +141,69 @@ def test_fingerprints(spark):
     assert fingerprints.compare(frame(spark, [])).count() == 0
 
 
-def test_chat(spark):
-    turns = [("system", "Be brief."), ("user", "What is it?\nTell me."), ("assistant", "A thing.\n```\nUser: not a turn\n```"), ("user", "Thanks")]
-    for style in range(4):
-        assert chat.parse(chat.transcript(turns, style)) == turns
+TURNS = [("system", "Be brief."), ("user", "What is it?\nTell me."), ("assistant", "A thing.\n```\nUser: not a turn\n```\nA: apples\nB: pears\nNote: end"), ("user", "Thanks"), ("assistant", "Sure: any time.")]
+
+
+def test_chat_styles():
+    for style in range(len(chat._STYLES)):
+        # unknown names leave the system's turn unmarked; among questions and answers "A:" always answers
+        given = [(r, t.replace("A: apples", "C: apples") if style == 2 else t) for r, t in TURNS if style != 4 or r != "system"]
+        assert chat.parse(chat.transcript(given, style)) == given, style
     assert chat.parse("Anna: hello\nBert: hi\nAnna: how are you?\nBert: fine") == [("user", "hello"), ("assistant", "hi"), ("user", "how are you?"), ("assistant", "fine")]
+    # a word of another set, a form of its own, a name that doesn't recur: content
+    assert chat.parse("User: pick one\nA: apples\nQ: quinces\n[model]\nAssistant: A: both\nUser: ok") == [("user", "pick one\nA: apples\nQ: quinces\n[model]"), ("assistant", "A: both"), ("user", "ok")]
+    # a marker is lost: an answer as long as answers are is one without it
+    model = chat.Model([0, 9, 0], [[0, 1, 0], [0, 0, 9], [0, 9, 0]], [0, 20, 20], [0, 10, 10], [[0] * chat.CLASSES, [0] * 5 + [20] + [0] * 6, [0] * 9 + [20] + [0] * 2], [0, 0, 0])
+    assert chat.parse("User: how many of them?\n" + "many words " * 30 + "\nUser: and how few?", model) == [("user", "how many of them?"), ("assistant", "many words " * 30), ("user", "and how few?")]
     assert chat.parse("") == []
-    rows = [(1, t, r, x) for t, (r, x) in enumerate(turns)] + [(2, None, None, None), (None, 0, "user", "hey"), (3, 0, "user", "x" * 50000)]
-    got = {r.conv_id: r for r in chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
-    assert got[1].n_agree == 4 and got[1].roles == "system,user,assistant,user" and got[1].rendered_sha256 == hashlib.sha256(chat.render(turns).encode()).hexdigest() and len(got) == 4
-    assert chat.format_chats(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
+
+
+def test_viterbi():
+    """Against all paths."""
+    rng = random.Random(1)
+    for _ in range(60):
+        model = chat.Model([rng.randint(0, 5) for _ in range(3)], [[rng.randint(0, 9) for _ in range(3)] for _ in range(3)], [30] * 3, [rng.randint(1, 29) for _ in range(3)])
+        n = rng.randint(1, 6)
+        emits, marked = [[-rng.random() * 5 for _ in range(3)] for _ in range(n)], [rng.random() < 0.5 for _ in range(n)]
+
+        def total(path, model=model, emits=emits, marked=marked):
+            return model.start[path[0]] + sum(e[r] for e, r in zip(emits, path, strict=True)) + sum(model.step(m)[p][r] for p, r, m in zip(path, path[1:], marked[1:], strict=False))
+
+        assert abs(total(chat.viterbi(model, emits, marked)) - max(map(total, product(range(3), repeat=n)))) < 1e-9
+
+
+def test_chat(spark):
+    long = [(r, f"{i} words\nin a row") for i in range(300) for r in ("user", "assistant")]
+    rows = [(1, t, r, x) for t, (r, x) in enumerate(TURNS)] + [(2, None, None, None), (None, 0, "user", "hey"), (3, 0, "user", "x" * 50000), (5, 0, "user", "same"), (5, 0, "user", "same")] + [(12, t, r, x) for t, (r, x) in enumerate(long)]
+    chats = spark.createDataFrame([(*r, "k", 1) for r in rows], "conv_id long, turn long, role string, text string, n_turns string, roles long")
+    got = {r.conv_id: r for r in chat.format_chats(chats, chat.fit(chats)).collect()}
+    assert len(got) == 6 and got[5].n_turns == 2 and got[2].n_turns == 1
+    # a long conversation is one transcript
+    assert got[12].n_turns == got[12].n_parsed == 600 and got[12].n_agree == got[12].n_lines == 1200 and got[12].rendered_sha256 == hashlib.sha256(chat.render(long).encode()).hexdigest()
+    assert got[1].roles == "system,user,assistant,user,assistant" and got[1].rendered_sha256 == hashlib.sha256(chat.render(TURNS).encode()).hexdigest()
+    none = chats.limit(0)
+    assert chat.format_chats(none, chat.fit(none)).count() == 0
+    raw = spark.createDataFrame([(1, chat.transcript(TURNS, 1)), (2, None), (None, "")], "conv_id long, text string")
+    turns = sorted(chat.format_transcripts(raw).collect(), key=lambda r: r.turn)
+    assert [(r.role, r.text) for r in turns] == TURNS and "".join(r.rendered for r in turns) == chat.render(TURNS)
+
+
+def test_chat_agreement(spark):
+    rows = chat.op6_chat_format(spark, "/root/testdata/sf0.01").collect()
+    share = lambda hard, named: [sum(r.n_agree for r in x) / sum(r.n_lines for r in x) for x in [[r for r in rows if (r.conv_id % chat.STYLES >= len(chat._STYLES)) == hard and (r.conv_id % len(chat._STYLES) == 4) == named]]][0]
+    # whole markers of known words; lost markers and lines that look like markers; unknown names
+    assert share(False, False) == 1 and share(True, False) > 0.8 and share(False, True) > 0.7
 
 
 def test_urls(spark):
-    given = [None, "", "no scheme", "http://Example.COM/en/7/x?q=casino", "http://a.example.com/en/8#f", "https://x.net/de/81", "https://example.net/de/8", "https://myexample.net/de/8", "ftp://shop.org/es/", "http://a.fr/casino", "http://a.fr/casinos", "http://a.fr/free-adult_poker", "http://a.fr/cheap/bet", "http://com?x/en/", "http://com/en/", "http://a.fr?casino", "a://b://c/xxx"]
-    pages = spark.createDataFrame([(i, u, "h") for i, u in enumerate(given)], "page_id long, url string, html string")
+    given = [None, "", "no scheme", "http://Example.COM/en/7/x?q=casino", "http://a.example.com/en/8#f", "https://x.net/de/81", "https://example.net/de/8", "https://myexample.net/de/8", "ftp://shop.org/es/", "http://a.fr/casino", "http://a.fr/casinos", "http://a.fr/free-adult_poker", "http://a.fr/cheap/bet", "http://com?x/en/", "http://com/en/", "http://a.fr?casino", "a://b://c/xxx", "http://a.fr/\u00e9casino", "http://a.fr/casino\u0660", "http://a.fr/casino\u00b7x", "http://\u212a.fr/\u0130/CASINO", "www.casino.com/x", "http://a.fr/" + "x" * (1 << 20) + "/porn", "http://a.fr/casinos"]
+    pages = spark.createDataFrame([(i, u, "h", "x") for i, u in enumerate(given)], "page_id long, url string, html string, host string")
+    assert urls.judge(pages.limit(0)).count() == 0 and urls.judge(pages.unionAll(pages)).count() == 2 * len(given)
+    own = {r.page_id: r.verdict for r in urls.judge(pages, ["scheme"], {}, []).collect()}
+    assert own[2] == "block" and own[9] == "allow" and own[0] == "allow"
     got = {r.page_id: r.asDict() for r in urls.judge(pages).collect()}
     assert got[3]["rule"] == "example.com/en/7" and got[3]["verdict"] == "allow" and got[4]["verdict"] == "block" and got[6]["verdict"] == "block" and got[7]["verdict"] == "allow"
-    assert got[9]["verdict"] == "block" and got[10]["verdict"] == "allow" and got[11]["verdict"] == "block" and got[15]["verdict"] == "allow" and (got[0]["host"], got[0]["path"]) == ("", "")
+    assert got[9]["verdict"] == "block" and got[11]["verdict"] == "block" and got[15]["verdict"] == "block" and [got[i]["verdict"] for i in range(17, 23)] == ["allow", "allow", "block", "block", "block", "block"] and (got[0]["host"], got[0]["path"]) == ("", "")
     db = duckdb.connect()
     db.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR)")
     db.executemany("INSERT INTO pages VALUES (?, ?)", [[i, u] for i, u in enumerate(given)])
@@ -192,6 +238,12 @@ def test_toxicity(spark):
     got = {r.doc_id: r for r in toxicity.score(docs, *toxicity.fit(docs, none)).collect()}
     assert got[len(ODD)].predicted == 1 and not any(got[i].predicted for i in range(len(ODD))) and all(0 <= r.score <= 1 and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in got.values())
     assert toxicity.keep_clean(docs, none).count() == len(ODD)
+    # labels other than 0 and 1, repeated and missing ids, columns with the names of the result, empty tables
+    labels = spark.createDataFrame([(i, None, t) for i, t in [(1, 2), (1, 0), (2, 0), (3, None), (None, 1), (12, 1), (99, -1)]], "doc_id long, quality int, toxic int")
+    more = frame(spark, ODD + ["you stupid idiot"] * 2, [*range(len(ODD)), 12, 12], toxic=["t"] * (len(ODD) + 2), score=["s"] * (len(ODD) + 2))
+    kept = toxicity.keep_clean(more, labels)
+    assert kept.columns == more.columns and toxicity.score(more, *toxicity.fit(more, labels)).count() == len(ODD) + 2
+    assert toxicity.score(more.limit(0), *toxicity.fit(more.limit(0), labels)).count() == 0 and toxicity.keep_clean(more.limit(0), none).count() == 0
 
 
 def test_toxicity_held_out(spark):
@@ -209,3 +261,39 @@ def test_licenses_prefix_of_longer_template():
     # a template that ends at a suffix shorter than the longest match
     auto = licenses.Automaton({"long": ["a b c d e f g h"], "short": ["c d e"]})
     assert licenses.spans(auto, licenses.word_list(b"a b c d e f x")) == [("short", 2, 5, 1.0)]
+
+
+LONG = "one two three password=abcdefgh1 all rights reserved " * 40000
+
+
+def test_plain_cases(spark):
+    """Repeated rows, columns with names of the result, a text over one MiB, empty tables."""
+    texts = ["all rights reserved", "all rights reserved", LONG, None]
+    clash = {c: ["c"] * 4 for c in ("n_words", "labels", "n_tokens", "spans", "kind", "score", "bucket", "n", "key")}
+    docs = frame(spark, texts, [1, 1, 2, 3], **clash)
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    for f in (licenses.scan, secret_scan.scan, lambda d: bpe.digests(d, path), fingerprints.compare, secret_scan.without_secrets):
+        assert sorted(r.doc_id for r in f(docs).collect()) == [1, 1, 2, 3] and f(docs.limit(0)).count() == 0
+    assert {r.doc_id: r.n_base for r in licenses.scan(docs).collect()} == {1: 1, 2: 40000, 3: 0}
+    assert {r.doc_id: r.n_assign for r in secret_scan.scan(docs).collect()} == {1: 0, 2: 40000, 3: 0}
+    assert secret_scan.without_secrets(docs).columns == docs.columns
+
+
+def test_bpe_long_pieces():
+    import tiktoken
+
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    b, rng = bpe.Bpe(path), random.Random(6)
+    want = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=b.ranks, special_tokens={})
+    kinds = ["a", "ab", "the", "abc", "etaoinshr", "=-_", "ß\u00e9\u00fc", "\u7684\u4e00\u662f", "\u043e\u0435\u0430"]
+    texts = ["".join(rng.choices(k, k=n)) for k in kinds for n in (90, 300, 2000)] + ["x" * 200_000, "na" * 30_000]
+    assert [list(x) for x in b.encode(texts)] == [want.encode_ordinary(t) for t in texts]
+
+
+def test_licences_whole_bodies():
+    auto = licenses.Automaton(licenses.TEMPLATES)
+    body = ". ".join(licenses.TEMPLATES["mit"][2:])
+    got = licenses.spans(auto, licenses.word_list(b"x " + body.encode() + b" y"))
+    covered = sum(e - f for label, f, e, _ in got if label == "mit")
+    assert covered == len(body.split())
+    assert licenses.spans(licenses.Automaton({"own": ["the house licence one"]}), licenses.word_list(b"under the house licence one"))[0][:3] == ("own", 1, 5)
