@@ -8,11 +8,10 @@ from __future__ import annotations
 import public_tokenizers
 
 from quillmesh.llm import near_dups, packing, quality, secret_scan, toxicity
-from quillmesh.llm.common import drop, keep, ship, shared_dir, table
+from quillmesh.llm.common import drop, keep, shared_dir, table
 
 
 def quality_rules(spark, docs, sf_dir):
-    ship(spark)
     return quality.keep_good(docs)
 
 
@@ -21,17 +20,14 @@ def toxic_documents(spark, docs, sf_dir):
 
 
 def near_duplicates(spark, docs, sf_dir):
-    ship(spark)
     return near_dups.one_of_each(docs)
 
 
 def secrets_redacted(spark, docs, sf_dir):
-    ship(spark)
     return secret_scan.without_secrets(docs)
 
 
 def packed(spark, docs, sf_dir):
-    ship(spark)
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
