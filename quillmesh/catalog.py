@@ -64,12 +64,13 @@ def folder_parts(spark, d):
 
 @query("""WITH p AS (SELECT n_nationkey AS k, r_name AS r, n_name AS n FROM nation JOIN region ON n_regionkey = r_regionkey)
 SELECT a.k AS a, b.k AS b, concat('[', b.n, '](', CASE WHEN a.r = b.r THEN concat(b.n, '.md') ELSE concat('../', b.r, '/', b.n, '.md') END, ')') AS link,
-  concat('../../Tables/', b.r, '.md') AS up FROM p a JOIN p b ON a.k % 5 = b.k % 5""")
+  concat('../../Tables/', b.r, '.md') AS up FROM p a JOIN p b ON true""")
 def relative_links(spark, d):
     p = _t(spark, d, "nation").join(_t(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_nationkey").alias("k"), "r_name", "n_name", F.concat(F.lit("Fields/"), "r_name", F.lit("/"), "n_name", F.lit(".md")).alias("path"))
     a, b = p.select(F.col("k").alias("a"), F.col("path").alias("src")), p.select(F.col("k").alias("b"), "r_name", "n_name", F.col("path").alias("dst"))
     up = S.relative_path(F.col("src"), F.concat(F.lit("Tables/"), "r_name", F.lit(".md")))
-    return a.join(b, F.col("a") % 5 == F.col("b") % 5).select("a", "b", S.md_link(F.col("n_name"), S.relative_path(F.col("src"), F.col("dst"))).alias("link"), up.alias("up"))
+    # nation and region are fixed in size: every nation's page links to every other's
+    return a.join(F.broadcast(b)).select("a", "b", S.md_link(F.col("n_name"), S.relative_path(F.col("src"), F.col("dst"))).alias("link"), up.alias("up"))
 
 
 _FLAG = "CASE o_orderkey % 7 WHEN 0 THEN 'True' WHEN 1 THEN 'true' WHEN 2 THEN 'False' WHEN 3 THEN '0' WHEN 4 THEN '' WHEN 5 THEN 'No' END"
@@ -101,13 +102,15 @@ def first_seen_distinct(spark, d):
     return R.first_seen(_t(spark, d, "conversations", "conv_id", "role", "turn"), ["conv_id", "role"], "turn")
 
 
-@query("""SELECT c_custkey, coalesce(n_name, concat('nation:', c_nationkey)) AS nation, coalesce(r_name, n_name, 'none') AS region FROM customer
-  LEFT JOIN (SELECT * FROM nation WHERE n_nationkey % 3 <> 0) ON c_nationkey = n_nationkey LEFT JOIN (SELECT * FROM region WHERE r_regionkey < 3) ON n_regionkey = r_regionkey""")
+@query("""SELECT c_custkey, coalesce(n_name, concat('nation:', k)) AS nation, coalesce(r_name, n_name, 'none') AS region FROM
+  (SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN c_nationkey + 1000 ELSE c_nationkey END AS k, c_mktsegment FROM customer)
+  LEFT JOIN nation ON k = n_nationkey LEFT JOIN region ON CASE WHEN c_mktsegment = 'MACHINERY' THEN n_regionkey + 1000 ELSE n_regionkey END = r_regionkey""")
 def lookup_join_chain(spark, d):
-    n = _t(spark, d, "nation").where("n_nationkey % 3 <> 0")
-    r = _t(spark, d, "region").where("r_regionkey < 3")
-    c = _t(spark, d, "customer", "c_custkey", "c_nationkey").join(n, F.col("c_nationkey") == F.col("n_nationkey"), "left").join(r, F.col("n_regionkey") == F.col("r_regionkey"), "left")
-    return c.select("c_custkey", F.coalesce("n_name", F.concat(F.lit("nation:"), "c_nationkey")).alias("nation"), F.coalesce("r_name", "n_name", F.lit("none")).alias("region"))
+    # keys that the lookup tables lack, by a rule on the row that looks up
+    key = F.when(F.col("c_acctbal") < 0, F.col("c_nationkey") + 1000).otherwise(F.col("c_nationkey"))
+    then = F.when(F.col("c_mktsegment") == "MACHINERY", F.col("n_regionkey") + 1000).otherwise(F.col("n_regionkey"))
+    c = _t(spark, d, "customer", "c_custkey", "c_mktsegment", key.alias("k")).join(_t(spark, d, "nation"), F.col("k") == F.col("n_nationkey"), "left").withColumn("then", then).join(_t(spark, d, "region"), F.col("then") == F.col("r_regionkey"), "left")
+    return c.select("c_custkey", F.coalesce("n_name", F.concat(F.lit("nation:"), "k")).alias("nation"), F.coalesce("r_name", "n_name", F.lit("none")).alias("region"))
 
 
 @query("SELECT doc_id, lang FROM documents d WHERE EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
@@ -123,7 +126,7 @@ def orphan_docs(spark, d):
 _CONTAINS = """SELECT concat('region:', r_name) AS "sourceDocId", 'region' AS "sourceEntityType", concat('nation:', n_name) AS "targetDocId", 'nation' AS "targetEntityType", 'contains' AS "relationshipType", CAST(NULL AS VARCHAR) AS "role", 'exact' AS "confidence", CAST(NULL AS VARCHAR) AS "rawText" FROM region JOIN nation ON r_regionkey = n_regionkey"""
 _EDGES = f"""{_CONTAINS}
 UNION ALL SELECT concat('supplier:', s_suppkey), 'supplier', concat('nation:', n_name), 'nation', 'basedOn', NULL, 'exact', NULL FROM supplier JOIN nation ON s_nationkey = n_nationkey
-UNION ALL SELECT concat('customer:', c_custkey), 'customer', concat('nation:', c_nationkey), 'nation', 'usesNation', 'target', CASE WHEN n_nationkey IS NULL THEN 'unresolved' ELSE 'exact' END, c_mktsegment FROM customer LEFT JOIN (SELECT * FROM nation WHERE n_nationkey % 5 <> 0) ON c_nationkey = n_nationkey"""
+UNION ALL SELECT concat('customer:', c_custkey), 'customer', concat('nation:', k), 'nation', 'usesNation', 'target', CASE WHEN n_nationkey IS NULL THEN 'unresolved' ELSE 'exact' END, c_mktsegment FROM (SELECT *, CASE WHEN c_acctbal < 0 THEN c_nationkey + 1000 ELSE c_nationkey END AS k FROM customer) LEFT JOIN nation ON k = n_nationkey"""
 
 
 def _contains(spark, d):
@@ -134,12 +137,13 @@ def _contains(spark, d):
 def _edges(spark, d):
     nation = _t(spark, d, "nation")
     supplier = _t(spark, d, "supplier", "s_suppkey", "s_nationkey").join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
-    customer = _t(spark, d, "customer", "c_custkey", "c_nationkey", "c_mktsegment").join(nation.where("n_nationkey % 5 <> 0"), F.col("c_nationkey") == F.col("n_nationkey"), "left")
+    key = F.when(F.col("c_acctbal") < 0, F.col("c_nationkey") + 1000).otherwise(F.col("c_nationkey"))
+    customer = _t(spark, d, "customer", "c_custkey", "c_mktsegment", key.alias("k")).join(nation, F.col("k") == F.col("n_nationkey"), "left")
     sure = F.when(F.col("n_nationkey").isNull(), "unresolved").otherwise("exact")
     return R.union_all(
         _contains(spark, d),
         supplier.select(R.edge(S.doc_id("supplier", "s_suppkey"), "supplier", S.doc_id("nation", "n_name"), "nation", "basedOn")),
-        customer.select(R.edge(S.doc_id("customer", "c_custkey"), "customer", S.doc_id("nation", "c_nationkey"), "nation", "usesNation", F.lit("target"), sure, F.col("c_mktsegment"))),
+        customer.select(R.edge(S.doc_id("customer", "c_custkey"), "customer", S.doc_id("nation", F.col("k").cast("string")), "nation", "usesNation", F.lit("target"), sure, F.col("c_mktsegment"))),
     )
 
 
@@ -158,10 +162,10 @@ def reference_confidence(spark, d):
     return _edges(spark, d).groupBy("relationshipType", "confidence").agg(F.count("*").alias("n"))
 
 
-@query(f"""SELECT "targetDocId", string_agg(concat("sourceDocId", '/', "relationshipType", '/', "confidence"), ';' ORDER BY "sourceDocId") AS links FROM ({_EDGES}) WHERE "sourceEntityType" <> 'customer' GROUP BY "targetDocId" """)
+@query(f'SELECT "targetDocId", "sourceDocId", "sourceEntityType", "relationshipType", "role", "confidence" FROM ({_EDGES})')
 def backlinks(spark, d):
-    links = R.backlinks(_edges(spark, d).where("sourceEntityType <> 'customer'"), [], [])
-    return links.select("targetDocId", F.concat_ws(";", F.transform("links", lambda x: F.concat_ws("/", x.sourceDocId, x.relationshipType, x.confidence))).alias("links"))
+    """A row a link, whatever the number of a target's links; gathered ones: design_backlinks."""
+    return R.backlink_rows(_edges(spark, d))
 
 
 @query(f'SELECT "targetDocId", count(*) AS n, count(*) FILTER (WHERE "confidence" = \'unresolved\') AS unresolved FROM ({_EDGES}) GROUP BY 1')

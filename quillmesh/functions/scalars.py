@@ -26,8 +26,11 @@ def folder_parts(c: Column) -> Column:
 
 
 def doc_id(kind: str, *parts) -> Column:
-    """kind:a::b::..."""
-    return F.concat(F.lit(kind + ":"), F.concat_ws("::", *[F.col(p) if isinstance(p, str) else p for p in parts]))
+    """kind:a::b::...; null if any part is."""
+    out = [F.lit(kind + ":")]
+    for i, p in enumerate(parts):
+        out += [F.lit("::")] * (i > 0) + [F.col(p) if isinstance(p, str) else p]
+    return F.concat(*out)
 
 
 def numbered(kind: str, owner: Column, n: Column) -> Column:

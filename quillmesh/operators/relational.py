@@ -4,15 +4,15 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def last_wins(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """One row a key: the last row's values at the first row's place (column "pos"). Partially aggregated before the shuffle."""
-    rest = [c for c in df.columns if c not in keys]
-    at = F.struct(*order)
-    return df.groupBy(*keys).agg(F.min(at).alias("pos"), F.max_by(F.struct(*rest), at).alias("v")).select(*keys, "pos", "v.*")
+    """One row a key: the last row's values at the first row's place (column "pos"). One shuffle and one sort; keys hardly repeat, so a partial aggregation would save nothing."""
+    w = Window.partitionBy(*keys).orderBy(*order)
+    rows = df.withColumns({"pos": F.first(F.struct(*order)).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)), "_more": F.lead(F.lit(True)).over(w)})
+    return rows.where("_more is null").select(*keys, "pos", *[c for c in df.columns if c not in keys])
 
 
 def first_seen(df: DataFrame, keys: list[str], order: str) -> DataFrame:
@@ -52,6 +52,7 @@ def backlinks(references: DataFrame, by: list[str], order: list[str]) -> DataFra
 
 
 def backlink_rows(references: DataFrame) -> DataFrame:
+    """The same as a row a link, whatever the number of links to a target."""
     return references.select("targetDocId", "sourceDocId", "sourceEntityType", "relationshipType", "role", "confidence")
 
 
@@ -61,4 +62,8 @@ def histogram(df: DataFrame, by: str) -> DataFrame:
 
 def counts(**tables: DataFrame) -> DataFrame:
     """(entity, n) of each table, empty ones too."""
-    return union_all(*[df.agg(F.count("*").alias("n")).select(F.lit(name).alias("entity"), "n") for name, df in tables.items()])
+    one = next(iter(tables.values())).sparkSession.range(1)
+    # a row of nothing for each, so that empty ones are counted too
+    rows = [df.select(F.lit(name).alias("entity"), F.lit(1).cast("long").alias("n")) for name, df in tables.items()]
+    none = one.select(F.explode(F.array(*[F.lit(name) for name in tables])).alias("entity"), F.lit(0).cast("long").alias("n"))
+    return union_all(none, *rows).groupBy("entity").agg(F.sum("n").alias("n"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import CALL, FIELD_REF, strip
 from ..operators.relational import backlinks as gather
 from ..operators.relational import counts as count_rows
-from ..operators.relational import histogram, union_all
+from ..operators.relational import anti, histogram, union_all
 from .model import SECTIONS, Model, warning
 
 #: A reference's columns.
@@ -46,8 +46,7 @@ def calculation_references(model: Model, calculations: DataFrame) -> DataFrame:
     calls = calculations.select("file", "docId", "pos", F.posexplode(F.regexp_extract_all("calculation", F.lit(CALL), 1)).alias("j", "rawText"))
     calls = calls.groupBy("file", "docId", "pos", "rawText").agg(F.min("j").alias("j"))
     functions = model.entities["customFunction"].select("file", F.col("name").alias("rawText"), F.col("docId").alias("target"))
-    # calls come after fields
-    as_calls = calls.join(functions, ["file", "rawText"]).select("file", "docId", "pos", (F.col("j") + 1_000_000).alias("j"), "target", F.lit("customFunction").alias("targetKind"), F.lit("usesCustomFunction").alias("kind"), F.lit(True).alias("sure"), "rawText")
+    as_calls = calls.join(functions, ["file", "rawText"]).select("file", "docId", "pos", "j", "target", F.lit("customFunction").alias("targetKind"), F.lit("usesCustomFunction").alias("kind"), F.lit(True).alias("sure"), "rawText")
     return as_fields.unionByName(as_calls)
 
 
@@ -83,7 +82,8 @@ def references(model: Model) -> DataFrame:
     sure = F.when(F.col("there"), "exact").otherwise("unresolved")
     out = linked.select("file", "at", *[sure.alias(c) if c == "confidence" else F.col(c) for c in COLUMNS])
     calc = calculation_references(model, e["customFunction"].where("calculation is not null"))
-    at = F.struct(F.lit(7).alias("step"), F.col("pos.ord").alias("ord"), F.col("pos.idx").alias("idx"), F.col("j").alias("j"))
+    # of a function's references fields come first, then calls
+    at = F.struct(F.lit(7).alias("step"), F.col("pos.ord").alias("ord"), (F.col("targetKind") == "customFunction").cast("int").alias("idx"), F.col("j").alias("j"))
     read = calc.select("file", at.alias("at"), F.col("docId").alias("sourceDocId"), F.lit("customFunction").alias("sourceEntityType"), F.col("target").alias("targetDocId"), F.col("targetKind").alias("targetEntityType"), F.col("kind").alias("relationshipType"), F.lit(None).cast("string").alias("role"), F.when(F.col("sure"), "parsed").otherwise("unresolved").alias("confidence"), "rawText")
     return out.unionByName(read)
 
@@ -94,13 +94,13 @@ def backlinks(refs: DataFrame) -> DataFrame:
 
 def dangling_references(model: Model, refs: DataFrame) -> DataFrame:
     """References whose target isn't an entity: an extension, since most such references are left out silently."""
-    return refs.join(entity_index(model).select("file", F.col("docId").alias("targetDocId")), ["file", "targetDocId"], "left_anti")
+    return anti(refs, entity_index(model).select("file", F.col("docId").alias("targetDocId")), ["file", "targetDocId"])
 
 
 def unused_fields(model: Model, refs: DataFrame) -> DataFrame:
     """Fields that nothing but their own table points to: an extension of the warning below."""
     used = refs.where("relationshipType <> 'contains'").select("file", F.col("targetDocId").alias("docId"))
-    return model.entities["field"].join(used, ["file", "docId"], "left_anti").select("file", "docId", "qualifiedName")
+    return anti(model.entities["field"], used, ["file", "docId"]).select("file", "docId", "qualifiedName")
 
 
 def collisions(model_raw: DataFrame) -> DataFrame:
@@ -114,8 +114,8 @@ def warnings(model: Model, refs: DataFrame) -> DataFrame:
     say = lambda *parts: F.concat(*[F.lit(p) if i % 2 == 0 else F.col(p) for i, p in enumerate(parts)])
     place = lambda df, j=0: df.withColumn("place", F.struct(F.lit(0).alias("step"), F.col("pos.ord").alias("ord"), F.col("pos.idx").alias("idx"), F.lit(j).alias("j")))
     row = lambda df, phase, cols: df.select("file", F.lit(phase).alias("phase"), "place", *cols)
-    lacks = lambda df, column, kind: df.join(e[kind].select("file", F.col("docId").alias(column)), ["file", column], "left_anti")
-    unused = e["field"].join(refs.select("file", F.col("targetDocId").alias("docId")), ["file", "docId"], "left_anti")
+    lacks = lambda df, column, kind: anti(df, e[kind].select("file", F.col("docId").alias(column)), ["file", column])
+    unused = anti(e["field"], refs.select("file", F.col("targetDocId").alias("docId")), ["file", "docId"])
     doc = F.col("docId")
     sides = [row(place(lacks(e["relationship"], f"{s}TableOccurrenceDocId", "tableOccurrence"), j), 8, warning("UNRESOLVED_RELATIONSHIP_TO", say("Relationship '", "name", f"' references unknown {s} table occurrence '", f"{s}TableOccurrenceDocId", "'"), doc)) for j, s in enumerate(("left", "right"))]
     early = model.early.withColumn("place", F.struct(F.lit(0).alias("step"), F.col("ord").cast("int").alias("ord"), F.lit(0).alias("idx"), F.lit(0).alias("j"))).drop("ord")

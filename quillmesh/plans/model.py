@@ -13,8 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import tree as T
-from ..functions.scalars import filled, indexed, is_true, not_off, strip
-from ..operators.relational import last_wins, union_all
+from ..functions.scalars import doc_id, filled, indexed, is_true, not_off, numbered, strip, whole_number
+from ..operators.relational import first_seen, last_wins, union_all
 from ..sources.store import Store
 
 #: Comparison codes of join predicates.
@@ -45,11 +45,11 @@ def operator_name(code: Column) -> Column:
 
 
 def _id(kind: str, *parts) -> Column:
-    return F.concat(F.lit(f"{kind}:"), *parts)
+    return doc_id(kind, *parts)
 
 
 def _field_id(table: Column, name: Column) -> Column:
-    return F.concat(F.lit("field:"), table, F.lit("::"), name)
+    return doc_id("field", table, name)
 
 
 def E() -> Column:
@@ -136,7 +136,7 @@ def fields(records: DataFrame) -> DataFrame:
         check.isNotNull() & (required | not_empty | unique | most.isNotNull()),
         F.struct(required.alias("required"), not_empty.alias("not_empty"), unique.alias("unique"), most.alias("max_characters"), filled(T.attr(check, "message", "Message")).alias("message")),
     )
-    repeat = F.coalesce(T.attr(store, "maxRepeat", "MaxRepeat", "maxRepetitions", default=None).try_cast("int"), F.lit(1))
+    repeat = whole_number(T.attr(store, "maxRepeat", "MaxRepeat", "maxRepetitions", default=None), 1)
     storage = F.struct(is_true(T.attr(store, "global", "Global")).alias("global"), indexed(T.attr(store, "index", "Index", "autoIndex", "AutoIndex")).alias("indexed"), repeat.alias("maxRepeat"))
     return _raw(
         records, "field", F.when((NAME() != "") & (table != ""), _field_id(table, NAME())).alias("docId"), NAME().alias("name"), table.alias("table"),
@@ -286,7 +286,7 @@ def scripts(records: DataFrame) -> DataFrame:
 
 def steps(records: DataFrame, scripts_: DataFrame) -> DataFrame:
     """Raw steps of every named script: those listed apart for its number (the last list of a number), even if none, else those in it; ord is the script's."""
-    index = F.coalesce(T.attr(E(), "index", "Index").try_cast("int"), F.col("idx"))
+    index = whole_number(T.attr(E(), "index", "Index"), F.col("idx"))
     at_layout, at_script = T.at("Layout"), T.at("Script")
     refs = F.transform(F.filter(T.descendants("Field"), lambda x: x["i"] > 0), lambda f: F.struct(T.attr(f, "table", "Table", "tableName").alias("t"), T.attr(f, "name", "Name").alias("f")))
     calc = filled(T.text(T.at("Calculation")))
@@ -301,7 +301,7 @@ def steps(records: DataFrame, scripts_: DataFrame) -> DataFrame:
     )
     apart = _of(records, "stepSet").select("file", T.attr(F.get("above", F.lit(0)), "id", "ID").alias("fmpId"), "ord").where("fmpId <> ''").groupBy("file", "fmpId").agg(F.max("ord").alias("set"))
     source = scripts_.join(apart, ["file", "fmpId"], "left").select("file", "ord", F.col("name").alias("script"), F.col("docId").alias("scriptDocId"), F.coalesce("set", "ord").alias("owner"))
-    return source.join(raw, ["file", "owner"]).drop("owner").withColumn("docId", F.concat(F.lit("scriptStep:"), "script", F.lit(":"), F.format_string("%04d", "index"))).drop("script")
+    return source.join(raw, ["file", "owner"]).drop("owner").withColumn("docId", numbered("scriptStep", F.col("script"), F.col("index"))).drop("script")
 
 
 def with_steps(scripts_: DataFrame, steps_: DataFrame) -> DataFrame:
@@ -375,14 +375,14 @@ def small_kinds(records: DataFrame) -> dict[str, DataFrame]:
     )
     shown = F.when(T.at("Display").isNotNull(), T.text(T.at("Display"))).otherwise(T.attr(E(), "name", "Name"))
     kind = T.attr(E(), "type", "Type", default="Local")
-    out["fileRef"] = _raw(records, "fileRef", F.when(shown != "", _id("fileRef", kind, F.lit(":"), shown)).alias("docId"), shown.alias("name"), *BASE(), kind.alias("refType"), not_off(T.attr(E(), "self", "Self", default=None), "False").alias("isSelf"))
+    out["fileRef"] = _raw(records, "fileRef", F.when(shown != "", _id("fileRef", F.concat(kind, F.lit(":"), shown))).alias("docId"), shown.alias("name"), *BASE(), kind.alias("refType"), not_off(T.attr(E(), "self", "Self", default=None), "False").alias("isSelf"))
     return {k: _entities(v) for k, v in out.items()}
 
 
 def _registered(entities: DataFrame, rows: DataFrame, column: str) -> DataFrame:
     """entities with an array of the members that rows(file, docId, member, ord, idx) name, each once, in order of first appearance."""
-    first = rows.groupBy("file", "docId", "member").agg(F.min(F.struct("ord", "idx")).alias("at"))
-    lists = first.groupBy("file", "docId").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "member"))), lambda x: x.member).alias(column))
+    first = first_seen(rows.withColumn("at", F.struct("ord", "idx")), ["file", "docId", "member"], "at")
+    lists = first.groupBy("file", "docId").agg(F.transform(F.sort_array(F.collect_list(F.struct("first", "member"))), lambda x: x.member).alias(column))
     return entities.join(lists, ["file", "docId"], "left").withColumn(column, F.coalesce(column, F.array().cast("array<string>")))
 
 

@@ -121,12 +121,15 @@ def write_split_json(model: Model, folder: str) -> None:
 
 
 def write_pages(pages: DataFrame, folder: str) -> None:
-    """Each page a file below a folder that all executors share; with several exports each has a folder of its file's name."""
-    several = pages.select("file").distinct().limit(2).count() > 1
+    """Each page a file below a folder that all executors share; with several exports each has a folder named by its path below their common one."""
+    least, most = pages.agg(F.min("file"), F.max("file")).first()
+    # what the first and the last path share, all share
+    common = os.path.commonprefix([least or "", most or ""])
+    skip = common.rfind("/") + 1
 
     def run(rows) -> None:
         for r in rows:
-            to = os.path.join(folder, *([os.path.basename(r.file)] if several else []), r.path)
+            to = os.path.join(folder, *([r.file[skip:]] if least != most else []), r.path)
             os.makedirs(os.path.dirname(to), exist_ok=True)
             with open(to, "w", encoding="utf-8") as f:
                 f.write(r.content)

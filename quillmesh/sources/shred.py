@@ -7,8 +7,8 @@ file, kind, ord (place in the file's document order), owner (ord of the owning r
 above (nodes that tell whose it is: the table of a field, the part of an object, the folders of a script, the script of a step), sub (the
 element and its descendants; path is relative to it, first tells that the node and all above it are the first of their tag among siblings).
 
-A file that cannot be read gives a record of kind "file" with a warning and nothing else; so does null or empty content (but Spark's
-binary reader leaves out files of no bytes).
+A file that cannot be read gives a record of kind "file" with a warning and nothing else; so does null or empty content. A file is one
+binary value, of 2 GB at most.
 """
 
 from __future__ import annotations
@@ -16,9 +16,12 @@ from __future__ import annotations
 import io
 import xml.etree.ElementTree as ET
 from collections.abc import Iterator
+from datetime import UTC, datetime
 
 import pyarrow as pa
 
+from ..ship import ship
+
 NODE = "struct<i:int,p:int,top:int,tag:string,path:string,first:boolean,attrs:map<string,string>,low:map<string,string>,text:string,xpath:string>"
 SCHEMA = f"file string, modified timestamp, kind string, ord int, owner int, idx int, above array<{NODE}>, sub array<{NODE}>"
 _NODE = pa.struct([
@@ -27,8 +30,8 @@ _NODE = pa.struct([
 ])
 #: Content that nothing reads and that may be very large (images).
 SKIPPED = {"StreamList"}
-#: Rows in a batch sent to the JVM.
-BATCH = 2000
+#: Records, and nodes in them, after which a batch is sent to the JVM.
+BATCH, BATCH_NODES = 2000, 50_000
 
 
 def local(tag: str) -> str:
@@ -185,28 +188,43 @@ def shred(files):
     def run(batches):
         for b in batches:
             for path, modified, content in zip(*(b.column(n).to_pylist() for n in ("path", "modificationTime", "content")), strict=True):
-                out = []
+                out, size = [], 0
                 for r in records(content):
                     out.append(r | {"file": path, "modified": modified, "owner": r.get("owner"), "idx": r.get("idx", 0), "warning": r.get("warning")})
-                    if len(out) == BATCH:
+                    size += len(r["sub"]) + len(r["above"])
+                    if len(out) == BATCH or size >= BATCH_NODES:
                         yield pa.RecordBatch.from_pylist(out, schema)
-                        out = []
+                        out, size = [], 0
                 if out:
                     yield pa.RecordBatch.from_pylist(out, schema)
 
+    ship(files.sparkSession)
     return files.select("path", "modificationTime", "content").mapInArrow(run, SCHEMA + ", warning string")
 
 
+def empty_files(spark, path: str, pattern: str):
+    """Files of no bytes below path, which Spark's binary reader leaves out: (path, modificationTime, content)."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    at, found = jvm.org.apache.hadoop.fs.Path(path), []
+    fs, fits = at.getFileSystem(conf), jvm.org.apache.hadoop.fs.GlobFilter(pattern)
+    for status in fs.globStatus(at) or []:
+        if status.isFile():
+            found += [status] if status.getLen() == 0 else []
+            continue
+        every = fs.listFiles(status.getPath(), True)
+        while every.hasNext():
+            x = every.next()
+            if x.getLen() == 0 and fits.accept(x.getPath()):
+                found.append(x)
+    rows = [(x.getPath().toString(), datetime.fromtimestamp(x.getModificationTime() / 1000, UTC), bytearray()) for x in found]
+    return spark.createDataFrame(rows, "path string, modificationTime timestamp, content binary")
+
+
 def read_exports(spark, path: str, pattern: str = "*.xml"):
     """All files below path (a file, a folder or a glob) as records."""
     reader = spark.read.format("binaryFile")
-    return shred((reader if path.endswith(".xml") else reader.option("pathGlobFilter", pattern).option("recursiveFileLookup", "true")).load(path))
-
-
-def stream_exports(spark, path: str, pattern: str = "*.xml"):
-    """The same for files as they arrive: a streaming DataFrame of records."""
-    schema = "path string, modificationTime timestamp, length long, content binary"
-    return shred(spark.readStream.format("binaryFile").schema(schema).option("pathGlobFilter", pattern).load(path))
+    files = (reader if path.endswith(".xml") else reader.option("pathGlobFilter", pattern).option("recursiveFileLookup", "true")).load(path)
+    return shred(files.select("path", "modificationTime", "content").unionByName(empty_files(spark, path, pattern)))
 
 
 def nodes(records_):

@@ -11,6 +11,8 @@ def work_dir(spark) -> str:
     """A new folder below spark.checkpoint.dir; only where that is unset (tests, one machine) a local one."""
     top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         top = "file://" + tempfile.mkdtemp(prefix="quillmesh-work")
         spark.sparkContext.setCheckpointDir(top)
     return f"{top.rstrip('/')}/design-{uuid.uuid4().hex}"
@@ -26,6 +28,10 @@ class Store:
         df.write.mode("overwrite").parquet(f"{self.root}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
 
+    def table(self, name: str):
+        """A table kept before."""
+        return self.spark.read.parquet(f"{self.root}/{name}")
+
     def keep_all(self, tables: dict) -> dict:
         """Several tables at a time, a few jobs side by side."""
         with ThreadPoolExecutor(6) as pool:

@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from quillmesh import cli
+from quillmesh import cli, streaming
 from quillmesh.plans import graph, pages
 from quillmesh.sources import export, shred
 
@@ -68,7 +68,7 @@ def folder(tmp_path_factory):
     (d / "two.xml").write_bytes(V2.encode("utf-16"))
     (d / "bad.xml").write_text("<a><b></a>")
     (d / "odd.xml").write_text("<a/>")
-    (d / "none.xml").write_text("")
+    (d / "empty.xml").write_text("")
     return d
 
 
@@ -101,7 +101,7 @@ def test_counts(model):
 def test_files(model):
     got = {r.fileName: (r.version, r.solution, bool(r.warning)) for r in model.files.collect()}
     assert got["one.xml"] == ("19.1 (build 7)", "Shop", False) and got["two.xml"] == ("22.0", "Neu", False)
-    assert got["bad.xml"][2] and got["odd.xml"][2]
+    assert got["bad.xml"][2] and got["odd.xml"][2] and got["empty.xml"][2]
 
 
 def test_fields(model):
@@ -200,7 +200,7 @@ def test_nodes(spark, folder):
 
 
 def test_stream(spark, folder, tmp_path):
-    q = shred.stream_exports(spark, f"file://{folder}").writeStream.format("parquet").option("path", f"file://{tmp_path}/r").option("checkpointLocation", f"file://{tmp_path}/c").trigger(availableNow=True).start()
+    q = streaming.stream_exports(spark, f"file://{folder}").writeStream.format("parquet").option("path", f"file://{tmp_path}/r").option("checkpointLocation", f"file://{tmp_path}/c").trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.read.parquet(f"file://{tmp_path}/r").where("kind = 'field'").count() == 6
 
