@@ -7,7 +7,6 @@ import gc
 import os
 import tempfile
 import uuid
-import zipfile
 from contextlib import contextmanager
 
 import numpy as np
@@ -15,6 +14,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import functions as F
 
+from ..ship import ship
+
 #: White space of the contracts: \x20 and \x09-\x0D, as bytes.split() has it.
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -28,23 +29,6 @@ _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 BLOCK = 1 << 20
 
 
-def ship(spark) -> None:
-    """Send this package to the executors once per session, so that it need not be installed there."""
-    sc = spark.sparkContext
-    if getattr(sc, "_quillmesh_sent", False):
-        return
-    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    path = os.path.join(tempfile.mkdtemp(prefix="quillmesh"), "quillmesh_code.zip")
-    with zipfile.ZipFile(path, "w") as z:
-        for d, _, names in os.walk(root):
-            for n in names:
-                if n.endswith(".py"):
-                    full = os.path.join(d, n)
-                    z.write(full, os.path.join("quillmesh", os.path.relpath(full, root)))
-    sc.addPyFile(path)
-    sc._quillmesh_sent = True
-
-
 def table(spark, sf_dir: str, name: str):
     """A table of the data folder, read through Spark so that any store works."""
     ship(spark)
@@ -69,6 +53,7 @@ def begin(owner: str) -> None:
         if other != owner:
             empty()
     gc.collect()
+    pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
     except (OSError, AttributeError):  # another C library

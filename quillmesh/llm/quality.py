@@ -41,7 +41,7 @@ from .common import SPACE, begin, blobs, bucketed, drop, id_filter, keep, may_ho
 #: Deviations: of order one and two above the median, of order one below; words and families that widen a band by the square root of two.
 UPPER, LOWER, SHORT, FEW = (5.0, 4.0), 8.0, 20.0, 50.0
 #: Bytes of text in a block, and for which a range of keys serves; bytes of text that are looked at together.
-BLOCK, RANGE, PIECE = 32 << 20, 48 << 20, 2 << 20
+BLOCK, RANGE, PIECE = 12 << 20, 16 << 20, 2 << 20
 EXTRA = 8
 _STEP, _LEAST_STEPS = 0.005, 20
 _SYMBOL = np.zeros(256, dtype=np.int64)
@@ -62,7 +62,10 @@ def squeeze(*arrays: np.ndarray) -> bytes:
             body = b"\0" + size.tobytes()
             for k in range(2, int(size.max(initial=0)) + 1):
                 x = a[size == k]
-                body += np.packbits((x[:, None] >> np.arange(k - 1, dtype=np.uint64) & np.uint64(1)).astype(np.uint8)).tobytes()
+                bits = np.empty((len(x), k - 1), dtype=np.uint8)
+                for i in range(k - 1):
+                    bits[:, i] = x >> np.uint64(i) & np.uint64(1)
+                body += np.packbits(bits).tobytes()
         out.append(len(a).to_bytes(7, "little") + body)
     return zstandard.compress(b"".join(out), 1)
 
@@ -194,7 +197,7 @@ def blocks(docs, bits: int):
     """docs(doc_id, text, lang, row) as blocks; row: what tells equal rows."""
 
     def run(batches):
-        begin("quality")
+        begin("quality-blocks")
         held: dict[str, Block] = {}
 
         def out(*done: Block):
@@ -239,18 +242,24 @@ class Bigrams:
         by_rank = np.argsort(-seen.astype(np.int64), kind="stable")
         (ranks,) = unsqueeze(row["numbers"])
         word = by_rank[ranks.astype(np.int64)]
-        before = np.empty_like(word)
-        before[1:] = word[:-1]
+        del ranks, by_rank, seen
         first = np.cumsum(self.n) - self.n
-        before[first[self.n > 0]] = np.searchsorted(self.words, start)
+        pairs = np.empty_like(word)
+        pairs[1:] = word[:-1]
+        pairs[first[self.n > 0]] = np.searchsorted(self.words, start)
+        pairs *= len(self.words)
+        pairs += word
+        del word
         self.half = halves(self.family)
-        half = np.repeat(self.half, self.n)
-        pairs, at = np.unique(before * len(self.words) + word, return_inverse=True)
-        a, b = pairs // len(self.words), pairs % len(self.words)
+        half = np.repeat(self.half.astype(np.int8), self.n)
+        pairs, at = np.unique(pairs, return_inverse=True)
+        at = at.astype(np.int32)
+        a, b = (pairs // len(self.words)).astype(np.int32), (pairs % len(self.words)).astype(np.int32)
+        del pairs
         keys = mix(mix(self.words[a] + np.uint64(1)) * np.uint64(3) + self.words[b]) >> np.uint64(64 - bits)
         order = np.argsort(keys, kind="stable")
-        place = np.empty_like(order)
-        place[order] = np.arange(len(order))
+        place = np.empty(len(order), dtype=np.int32)
+        place[order] = np.arange(len(order), dtype=np.int32)
         self.keys, self.a, self.b, self.at = keys[order], a[order], b[order], place[at]
         self.own = [np.bincount(self.at[half == f], minlength=len(keys)) for f in (0, 1)]
 
@@ -338,7 +347,7 @@ def score(docs):
     by_block = lambda df: held.df.groupBy("block").cogroup(df.groupBy("block"))
 
     def ask(batches):
-        begin("quality")
+        begin("quality-ask")
         for b in batches:
             for row in b.to_pylist():
                 x = Bigrams(row, bits)
@@ -347,7 +356,7 @@ def score(docs):
                         yield _batch([(i, x.lang, x.block, squeeze(gaps(x.keys[s])), squeeze_rows(*(c[s] for c in x.own)))], ASKED)
 
     def count(t):
-        begin("quality")
+        begin("quality-count")
         out, at_range = [], t.column("range")[0].as_py()
         for lang, rows in _by_lang(t).items():
             _, at, own, total, n = _merge(rows)
@@ -367,7 +376,7 @@ def score(docs):
         return list(np.concatenate([unsqueeze_rows(s) for _, s in got], axis=1))
 
     def sum_words(block, answers):
-        begin("quality")
+        begin("quality-sum")
         out = []
         for row in block.to_pylist():
             x = Bigrams(row, bits)
@@ -387,7 +396,7 @@ def score(docs):
         return pa.Table.from_batches([_batch(out, ASKED)])
 
     def count_words(t):
-        begin("quality")
+        begin("quality-count-words")
         out, at_range = [], t.column("range")[0].as_py()
         for lang, rows in _by_lang(t).items():
             _, at, own, total, n = _merge(rows)
@@ -410,7 +419,7 @@ def score(docs):
         counts[k] = [x + y for x, y in zip(counts.get(k, [0] * 12), unsqueeze(bytes(r.sums))[0].tolist(), strict=True)]
 
     def give(block, answers):
-        begin("quality")
+        begin("quality-give")
         out = []
         for row in block.to_pylist():
             x = Bigrams(row, bits)
