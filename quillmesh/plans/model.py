@@ -7,7 +7,7 @@ number, by base table, and "only if it exists" join. Every join is an equi-join
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -38,6 +38,18 @@ class Model:
     references: DataFrame | None = None
     warnings: DataFrame | None = None
 
+    def entity(self, doc_id: str, file: str | None = None) -> DataFrame:
+        """The entities of one id, in one export or all: at most a row a file."""
+        kind = {"to": "tableOccurrence"}.get(doc_id.partition(":")[0], doc_id.partition(":")[0])
+        found = self.entities[kind].where(F.col("docId") == doc_id) if kind in self.entities else self.entities["table"].limit(0)
+        return found if file is None else found.where(F.col("file") == file)
+
+    def with_warning(self, code: str, message: str, file: str, entity: str | None = None, detail: str | None = None) -> Model:
+        """The model with one more warning, after all others of its file."""
+        last = F.struct(*[F.lit(2**31 - 1).alias(k) for k in ("step", "ord", "idx", "j")])
+        row = self.files.where(F.col("file") == file).select("file", F.lit(99).alias("phase"), last.alias("place"), *[F.lit(v).cast("string").alias(c) for c, v in (("code", code), ("message", message), ("entityDocId", entity), ("detail", detail))])
+        return replace(self, warnings=self.warnings.unionByName(row))
+
 
 def operator_name(code: Column) -> Column:
     names = F.create_map(*[F.lit(x) for kv in OPERATORS.items() for x in kv])

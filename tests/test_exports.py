@@ -116,6 +116,18 @@ def test_details(model):
     assert [r.relationshipType for r in graph.dangling_references(model, model.references).collect()] == [] and {r.docId for r in graph.unused_fields(model, model.references).collect()} >= {"field:Customer::FirstName"}
 
 
+def test_library(model, folder):
+    import quillmesh
+
+    assert quillmesh.load is cli.load
+    (r,) = model.entity("field:Customer::Status").collect()
+    assert r.dataType == "Text" and model.entity("to:Invoice").first().baseTableDocId == "table:Invoice" and model.entity("nothing:x").count() == 0
+    file = r.file
+    more = model.with_warning("OWN", "look here", file, "field:Customer::Status")
+    assert [(w.code, w.entityDocId) for w in more.warnings.where(F.col("file") == file).orderBy("phase", "place").collect()][-1] == ("OWN", "field:Customer::Status")
+    assert more.warnings.count() == model.warnings.count() + 1 and {r.code: r.n for r in graph.warning_histogram(more).collect()}["OWN"] == 1
+
+
 def test_pages_of_a_folder(model, tmp_path):
     rows = pages.pages(model, "2024-01-01 00:00 UTC")
     export.write_pages(rows, str(tmp_path / "out"))
