@@ -56,3 +56,23 @@ def test_empty(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, SF)
     assert docs.count() == 0
+
+
+def test_odd_rows(spark):
+    """Nulls in every column, repeated rows, a long text, columns with names that operators use themselves: no stage fails, clean rows stay."""
+    rng = np.random.default_rng(4)
+    words = ["".join(rng.choice(list("etaoinshrdlu"), 5)) for _ in range(300)]
+    good = [" ".join(rng.choice(words, 80)) for _ in range(60)]
+    rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(good)]
+    rows += rows[:3] + [(None, None, None, None, None), (None, good[5], None, None, None), (70, "", "", "", 0), (71, " ".join(rng.choice(words, 250_000)), "en", "s", 1), (71, good[6], "en", "t", 2)]
+    extra = ["kept", "score", "row", "bucket", "n", "key", "k", "half", "family", "toxic", "digest", "component_id", "a", "b", "id", "ids"]
+    docs = spark.createDataFrame([(*r, *["x"] * len(extra)) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in extra))
+    names = docs.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == names, name
+        docs = spark.createDataFrame(out.collect(), out.schema)
+    left = [r.doc_id for r in docs.collect()]
+    assert set(range(60)) <= set(left) and left.count(0) == 1 and 70 not in left
+    pieces = corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()
+    assert {r.doc_id for r in pieces} == set(left)
