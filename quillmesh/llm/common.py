@@ -26,7 +26,7 @@ _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64
 _POWER = np.cumprod(np.full(4096, 0x9E3779B97F4A7C15, dtype=np.uint64), dtype=np.uint64)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 #: Bytes hashed at a time: bounds memory whatever the length of a text.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 
 
 def table(spark, sf_dir: str, name: str):
@@ -73,24 +73,27 @@ def shared_dir(spark) -> str:
     return f"{top.rstrip('/')}/quillmesh-{uuid.uuid4().hex}"
 
 
-#: Spark's own setting: shuffle files go when the query that wrote them ends, and not when the driver happens to collect its garbage.
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Spark's own settings while a table is written: shuffle files go when the query that wrote them ends, and not when the driver happens to
+#: collect its garbage; batches for Python are bounded by bytes, as long texts would make them large on both sides.
+_SETTINGS = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
 
 
 @contextmanager
-def _shuffles_removed(spark):
-    """While a table is written; the session's own value comes back after it."""
-    before = spark.conf.get(_CLEANUP, "false")
-    spark.conf.set(_CLEANUP, "true")
+def _settings(spark):
+    """The session's own values come back after it."""
+    before = {k: spark.conf.get(k) for k in _SETTINGS}
     try:
+        for k, v in _SETTINGS.items():
+            spark.conf.set(k, v)
         yield
     finally:
-        spark.conf.set(_CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
 def keep(df, path: str, codec: str = "zstd"):
     """Write df to path and return it read again: cuts the lineage by a table that survives lost executors."""
-    with _shuffles_removed(df.sparkSession):
+    with _settings(df.sparkSession):
         df.write.option("compression", codec).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -108,7 +111,7 @@ class bucketed:
 
     def __init__(self, df, path: str, by: str, buckets: int):
         self.spark, self.path, self.name = df.sparkSession, path, "quillmesh_" + uuid.uuid4().hex
-        with _shuffles_removed(self.spark):
+        with _settings(self.spark):
             df.write.format("parquet").option("compression", "uncompressed").option("path", path).bucketBy(buckets, by).saveAsTable(self.name)
         self.df = self.spark.table(self.name)
 
@@ -132,7 +135,7 @@ def strings(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     return [s or "" for s in batch.column(batch.schema.get_field_index(name)).to_pylist()]
 
 
-def pieces(batch: pa.RecordBatch, rows: int = 2000, size: int = 8 << 20):
+def pieces(batch: pa.RecordBatch, rows: int = 2000, size: int = 2 << 20):
     """Slices of a batch with at most so many rows and about so many bytes of text (a longer text is alone)."""
     at = 0
     lengths = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index("text"))), 0).to_numpy(zero_copy_only=False)

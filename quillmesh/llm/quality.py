@@ -41,10 +41,10 @@ from .common import SPACE, begin, blobs, bucketed, drop, id_filter, keep, may_ho
 #: Deviations: of order one and two above the median, of order one below; words and families that widen a band by the square root of two.
 UPPER, LOWER, SHORT, FEW = (5.0, 4.0), 8.0, 20.0, 50.0
 #: Bytes of text in a block, and for which a range of keys serves; bytes of text that are looked at together.
-BLOCK, RANGE, PIECE = 12 << 20, 16 << 20, 2 << 20
+BLOCK, RANGE, PIECE = 8 << 20, 16 << 20, 1 << 20
 EXTRA = 8
 _STEP, _LEAST_STEPS = 0.005, 20
-_SYMBOL = np.zeros(256, dtype=np.int64)
+_SYMBOL = np.zeros(256, dtype=np.uint8)
 _SYMBOL[list(b"#*$%&|<>")] = 1
 #: Bytes of letters and digits; those above 0x7F belong to other letters and signs.
 _LETTER = np.array([c >= 128 or chr(c).isalnum() for c in range(256)])
@@ -124,7 +124,7 @@ def features(texts: list[bytes]) -> tuple[list[np.ndarray], np.ndarray, np.ndarr
     buf = np.frombuffer(b"\n".join(texts) + b"\n", dtype=np.uint8)
     first = np.cumsum(size + 1) - size - 1
     chars = np.add.reduceat(((buf & 0xC0) != 0x80) & ~SPACE[buf], first, dtype=np.int64)
-    symbols = np.add.reduceat(_SYMBOL[buf], first)
+    symbols = np.add.reduceat(_SYMBOL[buf], first, dtype=np.int64)
     h, n, real = words(texts, marks=_LETTER)
     x = mix(mix(mix(h[:-2]) * np.uint64(3) + h[1:-1]) * np.uint64(5) + h[2:]) if len(h) > 2 else h[:0]
     lines, repeats, at = np.zeros(len(texts), dtype=np.int64), np.zeros(len(texts), dtype=np.int64), 0
