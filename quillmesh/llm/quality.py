@@ -12,8 +12,8 @@ model that judges it. Nothing is folded or cut: every word and bigram is a hashe
    it. Ranges of word keys merge these sums and answer in the same way.
 4. A block has all it needs to score its documents. Discounts come from counts of counts, one row a range and language.
 
-No key is hot: a block sends a bigram or word at most once. Keys have EXTRA bits more than the number of words has, so an unseen bigram is
-taken for a seen one once in 2**EXTRA. Ranges are for about RANGE bytes of text; both sizes bound the memory of a task, not what it covers.
+No key is hot: a block sends a bigram or word at most once. Keys have at least LEAST_BITS bits, and EXTRA more than the number of words has,
+so an unseen bigram is taken for a seen one once in 2**EXTRA or less often. Ranges are for about RANGE bytes of text; both sizes bound the memory of a task, not what it covers.
 
 A document is rejected if its mean log perplexity a word of either order lies above its language's and half's band, or that of order one
 (continuations, which copies don't change) below it. A band is the median plus so many scaled median absolute deviations over families
@@ -41,8 +41,8 @@ from .common import SPACE, begin, blobs, bucketed, drop, id_filter, keep, may_ho
 #: Deviations: of order one and two above the median, of order one below; words and families that widen a band by the square root of two.
 UPPER, LOWER, SHORT, FEW = (5.0, 4.0), 8.0, 20.0, 50.0
 #: Bytes of text in a block, and for which a range of keys serves; bytes of text that are looked at together.
-BLOCK, RANGE, PIECE = 8 << 20, 16 << 20, 1 << 20
-EXTRA = 8
+BLOCK, RANGE, PIECE = 16 << 20, 32 << 20, 1 << 20
+EXTRA, LEAST_BITS = 8, 40
 _STEP, _LEAST_STEPS = 0.005, 20
 _SYMBOL = np.zeros(256, dtype=np.uint8)
 _SYMBOL[list(b"#*$%&|<>")] = 1
@@ -62,9 +62,8 @@ def squeeze(*arrays: np.ndarray) -> bytes:
             body = b"\0" + size.tobytes()
             for k in range(2, int(size.max(initial=0)) + 1):
                 x = a[size == k]
-                bits = np.empty((len(x), k - 1), dtype=np.uint8)
-                for i in range(k - 1):
-                    bits[:, i] = x >> np.uint64(i) & np.uint64(1)
+                wide = 4 if k <= 32 else 8
+                bits = np.unpackbits(x.astype(f">u{wide}").view(np.uint8).reshape(-1, wide), axis=1)[:, 8 * wide - k + 1 :]
                 body += np.packbits(bits).tobytes()
         out.append(len(a).to_bytes(7, "little") + body)
     return zstandard.compress(b"".join(out), 1)
@@ -74,9 +73,9 @@ def unsqueeze(b: bytes) -> list[np.ndarray]:
     """The arrays again, as 64-bit numbers."""
     raw, out, at = zstandard.decompress(b), [], 0
     while at < len(raw):
-        n, whole = int.from_bytes(raw[at : at + 7], "little"), raw[at + 7]
+        n, plain = int.from_bytes(raw[at : at + 7], "little"), raw[at + 7]
         at += 8
-        if whole:
+        if plain:
             out.append(np.frombuffer(raw, dtype="<u8", count=n, offset=at))
             at += 8 * n
             continue
@@ -88,10 +87,11 @@ def unsqueeze(b: bytes) -> list[np.ndarray]:
             many = len(its) * (k - 1)
             bits = np.unpackbits(np.frombuffer(raw, dtype=np.uint8, count=-(-many // 8), offset=at), count=many).reshape(-1, k - 1)
             at += -(-many // 8)
-            x = np.full(len(its), 1 << (k - 1), dtype="<u8")
-            for i in range(k - 1):
-                x |= bits[:, i].astype("<u8") << np.uint64(i)
-            a[its] = x
+            wide = 4 if k <= 32 else 8
+            whole = np.zeros((len(its), 8 * wide), dtype=np.uint8)
+            whole[:, 8 * wide - k] = 1
+            whole[:, 8 * wide - k + 1 :] = bits
+            a[its] = np.packbits(whole, axis=1).view(f">u{wide}")[:, 0]
         out.append(a)
     return out
 
@@ -283,10 +283,13 @@ def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
 def _merge(rows: list[dict]):
     """The sorted different keys of several blocks, where each block's keys are among them, the sums of their numbers, and the blocks' sizes."""
     keys = [np.cumsum(unsqueeze(r["keys"])[0], dtype=np.uint64) for r in rows]
-    sums = [unsqueeze_rows(r["sums"]) for r in rows]
-    whole, at = np.unique(np.concatenate(keys), return_inverse=True)
-    all_sums = np.concatenate(sums, axis=1)
-    return whole, at, all_sums, np.stack([np.bincount(at, weights=s, minlength=len(whole)).astype(np.int64) for s in all_sums]), [len(k) for k in keys]
+    sizes = [len(k) for k in keys]
+    keys = np.concatenate(keys)
+    whole, at = np.unique(keys, return_inverse=True)
+    del keys
+    at = at.astype(np.int32)
+    own = np.concatenate([unsqueeze_rows(r["sums"]).astype(np.uint32) for r in rows], axis=1)
+    return whole, at, own, np.stack([np.bincount(at, weights=s, minlength=len(whole)).astype(np.int64) for s in own]), sizes
 
 
 def _by_lang(t: pa.Table) -> dict[str, list[dict]]:
@@ -340,7 +343,7 @@ def score(docs):
     ship(docs.sparkSession)
     spark, top = docs.sparkSession, shared_dir(docs.sparkSession)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = min(64, max(24, (size // 8 + 1).bit_length() + EXTRA))
+    bits = min(64, max(LEAST_BITS, (size // 8 + 1).bit_length() + EXTRA))
     ranges = max(1, -(-size // RANGE))
     docs = docs.select("doc_id", "text", "lang", row_key().alias("row"))
     held = bucketed(blocks(docs, bits), f"{top}/blocks", "block", max(1, parts(spark)))
