@@ -41,7 +41,7 @@ from .common import SPACE, begin, blobs, bucketed, drop, id_filter, keep, may_ho
 #: Deviations: of order one and two above the median, of order one below; words and families that widen a band by the square root of two.
 UPPER, LOWER, SHORT, FEW = (5.0, 4.0), 8.0, 20.0, 50.0
 #: Bytes of text in a block, and for which a range of keys serves; bytes of text that are looked at together.
-BLOCK, RANGE, PIECE = 16 << 20, 32 << 20, 1 << 20
+BLOCK, RANGE, PIECE = 10 << 20, 32 << 20, 1 << 20
 EXTRA, LEAST_BITS = 8, 40
 _STEP, _LEAST_STEPS = 0.005, 20
 _SYMBOL = np.zeros(256, dtype=np.uint8)
@@ -111,7 +111,8 @@ def squeeze_rows(*columns: np.ndarray) -> bytes:
 
 def unsqueeze_rows(b: bytes) -> np.ndarray:
     at, *table = unsqueeze(b)
-    return np.stack(table)[:, at.astype(np.int64)].astype(np.int64)
+    table = np.stack(table)
+    return table.astype(np.int32 if table.size == 0 or int(table.max()) < 1 << 31 else np.int64)[:, at.astype(np.int32)]
 
 
 def gaps(sorted_keys: np.ndarray) -> np.ndarray:
@@ -261,7 +262,7 @@ class Bigrams:
         place = np.empty(len(order), dtype=np.int32)
         place[order] = np.arange(len(order), dtype=np.int32)
         self.keys, self.a, self.b, self.at = keys[order], a[order], b[order], place[at]
-        self.own = [np.bincount(self.at[half == f], minlength=len(keys)) for f in (0, 1)]
+        self.own = [np.bincount(self.at[half == f], minlength=len(keys)).astype(np.int32) for f in (0, 1)]
 
     def cuts(self, keys: np.ndarray, ranges: int, bits: int) -> list[slice]:
         """The part of sorted keys of each range."""
@@ -288,7 +289,7 @@ def _merge(rows: list[dict]):
     whole, at = np.unique(keys, return_inverse=True)
     del keys
     at = at.astype(np.int32)
-    own = np.concatenate([unsqueeze_rows(r["sums"]).astype(np.uint32) for r in rows], axis=1)
+    own = np.concatenate([unsqueeze_rows(r["sums"]) for r in rows], axis=1)
     return whole, at, own, np.stack([np.bincount(at, weights=s, minlength=len(whole)).astype(np.int64) for s in own]), sizes
 
 
@@ -323,13 +324,18 @@ class Counts(dict):
         # one more than the words seen stands for all others
         return (cont - d[np.minimum(cont, 3)]) / total + spare / total / (types + 1)
 
-    def high(self, lang: str, half: int, count: np.ndarray, context: np.ndarray, low: np.ndarray) -> np.ndarray:
-        """Probabilities of bigrams; context: occurrences of the word before, and how many words follow it once, twice, oftener."""
+    def spare(self, lang: str, half: int, once: np.ndarray, twice: np.ndarray, oftener: np.ndarray) -> np.ndarray:
+        """What discounting takes from the bigrams after each word, of which so many occur once, twice, oftener."""
         d = self.discounts(2, lang, half)
-        total = np.maximum(context[0], 1)
-        # a context whose only bigram shares its key with another's may seem to have none
-        spare = np.maximum(d[1] * context[1] + d[2] * context[2] + d[3] * context[3], d[1])
-        return np.where(context[0] > 0, (count - d[np.minimum(count, 3)] + spare * low) / total, low)
+        # a word whose only bigram shares its key with another's may seem to have none
+        return np.maximum(d[1] * once + d[2] * twice + d[3] * oftener, d[1])
+
+    def high(self, lang: str, half: int, count: np.ndarray, context: np.ndarray, spare: np.ndarray, low: np.ndarray) -> np.ndarray:
+        """Probabilities of bigrams; context, spare: of the word before."""
+        p = count - self.discounts(2, lang, half)[np.minimum(count, 3)]
+        p += spare * low
+        p /= np.maximum(context, 1)
+        return np.where(context > 0, p, low)
 
 
 SCORED = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, k string, half int, row long, family long, log_perplexity_1 double, log_perplexity double"
@@ -429,15 +435,18 @@ def score(docs):
             one, two = np.full((2, len(x.n)), np.nan)
             if len(x.keys):
                 c, w = joined(answers, 0), joined(answers, 1)
-                half, first = np.repeat(x.half, x.n), np.cumsum(x.n) - x.n
+                half, first = np.repeat(x.half.astype(np.int8), x.n), np.cumsum(x.n) - x.n
                 lows, highs = np.zeros(len(half)), np.zeros(len(half))
                 for f in (0, 1):
                     # the other half's numbers
-                    o = 1 - f
-                    its = x.at[half == f]
-                    low = counts.low(x.lang, o, w[5 + 4 * o][x.b])
-                    high = counts.high(x.lang, o, c[o], np.stack([w[o], *w[2 + 4 * o : 5 + 4 * o]])[:, x.a], low)
-                    lows[half == f], highs[half == f] = np.log(low)[its], np.log(high)[its]
+                    o, mine = 1 - f, half == f
+                    its = x.at[mine]
+                    low = counts.low(x.lang, o, w[5 + 4 * o])
+                    lows[mine] = np.log(low)[x.b[its]]
+                    p = counts.high(x.lang, o, c[o], w[o][x.a], counts.spare(x.lang, o, *w[2 + 4 * o : 5 + 4 * o])[x.a], low[x.b])
+                    highs[mine] = np.log(p)[its]
+                    del p, its, low
+                del c, w
                 some = x.n > 0
                 one[some], two[some] = (-np.add.reduceat(v, first[some]) / x.n[some] for v in (lows, highs))
             (rows,) = unsqueeze(row["rows"])
