@@ -41,7 +41,7 @@ from .common import SPACE, begin, blobs, bucketed, drop, id_filter, keep, may_ho
 #: Deviations: of order one and two above the median, of order one below; words and families that widen a band by the square root of two.
 UPPER, LOWER, SHORT, FEW = (5.0, 4.0), 8.0, 20.0, 50.0
 #: Bytes of text in a block, and for which a range of keys serves; bytes of text that are looked at together.
-BLOCK, RANGE, PIECE = 10 << 20, 32 << 20, 1 << 20
+BLOCK, RANGE, PIECE = 12 << 20, 32 << 20, 1 << 20
 EXTRA, LEAST_BITS = 8, 40
 _STEP, _LEAST_STEPS = 0.005, 20
 _SYMBOL = np.zeros(256, dtype=np.uint8)
@@ -350,7 +350,9 @@ def score(docs):
     spark, top = docs.sparkSession, shared_dir(docs.sparkSession)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = min(64, max(LEAST_BITS, (size // 8 + 1).bit_length() + EXTRA))
+    # a block has fewer words than bigrams: half as many ranges serve them
     ranges = max(1, -(-size // RANGE))
+    word_ranges = -(-ranges // 2)
     docs = docs.select("doc_id", "text", "lang", row_key().alias("row"))
     held = bucketed(blocks(docs, bits), f"{top}/blocks", "block", max(1, parts(spark)))
     by_block = lambda df: held.df.groupBy("block").cogroup(df.groupBy("block"))
@@ -399,7 +401,7 @@ def score(docs):
                 sums.append(np.bincount(x.b[mine & (c > 0)], minlength=size))
             # which words stand in either half: as a context or at the end of a bigram
             sums += [(np.bincount(x.a[c > 0], minlength=size) + np.bincount(x.b[c > 0], minlength=size) > 0).astype(np.int64) for c in x.own]
-            for i, s in enumerate(x.cuts(x.words, ranges, bits)):
+            for i, s in enumerate(x.cuts(x.words, word_ranges, bits)):
                 if s.start < s.stop:
                     out.append((i, x.lang, x.block, squeeze(gaps(x.words[s])), squeeze_rows(*(c[s] for c in sums))))
         return pa.Table.from_batches([_batch(out, ASKED)])
