@@ -43,3 +43,23 @@ def test_packs_hold_whole_exports(spark, monkeypatch):
     monkeypatch.setattr(designs, "ROWS", 1)
     few = designs.exports(spark, SF)
     assert {r.path: bytes(r.content) for r in few.collect()} == whole and few.count() == len(whole)
+
+
+def test_nodes_are_looked_for_once(spark):
+    """Several attributes are read of a node, which is looked for before."""
+    from quillmesh.plans import model
+
+    files = spark.createDataFrame([("a.xml", bytearray(V1.encode()))], "path string, content binary").selectExpr("path", "timestamp '2024-01-02' AS modificationTime", "content")
+    plan = model.fields(shred.shred(files))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("= Storage)") == 1 and plan.count("= AutoEnter)") == 1
+
+
+def test_equal_places_are_ordered_by_text(spark, tmp_path):
+    """Line items of one number, part and supplier stand in the order of what is said of them, not of their other columns."""
+    for name in ("customer", "nation", "orders"):
+        spark.read.parquet(f"{SF}/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
+    order = spark.read.parquet(f"{SF}/orders.parquet").agg({"o_orderkey": "min"}).first()[0]
+    line = "SELECT CAST({} AS BIGINT) l_orderkey, 123L l_partkey, 0L l_suppkey, 4 l_linenumber, {} l_quantity, 'N' l_returnflag, '{}' l_linestatus"
+    spark.sql(" UNION ALL ".join(line.format(order, q, ls) for q, ls in ((9.0, "O"), (10.0, "F")))).write.parquet(f"{tmp_path}/lineitem.parquet")
+    steps = [x for r in designs.exports(spark, str(tmp_path)).collect() for x in bytes(r.content).split(b"<Step ")[1:]]
+    assert [x.split(b'"')[7] for x in steps] == [b"False", b"True"]
