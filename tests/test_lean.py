@@ -63,3 +63,12 @@ def test_equal_places_are_ordered_by_text(spark, tmp_path):
     spark.sql(" UNION ALL ".join(line.format(order, q, ls) for q, ls in ((9.0, "O"), (10.0, "F")))).write.parquet(f"{tmp_path}/lineitem.parquet")
     steps = [x for r in designs.exports(spark, str(tmp_path)).collect() for x in bytes(r.content).split(b"<Step ")[1:]]
     assert [x.split(b'"')[7] for x in steps] == [b"False", b"True"]
+
+
+def test_time_is_the_sessions(spark):
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Tokyo")
+    try:
+        assert designs.exports(spark, SF).selectExpr("CAST(modificationTime AS string) AS t").distinct().collect() == [("2024-01-02 03:04:05",)]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
