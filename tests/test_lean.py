@@ -87,3 +87,14 @@ def test_lines_hold_any_text(spark):
     got = designs._table(["\n".join(r.line for r in df.select(designs._line("l").alias("line")).collect()).encode(), b""], "l")
     assert [tuple(x.values()) for x in got.to_pylist()] == [tuple(r) for r in df.collect()]
     assert designs._table([b""], "o").num_rows == 0 and designs._table([b""], "o").column_names == ["k", "o", "prio", "st"]
+
+
+def test_small_catalogs_are_left_out_too(monkeypatch):
+    """Of a file that is only asked what it is, no catalog is built."""
+    built, parse = [], shred._parse
+    monkeypatch.setattr(shred, "_parse", lambda content: (built.append(content), parse(content))[1])
+    more = PLAIN.replace(b"<ThemeCatalog>", b"<ValueListCatalog><ValueList name='v'/></ValueListCatalog><AccountsCatalog><Account/></AccountsCatalog><ThemeCatalog>")
+    assert [r["kind"] for r in shred.records(more, frozenset(["file"]))] == ["file"]
+    assert len(built) == 1 and not any(x in built[0] for x in (b"<ValueList ", b"<Account/>", b"<Theme "))
+    for kind in ("valueList", "account", "theme"):
+        assert list(shred.records(more, frozenset([kind]))) == [r for r in shred.records(more) if r["kind"] == kind]
